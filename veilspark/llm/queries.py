@@ -27,6 +27,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, manifest)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_of
 
@@ -60,5 +66,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op4_language_id, op6_source_mix, op7_html_text, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_ngram_jaccard, op4_language_id, op6_source_mix, op7_html_text, op9_quality_classifier, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

@@ -40,6 +40,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -52,6 +58,14 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .lattice_lm import lattice_scores
+
+    return lattice_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
@@ -66,5 +80,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_ngram_jaccard, op4_language_id, op6_source_mix, op7_html_text, op9_quality_classifier, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_ngram_jaccard, op4_language_id, op5_decontaminate, op6_source_mix, op7_html_text, op8_lattice_lm, op9_quality_classifier, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}

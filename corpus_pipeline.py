@@ -1,10 +1,17 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Each stage works on all rows that its predecessor kept. Null and empty texts fail the quality rules and go there; repeated
+rows fall to the n-gram join; an empty table gives an empty result at every stage. The last stage returns one row for each
+document in its token files.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspark.llm.common import table
+from veilspark.llm.common import kept, shared_path, table
+from veilspark.llm.queries import tokenizer_path
 
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -16,14 +23,55 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select(*DOCUMENTS)
 
 
-STAGES = [("quality_rules", good_documents)]
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join (five words, 0.8): of each component the document with the least id stays, once."""
+    from veilspark.llm.ngram_join import similar_components
+
+    found = similar_components(docs.select("doc_id", "text"), width=5, percent=80)
+    first = kept(found.where("doc_id <=> component_id").select("doc_id").distinct(), "first")
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold an item go."""
+    from veilspark.llm.decontaminate import clean
+
+    return clean(docs.select(*DOCUMENTS), table(spark, sf_dir, "benchmark"))
+
+
+def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: all documents, laid out in the mixed order, which the next stage keeps."""
+    from veilspark.llm.mixing import mix
+
+    placed = mix(docs.select(*DOCUMENTS))
+    parts = max(1, spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*DOCUMENTS)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token-ID output in the order in which the documents lie in the files read: the mixed order."""
+    from veilspark.llm.token_files import read_tokens, write_tokens
+
+    # Part files are named in the order of the ranges that wrote them.
+    stored = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = [F.concat_ws(":", "file", F.lpad(F.col("row").cast("string"), 12, "0")), F.col("doc_id")]
+    manifest = write_tokens(stored, shared_path(spark, "tokens"), tokenizer_path(), place)
+    return read_tokens(spark, manifest)
+
+
+STAGES = [
+    ("quality_rules", good_documents),
+    ("ngram_jaccard_join", one_of_each_group),
+    ("benchmark_decontamination", without_benchmark),
+    ("source_mix", in_mixed_order),
+    ("token_files", token_files),
+]
+#: The learned rules and the tokenizer are beyond SQL; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's rows written to the shared folder before the next reads them."""
-    from veilspark.llm.common import kept
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = kept(stage(spark, docs, sf_dir), f"stage-{name}")

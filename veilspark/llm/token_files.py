@@ -13,8 +13,10 @@ the attempts that succeeded, so lost executors and repeated tasks leave at most
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,48 +30,84 @@ from .common import small_batches
 END_ID = 2
 #: Text bytes of one part.
 PART_BYTES = 16 << 20
-#: Words whose ids a task keeps, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: Words whose ids a worker keeps in each of two generations.
+CACHE_WORDS = 300_000
+
+
+def byte_letters() -> list[str]:
+    """The letter that a byte-level vocabulary uses for each byte: printable Latin-1 stands for itself."""
+    out, odd = [], 256
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b:
+            out.append(chr(b))
+        else:
+            out.append(chr(odd))
+            odd += 1
+    return out
 
 
 class WordEncoder:
     """Ids of a text, word by word.
 
-    The tokenizer drops white space and never joins across it, so ids of a text are the ids of its words in a row;
-    ids of short words are kept. Words are cut at space and newline only; the tokenizer sees all else itself.
+    The tokenizer drops white space and never joins across it, so ids of a text are the ids of its words in a row; ids
+    of words are kept. Words are cut at space and newline only. A word of composed Latin letters with common marks behind it
+    is what the tokenizer's own cutting makes two pieces of, lower-cased; those go to its model at once. All other words
+    go through the whole tokenizer.
     """
 
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(words), 4096):
-            for e in self.tokenizer.encode_batch(words[at : at + 4096], add_special_tokens=False):
-                yield np.array(e.ids, self.dtype).tobytes()
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("H" if self.dtype.itemsize == 2 else "I", ids).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        found = self.pieces.get(text)
+        if found is None:
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces = {}
+            plain = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+            found = self.pieces[text] = self._bytes([t.id for t in self.model.tokenize(plain)])
+        return found
+
+    def _word(self, word: str) -> bytes:
+        m = self.PLAIN.fullmatch(word)
+        if m is None:
+            return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return self._piece(m[1].lower()) + (self._piece(m[2]) if m[2] else b"")
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        once = {}
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            used = {w for words in split for w in words}
-            once = {w: self.known[w] for w in used if w in self.known}
-            self.known = {}
-        for w, ids in zip(fresh, self._encode(fresh), strict=True):
-            once[w] = ids
-            if len(w) <= CACHE_CHARS:
-                self.known[w] = ids
-        look = {**self.known, **once} if once and len(once) < 1000 else None
-        if look is None:
-            known = self.known
-            find = lambda w: once.get(w) if w in once else known[w]
-            return [b"".join(map(find, words)) for words in split]
-        return [b"".join(map(look.__getitem__, words)) for words in split]
+        fresh = set().union(*split) - self.known.keys()
+        if len(self.known) > CACHE_WORDS:
+            # Words met since the last change of generations survive, the rest goes.
+            self.known, self.older = {}, self.known
+            fresh = set().union(*split)
+        for w in fresh:
+            ids = self.older.get(w)
+            self.known[w] = self._word(w) if ids is None else ids
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, so that its words outlive a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def _write(to: str, name: str, ids: list[bytes], lengths: list[int], docs: list[int]) -> None:
@@ -102,20 +140,20 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, order: list[Column] |
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        context, encoder = TaskContext.get(), WordEncoder(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        context, words = TaskContext.get(), encoder(tokenizer)
+        end = np.array([end_id], words.dtype).tobytes()
         ids, lengths, kept = [], [], []
         for b in batches:
             if b.num_rows:
-                for d, x in zip(b.column(0).to_pylist(), encoder.batch(b.column(1).to_pylist()), strict=True):
+                for d, x in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist()), strict=True):
                     ids.append(x + end)
-                    lengths.append(len(ids[-1]) // encoder.dtype.itemsize)
+                    lengths.append(len(ids[-1]) // words.dtype.itemsize)
                     kept.append(-1 if d is None else d)
         if kept:
             part = context.partitionId()
             name = f"part-{part:06d}-{uuid.uuid4().hex}"
             _write(to, name, ids, lengths, kept)
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "width": [encoder.dtype.itemsize], "docs": [len(kept)], "tokens": [sum(lengths)]})
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "width": [words.dtype.itemsize], "docs": [len(kept)], "tokens": [sum(lengths)]})
 
     # One row for each part comes back; their number is the data's size over PART_BYTES.
     found = laid.mapInArrow(write, "part long, name string, width long, docs long, tokens long").collect()

@@ -13,28 +13,48 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def match_spans(text: Column, pattern: str) -> Column:
+#: Matches whose places are summed in one fold; folds copy what they have, so they stay short.
+GROUP = 64
+SPANS = "array<struct<start:int,end:int,value:string>>"
+
+
+def match_spans(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, value>> of the matches, by code point, end exclusive.
 
     Matches are bracketed in one regexp_replace; lengths of the pieces between brackets, summed from the left, are
-    the positions. Look-around works, as the pattern runs once over the whole text.
+    the positions. Look-around works, as the pattern runs once over the whole text. Pieces are summed in groups and then
+    the groups, so a text with many matches costs little more than its length.
     """
-    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  "), f"(?:{pattern})", f"{OPEN}$0{CLOSE}")
-    shape = "array<struct<start:int,end:int,value:string>>"
+    bracketed = f"(?:{pattern})" if isinstance(pattern, str) else F.concat(F.lit("(?:"), pattern, F.lit(")"))
+    marked = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  "), bracketed, f"{OPEN}$0{CLOSE}")
+
+    def span(start: Column, end: Column, value: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
 
     def add(state: Column, piece: Column) -> Column:
         value = F.substring_index(piece, CLOSE, 1)
         start = state["at"]
-        return F.struct(
-            (start + F.length(piece) - 1).cast("int").alias("at"),
-            F.concat(state["found"], F.array(F.struct(start.alias("start"), (start + F.length(value)).cast("int").alias("end"), value.alias("value")))).alias("found"),
-        )
+        return F.struct((start + F.length(piece) - 1).cast("int").alias("at"), F.concat(state["found"], F.array(span(start, start + F.length(value), value))).alias("found"))
 
     def walk(pieces: Column) -> Column:
-        first = F.struct(F.length(F.element_at(pieces, 1)).cast("int").alias("at"), F.array().cast(shape).alias("found"))
-        return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, add, lambda s: s["found"])
+        n = F.size(pieces) - 1
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / GROUP), F.lit(0)).cast("int")), lambda k: F.slice(pieces, 2 + k * GROUP, F.lit(GROUP)))
+        none = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast(SPANS).alias("found"))
+        local = F.transform(groups, lambda g: F.aggregate(g, none, add))
+
+        def placed(parts: Column) -> Column:
+            first = F.struct(F.length(F.element_at(pieces, 1)).cast("int").alias("at"), F.array().cast("array<int>").alias("all"))
+            bases = F.aggregate(parts, first, lambda a, x: F.struct((a["at"] + x["at"]).cast("int").alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+            return F.flatten(F.zip_with(parts, bases, lambda x, base: F.transform(x["found"], lambda y: span(y["start"] + base, y["end"] + base, y["value"]))))
+
+        return F.when(n < 1, F.array().cast(SPANS)).otherwise(let(local, placed))
+
+    return F.when(text.isNull(), F.array().cast(SPANS)).otherwise(let(F.split(marked, OPEN), walk))
+
 
-    return F.when(text.isNull(), F.array().cast(shape)).otherwise(let(F.split(marked, OPEN), walk))
+def distinct_sorted(items: Column) -> Column:
+    """The distinct members of an array of structs, sorted: equal ones are neighbours, so one pass drops them."""
+    return let(F.sort_array(items), lambda a: F.filter(a, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(a, i - 1))))
 
 
 def char_at(text: Column, i: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import char_at, let, match_spans
+from ..functions.spans import char_at, distinct_sorted, let, match_spans
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -40,7 +40,7 @@ def dates(text: Column) -> Column:
         rest = F.regexp_replace(x["value"], r"^(?:中華民國|民國|西元)\s?", "")
         return F.struct((x["end"] - F.length(rest)).cast("int").alias("start"), x["end"].alias("end"), rest.alias("value"))
 
-    return let(found, lambda a: F.array_distinct(F.concat(a, F.transform(a, bare))))
+    return let(found, lambda a: distinct_sorted(F.concat(a, F.transform(a, bare))))
 
 
 def tokens(text: Column) -> Column:
@@ -78,11 +78,11 @@ def secrets(text: Column) -> Column:
         whole_runs = F.filter(ends, lambda y: F.length(y["value"]).between(6, 64))
         return F.filter(F.concat(whole_runs, shifted(r"(?<=[=:])[^\s&=]{6,}"), shifted(r"[^\s@/:=]{6,}(?=@)")), lambda y: mixed(y["value"]))
 
-    return F.array_distinct(F.flatten(F.transform(match_spans(text, P.ASCII_RUN), parts)))
+    return distinct_sorted(F.flatten(F.transform(match_spans(text, P.ASCII_RUN), parts)))
 
 
 def latin_names(text: Column) -> Column:
-    return F.array_distinct(F.flatten(F.array(*[match_spans(text, p) for p in P.LATIN.values()])))
+    return distinct_sorted(F.flatten(F.array(*[match_spans(text, p) for p in P.LATIN.values()])))
 
 
 def case_numbers(text: Column) -> Column:
@@ -118,7 +118,7 @@ def structured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     found = docs.select(key, t, F.concat(_as(emails(t), "email"), _as(urls(t), "url")).alias("taken"))
     tok = F.filter(tokens(t), lambda x: ~F.exists(F.col("taken"), lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
     rest = [_as(dates(t), "date"), tok, outside(_as(secrets(t), "alnum"), F.col("taken")), _as(full_width_ids(t), "alnum"), _as(case_numbers(t), "zi")]
-    return exploded(found, key, F.array_distinct(reduce(lambda a, b: F.concat(a, b), rest, F.col("taken"))))
+    return exploded(found, key, distinct_sorted(reduce(lambda a, b: F.concat(a, b), rest, F.col("taken"))))
 
 
 def number_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import PERSON_CODES, SAFE_SURNAMES
+from ..functions.spans import match_spans
 from ..functions.values import canon, coarse_date, shaped, value_label
 from .decode import spliced
 
@@ -71,30 +72,15 @@ def mapping(spans: DataFrame, scope: list[str]) -> DataFrame:
 def restored_by_mapping(replies: DataFrame, table: DataFrame, scope: list[str], key: str = "reply_id", text: str = "text") -> DataFrame:
     """New texts with the codes of their scope put back in one pass, the longest code first; ambiguous codes stay.
 
-    A scope's codes become one alternation; the pattern is built with the data, and matching runs once over each text.
+    A scope's codes become one alternation, built with the data; it runs once over each text, so what is put back is never
+    taken for a code. A scope's mapping is as large as the case has values.
     """
-    from ..functions.patterns import HAN  # noqa: F401
-
     usable = table.where(~F.col("ambiguous")).groupBy(*scope).agg(F.map_from_entries(F.collect_set(F.struct("fake", "original"))).alias("_m"))
+    longest = F.array_sort(F.map_keys("_m"), lambda a, b: F.length(b) - F.length(a))
+    usable = usable.withColumn("_p", F.array_join(F.transform(longest, lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "|"))
     joined = replies.join(usable, scope, "left")
-
-    def put(parts_of: Column) -> Column:
-        # Longest code at each place: try the codes by falling length at the head of what is left.
-        codes = F.array_sort(F.map_keys("_m"), lambda a, b: F.length(b) - F.length(a))
-
-        def step(state: Column, ch: Column) -> Column:
-            rest = F.substring(F.col(text), state["at"] + 1, F.length(text))
-            hit = F.get(F.filter(codes, lambda c: rest.startswith(c)), F.lit(0))
-            moved = F.when(state["skip"] > 0, F.struct(state["out"].alias("out"), (state["at"] + 1).alias("at"), (state["skip"] - 1).alias("skip"))).when(
-                hit.isNotNull(), F.struct(F.concat(state["out"], F.element_at(F.col("_m"), hit)).alias("out"), (state["at"] + 1).alias("at"), (F.length(hit) - 1).alias("skip"))
-            )
-            return F.coalesce(moved, F.struct(F.concat(state["out"], ch).alias("out"), (state["at"] + 1).alias("at"), F.lit(0).alias("skip")))
-
-        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("skip"))
-        return F.aggregate(parts_of, start, step, lambda s: s["out"])
-
-    chars = F.when(F.length(text) > 0, F.split(F.col(text), "")).otherwise(F.array().cast("array<string>"))
-    return joined.select(*replies.columns, F.when(F.col("_m").isNull(), F.col(text)).otherwise(put(chars)).alias("restored"))
+    hits = F.transform(match_spans(F.col(text), F.col("_p")), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(F.col("_m"), h["value"]).alias("new")))
+    return joined.select(*replies.columns, F.when(F.col("_m").isNull(), F.col(text)).otherwise(spliced(F.col(text), hits)["text"]).alias("restored"))
 
 
 def case_shift(scope: Column, salt: str) -> Column:
@@ -104,13 +90,14 @@ def case_shift(scope: Column, salt: str) -> Column:
 
 
 def surname_map(names: DataFrame, scope: list[str], salt: str) -> DataFrame:
-    """One safe surname for each real one of a scope, one to one: both sides are ranked by a keyed hash and joined by rank."""
+    """One safe surname for each real one of a scope: real ones are ranked by a keyed hash, and the rank picks from the pool at a place
+    that the scope shifts; one to one while a scope has no more surnames than the pool."""
     pool = len(SAFE_SURNAMES)
     real = names.select(*scope, F.col("surname")).distinct()
     rank = F.row_number().over(Window.partitionBy(*scope).orderBy(F.xxhash64("surname", F.lit(salt)), "surname"))
     shift = F.pmod(F.xxhash64(*scope, F.lit(salt)), F.lit(pool))
     place = ((F.col("_r") + shift) % pool + 1).cast("int")
-    return real.withColumn("_r", rank).withColumn("fake", F.concat(F.substring(F.lit(SAFE_SURNAMES), place, F.lit(1)), F.when(F.col("_r") > pool, "".join("")).otherwise(""))).drop("_r")
+    return real.withColumn("_r", rank).withColumn("fake", F.substring(F.lit(SAFE_SURNAMES), place, F.lit(1))).drop("_r")
 
 
 def pseudonyms(spans: DataFrame, scope: list[str], salt: str, keep_head: Column) -> DataFrame:

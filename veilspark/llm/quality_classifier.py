@@ -52,7 +52,9 @@ def _fit(x: np.ndarray, y: np.ndarray, shrink: float) -> Discriminant:
     pooled = sum(np.cov(z[y == k], rowvar=False) * (y == k).sum() for k in (0, 1)) / len(y)
     for k in (0, 1):
         own = z[y == k]
-        c = (1 - shrink) * np.cov(own, rowvar=False) + shrink * (0.5 * pooled + 0.5 * np.diag(np.diag(pooled))) + 0.02 * np.eye(z.shape[1])
+        # A class with few rows leans on the pooled covariance whatever `shrink` says.
+        own_shrink = max(shrink, z.shape[1] / (z.shape[1] + len(own)))
+        c = (1 - own_shrink) * np.cov(own, rowvar=False) + own_shrink * (0.5 * pooled + 0.5 * np.diag(np.diag(pooled))) + 0.05 * np.eye(z.shape[1])
         factor = np.linalg.cholesky(c)
         means.append(own.mean(0))
         inverse.append(np.linalg.inv(factor))

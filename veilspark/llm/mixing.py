@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 BLOCK_DOCS = 32
 PERIOD = 4096
 #: Documents of a source that share one bucket, on average.
-BUCKET_DOCS = 4000
+BUCKET_DOCS = 500
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:

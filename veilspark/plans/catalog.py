@@ -428,3 +428,104 @@ def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = email_rows(spark, sf_dir).withColumn("canon", F.upper(V.canon(F.col("value"))))
     return found.groupBy("canon").agg(F.countDistinct("doc_id").alias("docs")).orderBy(F.desc("docs"), "canon").limit(8)
+
+
+_SHIFT = "cast((o_custkey % 40 - 20) * 7 as int)"
+_SHIFTED = f"(o_orderdate::date + {_SHIFT})"
+
+
+def _shifted_sql() -> str:
+    """The date expression of the case files over the shifted date."""
+    return f"select doc_id, {casefiles.DATE} as value from (select o_orderkey as doc_id, o_orderkey, o_custkey, {_SHIFTED} as o_orderdate from orders)"
+
+
+@query(_shifted_sql())
+def shift_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case's dates move by its own number of weeks, in the notation they have."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as doc_id", "o_custkey", f"{casefiles.DATE} as value")
+    days = ((F.col("o_custkey") % 40 - 20) * 7).cast("int")
+    return orders.select("doc_id", V.shifted_date(F.col("value"), days).alias("value"))
+
+
+@query(
+    f"""with g as ({casefiles.gold_sql(["P", "TEL", "MAIL"])}),
+    c as (select doc_id, start, "end", case when tag = 'P' then 'person' else 'pii' end as grp, tag from g
+      union all select doc_id, start + 1, "end", 'pii', tag from g where tag = 'TEL' union all select doc_id, 0, 1, 'person', 'x' from g where tag = 'P' union all select doc_id, 0, 1, 'pii', 'x' from g where tag = 'P')
+    select doc_id, cast(start as int) as start, "end", grp, case when tag in ('P', 'TEL', 'MAIL') and start in (select g.start from g where g.doc_id = c.doc_id) then 'MASK' when tag = 'TEL' or grp = 'person' then 'NOT' end as label from c"""
+)
+def label_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.labelling import labelled
+
+    gold = casefiles.gold(spark, sf_dir, ["P", "TEL", "MAIL"])
+    ann = gold.select("doc_id", "start", "end", F.when(F.col("tag") == "P", "person").otherwise("pii").alias("grp"), F.lit("MASK").alias("label"))
+    shifted = gold.where("tag = 'TEL'").select("doc_id", (F.col("start") + 1).alias("start"), "end", F.lit("pii").alias("grp"))
+    heads = gold.where("tag = 'P'").select("doc_id", F.lit(0).alias("start"), F.lit(1).alias("end"), F.explode(F.array(F.lit("person"), F.lit("pii"))).alias("grp"))
+    cand = ann.drop("label").unionByName(shifted).unionByName(heads)
+    return labelled(cand, ann, gold.select("doc_id", F.lit("person").alias("grp")))
+
+
+@query("select o_orderkey as doc_id, 'Email1,號碼1,電話1' as codes from orders")
+def used_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that anonymized texts hold, which a later document of the case must not reuse."""
+    from ..operators.labelling import used_codes as codes
+
+    # English months begin with capitals, but none stands alone.
+    return anonymize_cases(spark, sf_dir).select("doc_id", F.array_join(codes(F.col("text")), ",").alias("codes"))
+
+
+@query(
+    f"""with g as ({casefiles.gold_sql(["P", "TEL"])}), m as (select * from g where doc_id % 3 = 0)
+    select g.doc_id, g.start, g."end", g.value from g where g.doc_id % 3 <> 0 and exists (select 1 from m where m.case_id = g.case_id and m.value = g.value)"""
+)
+def other_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values masked in one document of a case, wherever else the case holds them."""
+    gold = casefiles.gold(spark, sf_dir, ["P", "TEL"])
+    # Places are told apart within a case by document: the interval test runs on shifted places.
+    wide = gold.withColumns({"start": F.col("doc_id") * 1000 + F.col("start"), "end": F.col("doc_id") * 1000 + F.col("end")})
+    found = consistency.other_mentions(wide.where("doc_id % 3 = 0"), wide, "case_id")
+    return found.select("doc_id", (F.col("start") - F.col("doc_id") * 1000).cast("int").alias("start"), (F.col("end") - F.col("doc_id") * 1000).cast("int").alias("end"), "value")
+
+
+@query("select p_partkey, p_name, split_part(p_name, ' ', 1) as short from part")
+def short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names looked up by their longest listed prefix."""
+    from ..operators.labelling import short_names as look_up
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    first = F.substring_index("p_name", " ", 1)
+    table = parts.select(first.alias("full"), first.alias("short")).where(F.length("full") >= 2).distinct()
+    named = look_up(parts.select(F.col("p_name").alias("name")).distinct(), table)
+    return parts.join(named, parts["p_name"] == named["name"]).select("p_partkey", "p_name", "short")
+
+
+@query("select conv_id, turn, text, role from conversations")
+def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations out as JSON lines and back with a declared schema."""
+    import uuid
+
+    from ..sources.files import read_json_lines
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="spark-json-")
+    to = f"{base.rstrip('/')}/json-{uuid.uuid4().hex}"
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").write.json(to)
+    return read_json_lines(spark, to, "conv_id long, turn long, role string, text string").where("bad is null").drop("bad")
+
+
+@query()
+def detect_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole engine with the rule scorer: candidates of all kinds, scored, selected."""
+    from .deidentify import Engine
+
+    return Engine().detect(casefiles.documents(spark, sf_dir))
+
+
+@query()
+def pseudonymize_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .deidentify import Engine
+
+    out = Engine(people=False).pseudonymized(casefiles.documents(spark, sf_dir), "case_id", "salt")
+    return out.select("doc_id", F.col("rewritten").alias("text"))

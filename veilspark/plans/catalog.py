@@ -529,3 +529,95 @@ def pseudonymize_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = Engine(people=False).pseudonymized(casefiles.documents(spark, sf_dir), "case_id", "salt")
     return out.select("doc_id", F.col("rewritten").alias("text"))
+
+
+def length_model():
+    """A model small enough to write as SQL: digits speak for masking, letters for neither."""
+    import numpy as np
+
+    def model(values, kinds, around):
+        digits = np.array([sum(c in "0123456789" for c in v) for v in values], float)
+        n = np.array([len(v) for v in values], float)
+        return np.c_[digits / 2, np.where(np.array(kinds) == "email", 1.0, 0.0), (n - digits) / 4]
+
+    return model
+
+
+@query(
+    f"""with e as ({EMAILS}), z as (select *, length(regexp_replace(value, '[^0-9]', '', 'g')) as d, length(value) as n from e),
+    l as (select *, exp(d / 2.0) as a, exp(1.0) as b, exp((n - d) / 4.0) as c from z)
+    select doc_id, start, "end", 'email' as kind, value, cast(round(1e6 * a / (a + b + c)) as bigint) as mask_ppm, cast(round(1e6 * b / (a + b + c)) as bigint) as keep_ppm from l"""
+)
+def score_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.score import scored as by_model
+
+    spans = email_rows(spark, sf_dir).withColumn("kind", F.lit("email"))
+    p = by_model(spans, docs_of(spark, sf_dir), length_model)
+    return p.select("doc_id", "start", "end", "kind", "value", F.round(F.col("p_mask") * 1e6).cast("long").alias("mask_ppm"), F.round(F.col("p_keep") * 1e6).cast("long").alias("keep_ppm"))
+
+
+@query(casefiles.gold_sql(["P"]).replace("select doc_id, case_id, P_start", "select doc_id, P_start"))
+def uncovered_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotated values that no candidate of the pattern generators is exactly: here the names, for which there are scanners."""
+    docs = casefiles.documents(spark, sf_dir)
+    found = C.structured(docs).select("doc_id", "start", "end").unionByName(C.number_chains(docs)).distinct()
+    return casefiles.gold(spark, sf_dir, TAGGED).join(found, ["doc_id", "start", "end"], "left_anti").select("doc_id", "start", "end", "tag", "value")
+
+
+@query(
+    f"""with g as ({casefiles.gold_sql(TAGGED)}), p as ({PREDICTED_SQL}),
+    c as (select g.doc_id, g.tag, coalesce(p.start <= g.start, false) as hit from g left join p on p.doc_id = g.doc_id and p.start < g."end" and g.start < p."end"),
+    x as (select unnest(['ALL', concat('notation', doc_id % 5), concat('tag', tag)]) as phenomenon, hit from c)
+    select phenomenon, count(*) as n, cast(sum(cast(hit as int)) as bigint) as hits from x group by phenomenon"""
+)
+def recall_by_phenomenon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A value counts for each phenomenon that it shows, and for all."""
+    gold = casefiles.gold(spark, sf_dir, TAGGED)
+    covered = evaluate.gold_coverage(gold, predicted(gold))
+    groups = F.array(F.lit("ALL"), F.concat(F.lit("notation"), (F.col("doc_id") % 5).cast("string")), F.concat(F.lit("tag"), F.col("tag")))
+    return covered.select(F.explode(groups).alias("phenomenon"), "full").groupBy("phenomenon").agg(F.count("*").alias("n"), F.sum(F.col("full").cast("long")).alias("hits"))
+
+
+@query(
+    f"""with g as ({casefiles.gold_sql(["P"])}), r as (select g.value as name, o.o_orderstatus as role from g join orders o on o.o_orderkey = g.doc_id)
+    select name, min(role) as role, count(*) as n from r group by name having count(distinct role) = 1"""
+)
+def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that have one role only."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("role"))
+    names = casefiles.gold(spark, sf_dir, ["P"]).join(orders, "doc_id")
+    return names.groupBy(F.col("value").alias("name")).agg(F.min("role").alias("role"), F.count("*").alias("n"), F.countDistinct("role").alias("d")).where("d = 1").drop("d")
+
+
+@query(
+    f"""with g as ({casefiles.gold_sql(TAGGED)}), p as (select *, case when (doc_id + start) % 11 = 0 then 'KEEP' when (doc_id + start) % 13 = 0 then 'NOT' else 'MASK' end as pred, case when tag = 'DATE' then 'KEEP' else 'MASK' end as label from g)
+    select label, pred, count(*) as n from p group by label, pred"""
+)
+def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("doc_id") + F.col("start")
+    p = casefiles.gold(spark, sf_dir, TAGGED).select(F.when(F.col("tag") == "DATE", "KEEP").otherwise("MASK").alias("label"), F.when(at % 11 == 0, "KEEP").when(at % 13 == 0, "NOT").otherwise("MASK").alias("pred"))
+    return p.groupBy("label", "pred").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey % 5 as notation, count(*) as n, cast(0 as bigint) as with_day from orders group by 1")
+def generalized_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in the anonymized texts that still tell a day, by notation: none."""
+    docs = casefiles.documents(spark, sf_dir)
+    out = rewrite.rewritten(docs, rewrite.coded(case_spans(spark, sf_dir), ["case_id"], ["doc_id", "start"]))
+    log = out.select("doc_id", "rewritten", F.explode("log").alias("s")).select("doc_id", "s.original", cut(F.col("rewritten"), F.col("s.start"), F.col("s.end")).alias("new"))
+    dates = log.where(V.parse_date(F.col("original")).isNotNull() & F.col("original").rlike("[年/月,]"))
+    day = F.col("new").rlike(r"[日號]|/|[0-9], ")
+    return dates.groupBy((F.col("doc_id") % 5).alias("notation")).agg(F.count("*").alias("n"), F.sum(day.cast("long")).alias("with_day"))
+
+
+@query()
+def randomized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phones and numbers of the marked texts with other digits in the same format."""
+    rows = marked.parsed(casefiles.marked(spark, sf_dir)).where(F.col("tag").isin("TEL", "ID"))
+    return rows.select("doc_id", "tag", "value", V.shaped(F.col("value"), F.concat_ws("|", "doc_id", "value")).alias("new"))
+
+
+@query("select lang, source, count(*) as docs, cast(sum(length(text)) as bigint) as chars from documents group by rollup(lang, source)")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))

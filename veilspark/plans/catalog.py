@@ -621,3 +621,33 @@ def randomized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return d.rollup("lang", "source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("select c_custkey, true as right_check, true as same_head, true as other from customer")
+def fake_national_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-ins for national ids: each has a right check digit, keeps its first two characters, and is another id."""
+    from ..operators.fakes import fake_id
+
+    made = make_national_ids(spark, sf_dir).select("c_custkey", "id")
+    f = made.withColumn("f", fake_id(F.col("id"), F.concat(F.lit("salt"), "id")))
+    return f.select("c_custkey", V.id_ok(F.col("f")).alias("right_check"), (F.substring("f", 1, 2) == F.substring("id", 1, 2)).alias("same_head"), (F.col("f") != F.col("id")).alias("other"))
+
+
+@query("select distinct concat('c', cast(c_custkey as varchar), '@mail', cast(c_custkey % 97 as varchar), '.tw') as value, true as same_shape, true as top_level from customer")
+def fake_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-ins for e-mails: same length, one @ and the same top level."""
+    from ..operators.fakes import fake_email
+
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key = F.col("c_custkey").cast("string")
+    value = F.concat(F.lit("c"), key, F.lit("@mail"), (F.col("c_custkey") % 97).cast("string"), F.lit(".tw"))
+    f = c.select(value.alias("value")).distinct().withColumn("f", fake_email(F.col("value"), F.concat(F.lit("salt"), F.col("value"))))
+    return f.select("value", ((F.length("f") == F.length("value")) & F.col("f").rlike("^[a-z][0-9]+@[a-z]+[0-9]+")).alias("same_shape"), F.col("f").endswith(".tw").alias("top_level"))
+
+
+@query()
+def fake_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.fakes import fake_url
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", "url", fake_url(F.col("url"), F.concat(F.lit("salt"), "url")).alias("fake"))

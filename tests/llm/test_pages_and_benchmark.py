@@ -31,6 +31,13 @@ def test_density_without_article():
     assert html_text.main_text(PAGE) == "Title & more\nPara one is long enough, with a link inside.\nPara two goes on\nThird, unclosed\nitem 1\nitem 2"
 
 
+def test_boilerplate_in_and_around_articles():
+    page = """<body><div id="header"><p>Site name and slogan of the site</p></div><article><header><h1>Head</h1></header><p>One.</p>
+    <div class="ad-slot"><p>Buy now</p></div><aside>Box</aside><p>Two<br>three &lt;x&gt; \u00a0 y</p><section class="comments"><p>First!</p></section>
+    <div class="share-buttons">Share</div></article><article class="teaser"><p>Other story</p></article></body>"""
+    assert html_text.main_text(page) == "Head\nOne.\nTwo\nthree <x> y"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just text"), (4, "u", "<p>a<p>b</div></p>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "a < b & c"), (None, None, "<script>x"), (4, "u", "<p>a<p>b</div></p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -36,6 +36,8 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|newsletter|subscri\w+|sidebar|side|aside|menu|nav|navbar|navigation|navi|breadcrumbs?|footer|foot|masthead|topbar|site-?header|page-?header|comments?|commentlist|comment-\w+|disqus|replies|respond|social|share|sharing|related|recommend\w*|pagination|pager|login|signin|signup|register|search|toolbar|widget|copyright|legal|disclaimer|skip\w*|paywall|tags?|taglist)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: A name of its own that marks a page's header, outside of articles.
+HEADER = re.compile(r"(?:^|\s)(?:header|top|banner-top)(?:\s|$)", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Which open elements a start tag ends, and where that search stops.
 ENDS = {
@@ -61,7 +63,8 @@ class Node:
             for name, value in NAMED.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id"):
-                    self.noise = self.noise or (tag not in ("body", "html", "article", "main") and bool(NOISE.search(value)))
+                    whole = tag in ("body", "html", "article", "main")
+                    self.noise = self.noise or not whole and bool(NOISE.search(value) or HEADER.search(value) and not any(n.main for n in _path(parent)))
                 elif name == "role":
                     self.noise, self.main = self.noise or value in NOISE_ROLES, self.main or value in ("main", "article")
                 elif name == "itemprop":

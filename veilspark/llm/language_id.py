@@ -24,6 +24,8 @@ from .common import crc_mod, small_batches
 DIMS = 1 << 15
 #: Bound of the training rows of each language (about).
 PER_LANG = 600
+#: Bound of the training rows of all languages (about): with many, each gives fewer.
+MOST_ROWS = 6000
 #: Characters whose n-grams are built at a time.
 CHUNK = 1 << 20
 
@@ -135,6 +137,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel | None:
         return None
     df, total = document_frequencies(docs)
     idf = np.log((1 + total) / (1 + df)) + 1.0
+    per_lang = max(1, min(per_lang, MOST_ROWS // len(n)))
     scale = 1 << 20
     share = docs.sparkSession.createDataFrame([(k, int(min(1.0, per_lang / v) * scale)) for k, v in n.items()], "lang string, _most long")
     rows = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(scale)) < F.col("_most")).select("doc_id", "text", "lang").collect()

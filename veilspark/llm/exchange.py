@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Keys of a bucket, and text bytes of a run, on average.
 BUCKET_KEYS = 1 << 20
 RUN_BYTES = 8 << 20
+#: Text bytes up to which runs and buckets keep these sizes. Beyond, both grow as the root of the input, so that the blocks
+#: between them, whose number is that of tasks times buckets, hold more than a few keys each.
+EVEN_BYTES = 1 << 40
 #: Bits of a key that are exchanged.
 KEY_BITS = 48
 
@@ -25,6 +28,11 @@ BLOCK = "bucket long, run long, n long, keys binary, runs binary, counts binary"
 COUNTED = "run long, n long, keys binary, counts binary"
 
 
+def spread(size: int, each: int) -> int:
+    """Into how many runs or buckets of `each` bytes a corpus of `size` bytes goes."""
+    return max(1, int(size / (each * max(1.0, size / EVEN_BYTES) ** 0.5)))
+
+
 def pack(a: np.ndarray) -> bytes:
     """Bytes of an integer array, planes of equal significance together, compressed."""
     a = np.ascontiguousarray(a)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, shared_path, small_batches, text_bytes
 from .components import components
-from .exchange import BLOCK, BUCKET_KEYS, RUN_BYTES, counted, key_blocks, look_up, mixed, run_of, tally
+from .exchange import BLOCK, BUCKET_KEYS, RUN_BYTES, counted, key_blocks, look_up, mixed, run_of, spread, tally
 from .suffix_dedup import _BYTES, _powers
 
 #: Entries of an index list that one task takes; longer lists are dealt out as pairs of pieces.
@@ -81,7 +81,7 @@ def _blocks(width: int, buckets: int):
                     keys.append(key)
                     runs.append(np.full(len(key), r, np.uint32))
                     n += len(key)
-            if n > 2_500_000:
+            if n > 1_200_000:
                 yield from key_blocks(np.concatenate(keys), np.concatenate(runs), buckets)
                 keys, runs, n = [], [], 0
         if n:
@@ -210,8 +210,8 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     small_batches(spark)
     size = text_bytes(docs)
-    runs = max(1, size // RUN_BYTES)
-    buckets = int(max(1, size // 6 // BUCKET_KEYS))
+    runs = spread(size, RUN_BYTES)
+    buckets = spread(size, 6 * BUCKET_KEYS)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("run", run_of(runs))
     repeated = tally(placed.select("run", "text").mapInArrow(_blocks(width, buckets), BLOCK))
     made = placed.groupBy("run").cogroup(repeated.groupBy("run")).applyInArrow(_index(width, percent), INDEXED)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, text_bytes
-from .exchange import BLOCK, BUCKET_KEYS, RUN_BYTES, bucket_of, counted, key_blocks, look_up, mixed, pack, pack_sorted, run_of, tally, unpack, unpack_sorted
+from .exchange import BLOCK, BUCKET_KEYS, RUN_BYTES, bucket_of, counted, key_blocks, look_up, mixed, pack, pack_sorted, run_of, spread, tally, unpack, unpack_sorted
 
 LENGTH = 100
 ANCHOR = 32
@@ -461,8 +461,8 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of `docs` (doc_id, text)."""
     small_batches(docs.sparkSession)
     size = text_bytes(docs)
-    runs = max(1, size // RUN_BYTES)
-    buckets = int(max(1, size // 30 // (BUCKET_KEYS // 4)))
+    runs = spread(size, RUN_BYTES)
+    buckets = spread(size, 30 * BUCKET_KEYS // 4)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("run", run_of(runs))
     blocks = placed.select("run", "text").mapInArrow(_anchor_blocks(buckets), BLOCK)
     repeated = tally(blocks)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, kept, small_batches, text_bytes
-from .exchange import look_up, pack, run_of, unpack
+from .exchange import pack, run_of, spread, unpack
 from .ngram_join import _LOWER, _WHITE, word_hashes
 
 RUN_BYTES = 16 << 20
@@ -54,25 +54,52 @@ class Pieces:
                 self.bytes[int(sp.id_to_piece(i)[3:-1], 16)] = float(logs[i])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.logs[sp.id_to_piece(i)] = float(logs[i])
-        self.longest = max(map(len, self.logs))
+        self.table: dict[str, float | None] = {}
+
+    def _prefixes(self) -> dict[str, float | None]:
+        """Natural logarithms of the pieces, and None for each string that only begins one; built where it is used."""
+        if not self.table:
+            for piece in self.logs:
+                for n in range(1, len(piece)):
+                    self.table.setdefault(piece[:n], None)
+            self.table.update((k, v * _TEN) for k, v in self.logs.items())
+        return self.table
 
     def word(self, word: str) -> float:
-        """log10 of the summed probability of all segmentations."""
-        text = "▁" + word
-        n, logs, longest, ten = len(text), self.logs, self.longest, math.log(10)
-        alpha = [-math.inf] * (n + 1)
-        alpha[0] = 0.0
-        for j in range(1, n + 1):
-            terms = []
-            for i in range(max(0, j - longest), j):
-                v = logs.get(text[i:j])
+        """log10 of the summed probability of all segmentations.
+
+        `into[j]` gathers the paths that end at place j; from each place, pieces are followed only while some piece goes on.
+        """
+        table, text, exp = self._prefixes(), "▁" + word, math.exp
+        n = len(text)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        alpha = 0.0
+        for i in range(n):
+            if i:
+                alpha = _log_sum(into[i], exp)
+            c = text[i]
+            if table.get(c) is None:
+                into[i + 1].append(alpha + _TEN * sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass")))
+            for j in range(i + 1, n + 1):
+                piece = text[i:j]
+                if piece not in table:
+                    break
+                v = table[piece]
                 if v is not None:
-                    terms.append(alpha[i] + v)
-            if text[j - 1] not in logs:
-                terms.append(alpha[j - 1] + sum(self.bytes[b] for b in text[j - 1].encode("utf-8", "surrogatepass")))
-            most = max(terms)
-            alpha[j] = most if len(terms) == 1 else most + math.log(sum(math.exp((t - most) * ten) for t in terms)) / ten
-        return alpha[n]
+                    into[j].append(alpha + v)
+        return _log_sum(into[n], exp) / _TEN
+
+
+_TEN = math.log(10)
+
+
+def _log_sum(terms: list[float], exp=math.exp) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    most, total = max(terms), 0.0
+    for t in terms:
+        total += exp(t - most)
+    return most + math.log(total)
 
 
 def distinct_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -99,61 +126,6 @@ def _word_at(data: bytes, start: int) -> bytes:
         end += 4 * (end - start)
 
 
-def _piece_counts(model: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        total, docs = np.zeros(sp.get_piece_size(), np.int64), 0
-        parts: list[tuple[np.ndarray, np.ndarray, list[bytes]]] = []
-        held = 0
-
-        def flush():
-            h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            words = [w for p in parts for w in p[2]]
-            u, first, back = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(back, weights=n).astype(np.int64)
-            for i in range(0, len(u), 20_000):
-                ids = sp.encode([words[k].decode() for k in first[i : i + 20_000].tolist()], num_threads=1)
-                many = np.repeat(n[i : i + 20_000], [len(x) for x in ids])
-                flat = np.fromiter((y for x in ids for y in x), np.int64, len(many))
-                total[:] += np.bincount(flat, weights=many, minlength=len(total)).astype(np.int64)
-            parts.clear()
-
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            docs += len(texts)
-            h, _, start, data = distinct_words([t or "" for t in texts])
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            parts.append((u, n, [_word_at(data, s) for s in start[first].tolist()]))
-            held += len(u)
-            if held > 1_000_000:
-                flush()
-                held = 0
-        if parts:
-            flush()
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"piece": pa.array(np.append(at, -1), pa.int64()), "n": pa.array(np.append(total[at], docs), pa.int64())})
-
-    return run
-
-
-def learn_pieces(training: DataFrame, model: str) -> Pieces:
-    """Counts over all training rows; what comes back is one number for each piece of the vocabulary."""
-    import sentencepiece
-
-    small_batches(training.sparkSession)
-    rows = training.select("text").mapInArrow(_piece_counts(model), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(sentencepiece.SentencePieceProcessor(model_file=model).get_piece_size(), np.int64)
-    ends = 0
-    for r in rows:
-        if r["piece"] < 0:
-            ends = r["n"]
-        else:
-            counts[r["piece"]] = r["n"]
-    return Pieces(model, counts, ends)
-
-
 WORDS = "bucket long, n long, words binary, size long, counts binary, pairs long, at binary, runs binary"
 KNOWN = "run long, n long, keys binary, counts binary, logs binary, tokens long, distinct long"
 
@@ -217,27 +189,69 @@ def _word_blocks(buckets: int):
     return run
 
 
+def _bucket_words(rows: pa.Table) -> tuple[dict[bytes, int], list[int], list[np.ndarray]]:
+    """A bucket's distinct words with their places, their training counts, and for each row the places of its words."""
+    index: dict[bytes, int] = {}
+    counts: list[int] = []
+    own = []
+    for text, size, n, packed in zip(*(rows.column(c).to_pylist() for c in ("words", "size", "n", "counts")), strict=True):
+        words = pa.decompress(text, decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")
+        at = np.empty(n, np.int64)
+        for i, (w, c) in enumerate(zip(words, unpack(packed, n, "<i8").tolist(), strict=True)):
+            k = index.get(w)
+            if k is None:
+                k = index[w] = len(counts)
+                counts.append(c)
+            else:
+                counts[k] += c
+            at[i] = k
+        own.append(at)
+    return index, counts, own
+
+
+def _piece_counts(model: str):
+    """How often the vocabulary's pieces cut a bucket's training words: each distinct word is cut once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        import sentencepiece
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        index, counts, _ = _bucket_words(rows)
+        total = np.zeros(sp.get_piece_size(), np.int64)
+        seen = [(w.decode(), c) for w, c in zip(index, counts, strict=True) if c]
+        for i in range(0, len(seen), 20_000):
+            part = seen[i : i + 20_000]
+            ids = sp.encode([w for w, _ in part], num_threads=1)
+            many = np.repeat([c for _, c in part], [len(x) for x in ids])
+            flat = np.fromiter((y for x in ids for y in x), np.int64, len(many))
+            total += np.bincount(flat, weights=many, minlength=len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        return pa.table({"piece": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    return run
+
+
+def learn_pieces(blocks: DataFrame, model: str, ends: int) -> Pieces:
+    """Counts over all training words; what comes back is one number for each piece of the vocabulary."""
+    import sentencepiece
+
+    rows = blocks.groupBy("bucket").applyInArrow(_piece_counts(model), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(sentencepiece.SentencePieceProcessor(model_file=model).get_piece_size(), np.int64)
+    for r in rows:
+        counts[r["piece"]] = r["n"]
+    return Pieces(model, counts, ends)
+
+
 def _settle_words(held):
     """Sum the counts of a bucket's words, run the recursion for each, and tell the runs."""
 
     def run(rows: pa.Table) -> pa.Table:
         pieces: Pieces = held.value
-        index: dict[bytes, int] = {}
-        counts: list[int] = []
+        index, counts, own = _bucket_words(rows)
         at, runs = [], []
-        for r in rows.to_pylist():
-            words = pa.decompress(r["words"], decompressed_size=r["size"], codec="zstd", asbytes=True).split(b"\n")
-            own = []
-            for w, c in zip(words, unpack(r["counts"], r["n"], "<i8").tolist(), strict=True):
-                k = index.get(w)
-                if k is None:
-                    k = index[w] = len(counts)
-                    counts.append(c)
-                else:
-                    counts[k] += c
-                own.append(k)
-            at.append(np.array(own)[np.cumsum(unpack(r["at"], r["pairs"], "<u4").astype(np.int64))])
-            runs.append(unpack(r["runs"], r["pairs"], "<u4"))
+        for places, packed, sent, n in zip(own, *(rows.column(c).to_pylist() for c in ("at", "runs", "pairs")), strict=True):
+            at.append(places[np.cumsum(unpack(packed, n, "<u4").astype(np.int64))])
+            runs.append(unpack(sent, n, "<u4"))
         texts = [w.decode() for w in index]
         logs = np.array([pieces.word(w) for w in texts], "<f4")
         total = np.array(counts, "<i8")
@@ -308,13 +322,13 @@ def lattice_scores(docs: DataFrame, model: str) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     size = text_bytes(docs)
-    runs, buckets = max(1, size // RUN_BYTES), int(max(1, size // BUCKET_BYTES))
+    runs, buckets = spread(size, RUN_BYTES), spread(size, BUCKET_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"held_out": F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)), "run": run_of(runs)})
-    training = rows.where(~F.col("held_out"))
-    ends = training.count()
-    pieces = learn_pieces(training, model)
+    ends = rows.where(~F.col("held_out")).count()
+    # Written once: the words are read for the pieces, and again for the recursion.
+    blocks = kept(rows.select("run", (~F.col("held_out")).cast("int").alias("train"), "text").mapInArrow(_word_blocks(buckets), WORDS), "words")
+    pieces = learn_pieces(blocks, model, ends)
     held = spark.sparkContext.broadcast(pieces)  # as many numbers as the vocabulary has pieces
-    blocks = rows.select("run", (~F.col("held_out")).cast("int").alias("train"), "text").mapInArrow(_word_blocks(buckets), WORDS)
     known = kept(blocks.groupBy("bucket").applyInArrow(_settle_words(held), KNOWN), "words")
     sums = known.where("run = -1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n_train = (sums["n"] or 0) + ends

@@ -30,6 +30,8 @@ from .common import small_batches
 END_ID = 2
 #: Text bytes of one part.
 PART_BYTES = 16 << 20
+#: Beyond so many parts they grow instead, as one row for each comes to the driver.
+MOST_PARTS = 200_000
 #: Words whose ids a worker keeps in each of two generations.
 CACHE_WORDS = 300_000
 
@@ -110,14 +112,26 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _write(to: str, name: str, ids: list[bytes], lengths: list[int], docs: list[int]) -> None:
-    store, root = fs.FileSystem.from_uri(to)
-    offsets = np.zeros(len(lengths) + 1, "<i8")
-    np.cumsum(np.array(lengths, "<i8"), out=offsets[1:])
-    for suffix, chunks in ((".bin", ids), (".off", [offsets.tobytes()]), (".doc", [np.array(docs, "<i8").tobytes()])):
-        with store.open_output_stream(f"{root}/{name}{suffix}") as f:
-            for c in chunks:
-                f.write(c)
+class PartWriter:
+    """Files of one part, written as batches come; only offsets and document ids are held."""
+
+    def __init__(self, folder: str, name: str):
+        self.store, self.root = fs.FileSystem.from_uri(folder)
+        self.name, self.lengths, self.docs = name, array("q"), array("q")
+        self.stream = self.store.open_output_stream(f"{self.root}/{name}.bin")
+
+    def add(self, doc: int, ids: bytes, width: int) -> None:
+        self.stream.write(ids)
+        self.lengths.append(len(ids) // width)
+        self.docs.append(doc)
+
+    def close(self) -> None:
+        self.stream.close()
+        offsets = np.zeros(len(self.lengths) + 1, "<i8")
+        np.cumsum(np.array(self.lengths, "<i8"), out=offsets[1:])
+        for suffix, data in ((".off", offsets), (".doc", np.array(self.docs, "<i8"))):
+            with self.store.open_output_stream(f"{self.root}/{self.name}{suffix}") as f:
+                f.write(data.tobytes())
 
 
 def write_tokens(docs: DataFrame, to: str, tokenizer: str, order: list[Column] | None = None, end_id: int = END_ID) -> DataFrame:
@@ -126,7 +140,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, order: list[Column] |
     small_batches(spark)
     keys = order or [F.col("doc_id"), F.col("text")]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, size // PART_BYTES + 1)
+    parts = min(size // PART_BYTES + 1, MOST_PARTS)
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     by = [f"_k{i}" for i in range(len(keys))]
     plain = order is None
@@ -142,18 +156,17 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, order: list[Column] |
 
         context, words = TaskContext.get(), encoder(tokenizer)
         end = np.array([end_id], words.dtype).tobytes()
-        ids, lengths, kept = [], [], []
+        part, out = context.partitionId(), None
         for b in batches:
-            if b.num_rows:
-                for d, x in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist()), strict=True):
-                    ids.append(x + end)
-                    lengths.append(len(ids[-1]) // words.dtype.itemsize)
-                    kept.append(-1 if d is None else d)
-        if kept:
-            part = context.partitionId()
-            name = f"part-{part:06d}-{uuid.uuid4().hex}"
-            _write(to, name, ids, lengths, kept)
-            yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "width": [words.dtype.itemsize], "docs": [len(kept)], "tokens": [sum(lengths)]})
+            if not b.num_rows:
+                continue
+            if out is None:
+                out = PartWriter(to, f"part-{part:06d}-{uuid.uuid4().hex}")
+            for d, x in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist()), strict=True):
+                out.add(-1 if d is None else d, x + end, len(end))
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_pydict({"part": [part], "name": [out.name], "width": [len(end)], "docs": [len(out.docs)], "tokens": [sum(out.lengths)]})
 
     # One row for each part comes back; their number is the data's size over PART_BYTES.
     found = laid.mapInArrow(write, "part long, name string, width long, docs long, tokens long").collect()

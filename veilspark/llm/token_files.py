@@ -33,7 +33,7 @@ PART_BYTES = 16 << 20
 #: Beyond so many parts they grow instead, as one row for each comes to the driver.
 MOST_PARTS = 200_000
 #: Words whose ids a worker keeps in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 550_000
 
 
 def byte_letters() -> list[str]:

@@ -38,6 +38,25 @@ def test_boilerplate_in_and_around_articles():
     assert html_text.main_text(page) == "Head\nOne.\nTwo\nthree <x> y"
 
 
+LONG = "Words of a paragraph that goes on for long enough to count as text, number {}, with nothing linked."
+
+
+def _paragraphs(*numbers):
+    return "".join(f"<p>{LONG.format(i)}</p>" for i in numbers), [LONG.format(i) for i in numbers]
+
+
+def test_density_decides_among_regions():
+    (a, x), (b, y), (c, z) = _paragraphs(1, 2, 3), _paragraphs(4, 5), _paragraphs(6, 7, 8)
+    nav = "<nav><a href=x>one</a> <a href=y>two</a></nav>"
+    # Sibling articles, the text beside the article of a main region, and text outside of an empty article.
+    assert html_text.main_text(f"<body>{nav}<article>{a}</article><article>{b}</article></body>").split("\n") == x + y
+    assert html_text.main_text(f"<body>{nav}<main><article>{a}</article><div>{b}</div></main></body>").split("\n") == x + y
+    assert html_text.main_text(f"<body>{nav}<article><p>Card</p></article><div>{a}{c}</div></body>").split("\n") == x + z
+    # Text that stands loose beside the densest subtree.
+    loose = " ".join(LONG.format(i) for i in (9, 10, 11))
+    assert html_text.main_text(f"<body><div>{loose} <b>Bold.</b><div>{a}</div></div></body>").split("\n") == [loose + " Bold.", *x]
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just text"), (4, "u", "<p>a<p>b</div></p>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "a < b & c"), (None, None, "<script>x"), (4, "u", "<p>a<p>b</div></p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

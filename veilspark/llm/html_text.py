@@ -2,8 +2,8 @@
 
 Each page becomes a tree; regions that are named or tagged as boilerplate are cut; every node left gets its composite
 density, characters per tag adjusted by the characters and tags of links; densities of children are summed, and the
-subtree with the largest sum is the main text, together with the outermost nodes whose density reaches the least density
-on the path from the body to it. Pages are independent, so one pass over the rows does it all.
+subtree with the largest sum is the main text, together with the outermost nodes, and runs of loose text, whose density
+reaches the least density on the path from the body to it. Articles and main regions have a weight in that search. Pages are independent, so one pass over the rows does it all.
 
 Behaviour: null, empty and markup-free pages work (text without any tag is one block); unclosed and stray tags
 are repaired as browsers do for paragraphs, list items and table parts; repeated rows give repeated results; an empty table
@@ -49,6 +49,8 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Weight of the density sum of articles and main regions: all that such a tag, role or itemprop counts for.
+SEMANTIC = 4.0
 OWN_SCOPE = frozenset("table td th caption button object html body article section main div blockquote".split())
 
 
@@ -146,7 +148,18 @@ def _article_header(node: Node) -> bool:
     return up is not None and any(x.tag in ("h1", "h2") for x in in_order(node))
 
 
-def densities(root: Node) -> list[Node]:
+def composite(c: int, t: int, lc: int, lt: int, linked: float) -> float:
+    """Density of c characters in t tags, of which lc and lt are links', where `linked` is the page's share of link text."""
+    if not c:
+        return 0.0
+    # The logarithm's base is above e, so it never divides by zero; a node of links only keeps a trace of its density.
+    base = math.log(c / max(c - lc, 1) * lc + linked * c + math.e * math.e)
+    t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
+    return c / t * max(math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.5)), 1e-3)
+
+
+def densities(root: Node) -> tuple[list[Node], float]:
+    """All nodes in page order, and the page's share of link text."""
     nodes = in_order(root)
     for n in nodes:
         n.chars = sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
@@ -163,44 +176,53 @@ def densities(root: Node) -> list[Node]:
     body = next((n for n in nodes if n.tag == "body"), root)
     linked = body.link_chars / body.chars if body.chars else 0.0
     for n in nodes:
-        c, t, lc, lt = n.chars, max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
-        plain = max(c - n.link_chars, 1)
-        if not c:
-            n.density = 0.0
-            continue
-        # The logarithm's base is above e, so it never divides by zero; a node of links only keeps a trace of its density.
-        base = math.log(c / plain * n.link_chars + linked * c + math.e * math.e)
-        n.density = c / t * max(math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.5)), 1e-3)
+        n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, linked)
     for n in nodes:
         n.total = sum(x.density for x in n.items if isinstance(x, Node))
-    return nodes
+    return nodes, linked
 
 
 def content(root: Node) -> list[Node]:
     """The outermost nodes of the main text, in page order."""
-    nodes = densities(root)
-    inside = [n for n in nodes if n.main and n.chars]
-    top = max(inside, key=lambda n: n.chars) if inside else next((n for n in nodes if n.tag == "body"), root)
-    if inside:
-        # The page itself says where its article is; densities only choose between several such regions.
-        outer = [n for n in inside if not any(p.main for p in _path(n)[1:])]
-        best = max(outer, key=lambda n: (n.total + n.density, n.chars))
-        inner = [n for n in inside if n.tag == "article" and best in _path(n)[1:]]
-        return [max(inner, key=lambda n: n.chars)] if len(inner) == 1 and inner[0].chars * 2 > best.chars else [best]
-    under = in_order(top)
-    best = max(under, key=lambda n: n.total, default=top)
+    nodes, linked = densities(root)
+    body = next((n for n in nodes if n.tag == "body"), root)
+    top = body if body.chars == root.chars else root
+    best = max(in_order(top), key=lambda n: n.total * (SEMANTIC if n.main else 1.0))
     if best.total == 0:
         return [top]
-    threshold = min(n.density for n in _path(best) if n is top or top in _path(n))
-    above = {id(n) for n in _path(best)}
+    above = _path(best)[: _path(best).index(top) + 1]
+    threshold = min(n.density for n in above)
+    path = {id(n) for n in above}
     out, stack = [], [top]
     while stack:
         n = stack.pop()
-        if n is best or (n.density >= threshold and id(n) not in above):
+        if n is best or (id(n) not in path and n.density >= threshold):
             out.append(n)
         else:
-            stack.extend(x for x in reversed(n.items) if isinstance(x, Node))
-    return out or [top]
+            stack.extend(reversed(_units(n, path, linked)))
+    return out
+
+
+def _units(node: Node, path: set[int], linked: float) -> list[Node]:
+    """Blocks in a node, and its runs of text and inline elements, as nodes of their own."""
+    out: list[Node] = []
+    run: list[object] = []
+    for x in [*node.items, None]:
+        if x is not None and (isinstance(x, str) or (x.tag not in BLOCK and x.tag != "br" and id(x) not in path and not any(y.tag in BLOCK for y in in_order(x)))):
+            run.append(x)
+            continue
+        if any(not isinstance(y, str) or y.strip() for y in run):
+            n = Node("#run", node)
+            inside = [y for y in run if isinstance(y, Node)]
+            n.items = list(run)
+            n.chars = sum(len("".join(y.split())) for y in run if isinstance(y, str)) + sum(y.chars for y in inside)
+            n.tags, n.link_chars, n.link_tags = sum(y.tags + 1 for y in inside), sum(y.link_chars for y in inside), sum(y.link_tags for y in inside)
+            n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, linked)
+            out.append(n)
+        run = []
+        if x is not None:
+            out.append(x)
+    return [] if node.tag == "#run" else out
 
 
 def _path(node: Node) -> list[Node]:

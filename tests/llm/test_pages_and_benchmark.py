@@ -57,6 +57,19 @@ def test_density_decides_among_regions():
     assert html_text.main_text(f"<body><div>{loose} <b>Bold.</b><div>{a}</div></div></body>").split("\n") == [loose + " Bold.", *x]
 
 
+def test_names_and_forms_are_only_a_penalty():
+    (a, x), (b, y) = _paragraphs(1, 2, 3), _paragraphs(4, 5, 6)
+    nav, foot = "<nav><a href=x>one</a> <a href=y>two</a></nav>", "<footer>Small print</footer>"
+    for wrapper in ("<form id=aspnetForm><div>{}</div></form>", "<div class='content with-sidebar'>{}</div>", "<div id=layout-menu><div>{}</div></div>", "<div style='overflow:hidden'>{}</div>", "<div class=has-sidebar><article>{}</article></div>", "<form><input><article>{}</article></form>"):
+        assert html_text.main_text(f"<html><body>{nav}{wrapper.format(a)}{foot}</body></html>").split("\n") == x, wrapper
+    # Sections of an article whose names only sound like boilerplate; comments and short boxes go.
+    for name in ("related-work", "legal", "alert", "tags", "search"):
+        page = f"<body>{nav}<article>{a}<section class={name}>{b}</section><div class={name}>Box</div><div class=comments>{b}</div></article>{foot}</body>"
+        assert html_text.main_text(page).split("\n") == x + y, name
+    # A head without its end tag.
+    assert html_text.main_text(f"<html><head><meta charset=x><body><div>{a}</div></body></html>").split("\n") == x
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just text"), (4, "u", "<p>a<p>b</div></p>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "a < b & c"), (None, None, "<script>x"), (4, "u", "<p>a<p>b</div></p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

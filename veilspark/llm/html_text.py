@@ -1,9 +1,11 @@
 """HTML extraction by composite text density.
 
-Each page becomes a tree; regions that are named or tagged as boilerplate are cut; every node left gets its composite
+Each page becomes a tree; every node gets its composite
 density, characters per tag adjusted by the characters and tags of links; densities of children are summed, and the
 subtree with the largest sum is the main text, together with the outermost nodes, and runs of loose text, whose density
-reaches the least density on the path from the body to it. Articles and main regions have a weight in that search. Pages are independent, so one pass over the rows does it all.
+reaches the least density on the path from the body to it. Articles and main regions have a weight in that search, and nodes that are named or tagged as boilerplate a
+penalty, unless they hold a main region or most of the page's unlinked text; in the main text such nodes stay if their
+density still reaches that threshold. Pages are independent, so one pass over the rows does it all.
 
 Behaviour: null, empty and markup-free pages work (text without any tag is one block); unclosed and stray tags
 are repaired as browsers do for paragraphs, list items and table parts; repeated rows give repeated results; an empty table
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""", re.S)
-NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object audio video canvas".split())
-CUT = frozenset("head nav footer aside form button select dialog menu datalist fieldset label".split())
+TAGGED = frozenset("nav footer aside form button select dialog menu datalist fieldset label".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details dialog dir div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -36,6 +38,11 @@ NOISE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|newsletter|subscri\w+|sidebar|side|aside|menu|nav|navbar|navigation|navi|breadcrumbs?|footer|foot|masthead|topbar|site-?header|page-?header|comments?|commentlist|comment-\w+|disqus|replies|respond|social|share|sharing|related|recommend\w*|pagination|pager|login|signin|signup|register|search|toolbar|widget|copyright|legal|disclaimer|skip\w*|paywall|tags?|taglist)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Those of them that sections of an article's own text have too.
+DOUBTFUL = re.compile(
+    r"(?:^|[\s_-])(?:banner|notices?|notification|alerts?|overlay|side|menu|nav|navigation|navi|foot|respond|social|share|sharing|related|recommend\w*|login|signin|signup|register|search|toolbar|widget|copyright|legal|disclaimer|skip\w*|tags?|taglist)(?=$|[\s_-]|\d)",
+    re.I,
+)
 #: A name of its own that marks a page's header, outside of articles.
 HEADER = re.compile(r"(?:^|\s)(?:header|top|banner-top)(?:\s|$)", re.I)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -49,30 +56,41 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
+#: Weight of the density of nodes named or tagged as boilerplate.
+PENALTY = 0.01
+#: Share of the threshold that decides on nodes of doubtful names in articles, and on forms around blocks.
+DOUBT = 0.5
+#: Unlinked characters from which a named node may hold the text although the page has articles.
+MUCH = 200
 #: Weight of the density sum of articles and main regions: all that such a tag, role or itemprop counts for.
 SEMANTIC = 4.0
 OWN_SCOPE = frozenset("table td th caption button object html body article section main div blockquote".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "noise", "main", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "items", "names", "tagged", "main", "chars", "tags", "link_chars", "link_tags", "density", "total", "weight", "sign")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
-        self.tag, self.parent, self.items = tag, parent, []
-        self.noise = tag in CUT
+        self.tag, self.parent, self.items, self.names = tag, parent, [], []
+        self.tagged = tag in TAGGED
         self.main = tag in ("article", "main")
+        self.weight, self.sign = 1.0, None
         if attributes:
-            for name, value in NAMED.findall(attributes):
+            for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id"):
-                    whole = tag in ("body", "html", "article", "main")
-                    self.noise = self.noise or not whole and bool(NOISE.search(value) or HEADER.search(value) and not any(n.main for n in _path(parent)))
+                    if tag not in ("body", "html"):
+                        self.names.append(value)
                 elif name == "role":
-                    self.noise, self.main = self.noise or value in NOISE_ROLES, self.main or value in ("main", "article")
+                    self.tagged, self.main = self.tagged or value in NOISE_ROLES, self.main or value in ("main", "article")
                 elif name == "itemprop":
                     self.main = self.main or value == "articlebody"
-                elif name == "hidden" or value == "true":
-                    self.noise = True
+                elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+                    self.tagged = True
+
+    @property
+    def plain(self) -> int:
+        return self.chars - self.link_chars
 
 
 def tree(page: str) -> Node:
@@ -104,7 +122,7 @@ def tree(page: str) -> Node:
                 done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = done.end() if done else end if tag in ("script", "style") else at
             continue
-        if tag in BLOCK or tag in CUT:
+        if tag in BLOCK or tag in TAGGED or tag == "body":
             up = here
             while up is not None and up.tag != "p" and up.tag not in OWN_SCOPE:
                 up = up.parent
@@ -119,6 +137,8 @@ def tree(page: str) -> Node:
                 up = up.parent
             if last is not None and last.parent is not None:
                 here = last.parent
+        if here.tag == "head" and tag not in VOID:
+            here = here.parent  # as browsers do when the end tag is left out
         node = Node(tag, here, m[3])
         here.items.append(node)
         if tag not in VOID and not m[3].endswith("/"):
@@ -135,17 +155,43 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def prune(root: Node) -> None:
-    """Cut boilerplate; a header goes unless it holds the heading of an article."""
-    for n in in_order(root):
-        n.items = [x for x in n.items if isinstance(x, str) or not (x.noise or (x.tag == "header" and not _article_header(x)))]
+def sign(node: Node, inside: bool) -> str | None:
+    """What marks a node as boilerplate: 'tag', 'name' or, with less certainty, 'doubt'; `inside` a main region or not."""
+    if node.tag == "form" and any(x.tag in BLOCK and x.plain and x is not node for x in in_order(node)):
+        return "doubt"
+    if node.tagged or (node.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in in_order(node)))):
+        return "tag"
+    for value in node.names:
+        if NOISE.search(DOUBTFUL.sub(" ", value) if inside else value) or (HEADER.search(value) and not inside):
+            return "name"
+    return "doubt" if inside and any(NOISE.search(value) for value in node.names) else None
 
 
-def _article_header(node: Node) -> bool:
-    up = node.parent
-    while up is not None and not up.main:
-        up = up.parent
-    return up is not None and any(x.tag in ("h1", "h2") for x in in_order(node))
+def weigh(root: Node, nodes: list[Node]) -> None:
+    """Signs and weights of all nodes. A node that holds a main region, or most of the page's unlinked text, has no sign.
+
+    Regions of under a third of the largest one's text, such as teasers, do not count.
+    """
+    largest = max((n.plain for n in nodes if n.main), default=0)
+    regions = {id(n) for n in nodes if n.main and n.plain and n.plain * 3 >= largest}
+    holds = set(regions)
+    for n in reversed(nodes):
+        if id(n) in holds and n.parent is not None:
+            holds.add(id(n.parent))
+    inside: set[int] = set()
+    for n in nodes:
+        up = n.parent
+        if up is not None:
+            n.weight = up.weight
+            if id(up) in inside or id(up) in regions:
+                inside.add(id(n))
+        if id(n) in holds or n.tag in ("#root", "html", "body") or not n.chars:
+            continue
+        n.sign = sign(n, id(n) in inside)
+        if n.sign and n.plain * 2 > root.plain and (not regions or (n.sign != "tag" and n.plain >= MUCH and n.plain > 4 * largest)):
+            n.sign = None
+        if n.sign in ("tag", "name"):
+            n.weight *= PENALTY
 
 
 def composite(c: int, t: int, lc: int, lt: int, linked: float) -> float:
@@ -173,10 +219,11 @@ def densities(root: Node) -> tuple[list[Node], float]:
             p.tags += n.tags + 1
             p.link_chars += n.link_chars
             p.link_tags += n.link_tags
+    weigh(root, nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     linked = body.link_chars / body.chars if body.chars else 0.0
     for n in nodes:
-        n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, linked)
+        n.density = n.weight * composite(n.chars, n.tags, n.link_chars, n.link_tags, linked)
     for n in nodes:
         n.total = sum(x.density for x in n.items if isinstance(x, Node))
     return nodes, linked
@@ -187,9 +234,9 @@ def content(root: Node) -> list[Node]:
     nodes, linked = densities(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     top = body if body.chars == root.chars else root
-    best = max(in_order(top), key=lambda n: n.total * (SEMANTIC if n.main else 1.0))
+    best = max((n for n in in_order(top) if n.weight == 1), key=lambda n: n.total * (SEMANTIC if n.main else 1.0))
     if best.total == 0:
-        return [top]
+        best = top
     above = _path(best)[: _path(best).index(top) + 1]
     threshold = min(n.density for n in above)
     path = {id(n) for n in above}
@@ -200,6 +247,9 @@ def content(root: Node) -> list[Node]:
             out.append(n)
         else:
             stack.extend(reversed(_units(n, path, linked)))
+    for o in out:
+        for n in in_order(o):
+            n.items = [x for x in n.items if isinstance(x, str) or not x.sign or x.density >= threshold * (DOUBT if x.sign == "doubt" else 1.0)]
     return out
 
 
@@ -217,7 +267,7 @@ def _units(node: Node, path: set[int], linked: float) -> list[Node]:
             n.items = list(run)
             n.chars = sum(len("".join(y.split())) for y in run if isinstance(y, str)) + sum(y.chars for y in inside)
             n.tags, n.link_chars, n.link_tags = sum(y.tags + 1 for y in inside), sum(y.link_chars for y in inside), sum(y.link_tags for y in inside)
-            n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, linked)
+            n.density = node.weight * composite(n.chars, n.tags, n.link_chars, n.link_tags, linked)
             out.append(n)
         run = []
         if x is not None:
@@ -264,7 +314,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = tree(page)
-    prune(root)
+    for n in in_order(root):
+        n.items = [x for x in n.items if isinstance(x, str) or x.tag != "head"]
     return "\n".join(b for n in content(root) for b in blocks(n))
 
 

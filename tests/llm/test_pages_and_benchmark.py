@@ -137,3 +137,26 @@ def test_empty_tables(spark, table):
     some = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     assert D.matches(table([(1, "a b")]), none).count() == 0 and D.clean(table([(1, "a b")]), none).count() == 1
     assert D.matches(table([]), some).count() == 0 and D.clean(table([]), some).count() == 0
+
+
+def test_recall_by_length_of_item(spark, table):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("aeioubcdrst") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    lengths = [8, 12, 16, 24, 40, 80, 200]
+    items = [(i, some(lengths[i % 7])) for i in range(420)]
+    bench = spark.createDataFrame([(i, " ".join(t[:-4]) + ". " + " ".join(t[-4:]) + ".") for i, t in items], "item_id long, text string")
+    docs, brute = [], {}
+    for i, t in items:
+        # A quarter of the words before the answer dropped, three tenths of the rest changed.
+        p = [x if rng.random() > 0.3 else rng.choice(vocab) for x in t[:-4] if rng.random() > 0.25] + t[-4:]
+        docs.append((i, " ".join(some(rng.randrange(30, 150)) + p + some(rng.randrange(30, 150)))))
+        w, answer = D.words(docs[-1][1]), [x.encode() for x in t[-4:]]
+        target = D.words(" ".join(t[:-4]) + ". " + " ".join(t[-4:]) + ".")
+        regions = [w[at : at + 2 * len(t)] for at in range(0, len(w), 4)]
+        shares = [(D.common_subsequence(target, x) / len(t), D.common_subsequence(answer, x) / 4) for x in regions]
+        brute[i] = any(x >= D.SURE or (x >= D.LIKELY and y >= D.ANSWER) for x, y in shares)
+    found = {(r["doc_id"], r["item_id"]) for r in D.matches(table(docs), bench).collect()}
+    assert all(sum(brute[i] for i, t in items if len(t) == n) > 20 for n in lengths)
+    recall = {n: np.mean([(i, i) in found for i, t in items if len(t) == n and brute[i]]) for n in lengths}
+    assert min(recall.values()) >= 0.9, recall

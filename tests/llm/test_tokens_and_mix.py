@@ -59,3 +59,20 @@ def test_mix_places_all(spark):
 def test_mix_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, mix_slot long")
     assert mixing.mix(df).count() == 0
+
+
+def test_fair_to_the_weights_over_periods():
+    for weights in ({f"s{i}": 0.3 / 19 for i in range(19)} | {"hot": 0.7}, {"a": 1.0, "b": 0.0001, "c": 0.37}):
+        total, had, n = sum(weights.values()), dict.fromkeys(weights, 0), 0
+        for quota, _ in zip(mixing.period_quotas(weights, 128), range(100)):
+            for k, _, _ in mixing.schedule(quota):
+                had[k], n = had[k] + 1, n + 1
+                assert all(abs(had[s] - w / total * n) < 2 for s, w in weights.items())
+
+
+def test_mix_over_periods_keeps_to_the_weights(spark):
+    df = spark.createDataFrame([(i, "a" if i < 2400 else "b") for i in range(3200)], "doc_id long, source string")
+    got = mixing.mix(df, {"a": 0.74, "b": 0.26}, block_docs=1, period=16).collect()
+    assert len(got) == len({r["mix_slot"] for r in got}) == 3200
+    a = sorted(r["mix_slot"] for r in got if r["source"] == "a")
+    assert all(abs(i + 1 - 0.74 * (s + 1)) < 2 for i, s in enumerate(a))

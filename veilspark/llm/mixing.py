@@ -1,10 +1,9 @@
 """Mixing sources to target weights: Pfair subtasks, interleaved earliest deadline first.
 
 A source's documents are dealt, in an order given by a hash of the id, into blocks of `block_docs`. Weights become whole
-quotas of a period of `period` slots, so block i of a source with quota q is released at floor(i*period/q) and due at
-ceil((i+1)*period/q). Weights sum to one, so earliest deadline first meets every deadline, and at any slot a source
-has had less than one block more or less than its share. The schedule repeats after `period` slots with no lag left,
-so only one period is ever computed and slots of later blocks follow by arithmetic. When a source has run out, its
+quotas of each period of `period` slots, and what rounding gives or takes is carried to the next period. In a period, block i of
+a source with quota q is released at floor(i*period/q) and due at ceil((i+1)*period/q), and earliest deadline first meets every
+deadline. So the distance from the exact weights does not grow with the number of periods. When a source has run out, its
 slots stay empty: no document is dropped or repeated.
 
 Behaviour: a null source is a source of its own; repeated rows each take a place; ties of the hash go by id and then
@@ -15,8 +14,11 @@ which are replaced.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 32
@@ -25,24 +27,33 @@ PERIOD = 4096
 BUCKET_DOCS = 500
 
 
+def period_quotas(weights: dict[str, float], period: int) -> Iterator[dict[str, int]]:
+    """Whole slots for each source, period after period, by largest remainder; rounding errors are carried on."""
+    total = sum(map(Fraction, weights.values()))
+    share = {k: Fraction(w) / total * period for k, w in weights.items()}
+    due = dict.fromkeys(weights, Fraction(0))
+    while True:
+        due = {k: d + share[k] for k, d in due.items()}
+        out = {k: max(0, d.__floor__()) for k, d in due.items()}
+        short = period - sum(out.values())
+        order = sorted(out, key=lambda k: (out[k] - due[k], k))
+        for k in order[:short] if short >= 0 else [k for k in reversed(order) if out[k]][:-short]:
+            out[k] += 1 if short >= 0 else -1
+        due = {k: d - out[k] for k, d in due.items()}
+        yield out
+
+
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots for each source, by largest remainder, one at least."""
+    """The quotas of the first period."""
     if len(weights) * 2 > period:
         raise ValueError("period must be at least twice the number of sources")
-    total = sum(weights.values())
-    free = period - len(weights)
-    exact = {k: w / total * free for k, w in weights.items()}
-    out = {k: 1 + int(v) for k, v in exact.items()}
-    short = period - sum(out.values())
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[:short]:
-        out[k] += 1
-    return out
+    return next(period_quotas(weights, period))
 
 
 def schedule(quota: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, block of the period, slot) for one period."""
     period = sum(quota.values())
-    waiting = [(0, -(-period // q), k, 0) for k, q in quota.items()]
+    waiting = [(0, -(-period // q), k, 0) for k, q in quota.items() if q]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out = []
@@ -68,6 +79,27 @@ def tempered_weights(docs: DataFrame, power: float = 0.5) -> dict[str, float]:
     return {r["k"]: float(r["count"]) ** power for r in rows}
 
 
+def slots_of(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int], period: int) -> DataFrame:
+    """_k, mix_block and _slot of all blocks. The driver holds the quotas; tasks lay out the periods."""
+    names, had, rows = sorted(weights), dict.fromkeys(weights, 0), []
+    for p, quota in enumerate(period_quotas(weights, period)):
+        if all(had[k] >= blocks[k] for k in names):
+            break
+        if any(quota[k] and had[k] < blocks[k] for k in names):
+            rows.append((p, [quota[k] for k in names], [had[k] for k in names]))
+        had = {k: had[k] + quota[k] for k in names}
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                first = dict(zip(names, r["first"], strict=True))
+                got = [(k, first[k] + i, r["p"] * period + s) for k, i, s in schedule(dict(zip(names, r["quota"], strict=True))) if first[k] + i < blocks[k]]
+                k, i, s = zip(*got, strict=True) if got else ((), (), ())
+                yield pa.RecordBatch.from_pydict({"_k": pa.array(k, pa.string()), "mix_block": pa.array(i, pa.int64()), "_slot": pa.array(s, pa.int64())})
+
+    return spark.createDataFrame(rows, "p long, quota array<long>, first array<long>").mapInArrow(lay, "_k string, mix_block long, _slot long")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
     """`docs` with mix_block, mix_slot and mix_position (long); ascending mix_position is the mixed order.
 
@@ -82,11 +114,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     if weights is not None:
         given = {("n" if k is None else "s" + k): w for k, w in weights.items()}
         natural = {k: given.get(k, min(given.values())) for k in natural}
-    quota = quotas(natural, max(period, 2 * len(natural)))
-    length = sum(quota.values())
-    # One row for each slot of the period: its size is a parameter, not the data's.
-    slots = spark.createDataFrame([(k, i, s, quota[k]) for k, i, s in schedule(quota)], "_k string, _i long, _slot long, _q long")
-    shares = slots.select("_k", "_q").distinct()
+    length = max(period, 2 * len(natural))
+    blocks = {r["k"]: -(-r["count"] // block_docs) for r in docs.groupBy(source_key().alias("k")).count().collect()}
+    slots = slots_of(spark, natural, blocks, length)
 
     order = F.xxhash64(F.col("doc_id"), F.lit("mix"))
     n = docs.count()
@@ -100,10 +130,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     block = F.floor(F.col("_at") / block_docs)
     out = (
         placed.withColumn("mix_block", block.cast("long"))
-        .join(F.broadcast(shares), "_k")
-        .withColumn("_i", F.col("mix_block") % F.col("_q"))
-        .join(F.broadcast(slots.drop("_q")), ["_k", "_i"])
-        .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("_q")) * length + F.col("_slot"))
+        .join(slots, ["_k", "mix_block"])
+        .withColumnRenamed("_slot", "mix_slot")
         .withColumn("mix_position", F.col("mix_slot") * block_docs + F.col("_at") % block_docs)
     )
     return out.select(*docs.columns, "mix_block", "mix_slot", "mix_position")

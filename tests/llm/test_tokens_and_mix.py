@@ -12,16 +12,16 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_round_trip(spark, table, odd, sf_dir):
-    rows = [(i, t) for i, t in odd if i is not None] + [(20, "don't <|endoftext|> stop. É ́a ΣΑΣ, x!!"), (21, "a" * 9000)]
+    rows = odd + [(-1, "minus"), (20, "don't <|endoftext|> stop. É ́a ΣΑΣ, x!!"), (21, "a" * 9000)]
     rows += [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     manifest = token_files.write_tokens(table(rows), shared_path(spark, "tokens"), PATH)
-    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_tokens(spark, manifest).collect())
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_tokens(spark, manifest).collect()), key=lambda r: r[0])
     tok, start, want = Tokenizer.from_file(PATH), 0, []
-    for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((start, i, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert got == sorted(want)
+    assert got == want
 
 
 def test_empty_tokens(spark, table):
@@ -30,17 +30,26 @@ def test_empty_tokens(spark, table):
 
 
 def test_fair_in_every_prefix():
+    """Against the exact weights, over many periods that know nothing of each other, near the start and far from it."""
     rng = random.Random(2)
-    for _ in range(20):
-        weights = {f"s{i}": rng.random() + 0.01 for i in range(rng.randrange(1, 30))}
-        quota = mixing.quotas(weights, 512)
-        period = sum(quota.values())
-        assert period == 512
-        had = dict.fromkeys(quota, 0)
-        for n, (k, i, slot) in enumerate(mixing.schedule(quota)):
-            assert slot == n and i == had[k]
-            had[k] += 1
-            assert all(abs(had[s] - quota[s] * (n + 1) / period) < 1 for s in quota)
+    for trial in range(80):
+        n = rng.randrange(1, 14)
+        kinds = (lambda: rng.random() + 0.001, lambda: rng.choice([1, 1, 2, 3, 50]), lambda: 10 ** rng.uniform(-3, 1), lambda: rng.choice([0.45, 0.1, 0.05]))
+        shares = mixing.whole_shares({f"s{i}": kinds[trial % 4]() for i in range(n)})
+        total, period, first = sum(shares.values()), rng.choice([1, 2, 7, 50]), rng.choice([0, rng.randrange(10**6)])
+        had = mixing.had_at(shares, first * period)
+        for p in range(first, first + 30):
+            for slot, (k, i, at) in enumerate(mixing.lay_out(shares, p * period, (p + 1) * period), p * period):
+                assert at == slot and i == had[k]
+                assert i * total // shares[k] <= slot < -(-(i + 1) * total // shares[k])  # released, and not overdue
+                had[k] += 1
+                assert all(abs(had[s] * total - shares[s] * (slot + 1)) < total for s in shares)
+
+
+def test_weights_are_exact():
+    assert mixing.whole_shares({"a": 0.5, "b": 1, "c": 0.25}) == {"a": 2, "b": 4, "c": 1}
+    shares = mixing.whole_shares({"a": 0.1, "b": 0.7})
+    assert shares["a"] / sum(shares.values()) == 0.1 / 0.8
 
 
 def test_mix_places_all(spark):
@@ -61,18 +70,32 @@ def test_mix_empty(spark):
     assert mixing.mix(df).count() == 0
 
 
-def test_fair_to_the_weights_over_periods():
-    for weights in ({f"s{i}": 0.3 / 19 for i in range(19)} | {"hot": 0.7}, {"a": 1.0, "b": 0.0001, "c": 0.37}):
-        total, had, n = sum(weights.values()), dict.fromkeys(weights, 0), 0
-        for quota, _ in zip(mixing.period_quotas(weights, 128), range(100)):
-            for k, _, _ in mixing.schedule(quota):
-                had[k], n = had[k] + 1, n + 1
-                assert all(abs(had[s] - w / total * n) < 2 for s, w in weights.items())
-
-
 def test_mix_over_periods_keeps_to_the_weights(spark):
     df = spark.createDataFrame([(i, "a" if i < 2400 else "b") for i in range(3200)], "doc_id long, source string")
     got = mixing.mix(df, {"a": 0.74, "b": 0.26}, block_docs=1, period=16).collect()
     assert len(got) == len({r["mix_slot"] for r in got}) == 3200
     a = sorted(r["mix_slot"] for r in got if r["source"] == "a")
-    assert all(abs(i + 1 - 0.74 * (s + 1)) < 2 for i, s in enumerate(a))
+    assert all(abs(i + 1 - 0.74 * (s + 1)) < 1 + 1e-9 for i, s in enumerate(a))
+
+
+def test_mix_equals_slot_by_slot(spark):
+    """One slot after another over all blocks: each block lies between its release and its deadline, and all of them are there."""
+    n = {"a": 300, "b": 77, "c": 9}
+    df = spark.createDataFrame([(i, k) for k, m in n.items() for i in range(m)], "doc_id long, source string")
+    got = mixing.mix(df, block_docs=2, period=8).collect()
+    shares = {k[1:]: v for k, v in mixing.whole_shares(mixing.tempered_weights({"s" + k: m for k, m in n.items()})).items()}
+    total, free = sum(shares.values()), {}
+    for k, m in n.items():
+        for i in range(-(-m // 2)):
+            free[k, i] = (i * total // shares[k], -(-(i + 1) * total // shares[k]))
+    slots = {(r["source"], r["mix_block"]): r["mix_slot"] for r in got}
+    assert slots.keys() == free.keys() and len(set(slots.values())) == len(slots)
+    assert all(release <= slots[x] < due for x, (release, due) in free.items())
+    assert all(r["mix_position"] // 2 == r["mix_slot"] for r in got)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "a", i + 1, i + 2, i + 3, i + 4, i + 5, "x") for i in range(9)], "doc_id long, source string, _k long, _b long, _at long, row long, _slot long, mix_slot string")
+    got = mixing.mix(df, block_docs=2)
+    assert got.columns == [c for c in df.columns if c != "mix_slot"] + ["mix_block", "mix_slot", "mix_position"]
+    assert sorted((r["doc_id"], r["_k"], r["_b"], r["_at"], r["row"], r["_slot"]) for r in got.collect()) == [(i, i + 1, i + 2, i + 3, i + 4, i + 5) for i in range(9)]

@@ -1,13 +1,14 @@
 """Token-ID output: flat unsigned integer files with 64-bit document offsets, read back through memory maps.
 
 Layout of a data set, a folder: for each part `<name>.bin` (ids, little-endian uint16 or uint32 by vocabulary size),
-`<name>.off` (int64 offsets into the part, one more than documents) and `<name>.doc` (int64 document ids), and
-`parts.parquet` with name, docs, tokens and base of each part in order. `base` is the prefix sum of the tokens of the parts
+`<name>.off` (int64 offsets into the part, one more than documents), `<name>.doc` (int64 document ids) and `<name>.nul` (int64
+places of the documents without an id; empty but for these), and `parts.parquet` with name, docs, tokens and base of each part in order. `base` is the prefix sum of the tokens of the parts
 before it, so the global start of a document is base + offset.
 
 Behaviour: null texts are empty and hold the end id only; repeated ids stay repeated, in text order; an empty table
-gives no parts; a null id is stored as -1; extra columns are ignored. A task writes under a name of its own attempt and the manifest names the files of
-the attempts that succeeded, so lost executors and repeated tasks leave at most files that nothing reads.
+gives no parts; a null id comes first and is read back as null; extra columns are ignored. A task writes under a name of its own
+attempt and the manifest names the files of the attempts that succeeded, so lost executors and repeated tasks leave at most
+files that nothing reads.
 """
 
 from __future__ import annotations
@@ -112,24 +113,31 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder, by Hadoop's names of object stores too."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+
+
 class PartWriter:
     """Files of one part, written as batches come; only offsets and document ids are held."""
 
     def __init__(self, folder: str, name: str):
-        self.store, self.root = fs.FileSystem.from_uri(folder)
-        self.name, self.lengths, self.docs = name, array("q"), array("q")
+        self.store, self.root = store_of(folder)
+        self.name, self.lengths, self.docs, self.nulls = name, array("q"), array("q"), array("q")
         self.stream = self.store.open_output_stream(f"{self.root}/{name}.bin")
 
-    def add(self, doc: int, ids: bytes, width: int) -> None:
+    def add(self, doc: int | None, ids: bytes, width: int) -> None:
         self.stream.write(ids)
+        if doc is None:
+            self.nulls.append(len(self.docs))
         self.lengths.append(len(ids) // width)
-        self.docs.append(doc)
+        self.docs.append(doc or 0)
 
     def close(self) -> None:
         self.stream.close()
         offsets = np.zeros(len(self.lengths) + 1, "<i8")
         np.cumsum(np.array(self.lengths, "<i8"), out=offsets[1:])
-        for suffix, data in ((".off", offsets), (".doc", np.array(self.docs, "<i8"))):
+        for suffix, data in ((".off", offsets), (".doc", np.array(self.docs, "<i8")), (".nul", np.array(self.nulls, "<i8"))):
             with self.store.open_output_stream(f"{self.root}/{self.name}{suffix}") as f:
                 f.write(data.tobytes())
 
@@ -146,9 +154,10 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, order: list[Column] |
     plain = order is None
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *([] if plain else named))
     by = ["doc_id", "text"] if plain else by
-    # Ranges of the first key alone: a long text is never part of a sampled range bound.
-    laid = rows.repartitionByRange(int(parts), by[0]).sortWithinPartitions(*by).select("doc_id", "text")
-    store, root = fs.FileSystem.from_uri(to)
+    # Bounds between parts hold the beginning of a text only, however long it is; rows are then sorted by the whole.
+    ranges = [F.col("doc_id"), F.substring("text", 1, 64)] if plain else [F.col(by[0])]
+    laid = rows.repartitionByRange(int(parts), *ranges).sortWithinPartitions(*by).select("doc_id", "text")
+    store, root = store_of(to)
     store.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +172,7 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, order: list[Column] |
             if out is None:
                 out = PartWriter(to, f"part-{part:06d}-{uuid.uuid4().hex}")
             for d, x in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist()), strict=True):
-                out.add(-1 if d is None else d, x + end, len(end))
+                out.add(d, x + end, len(end))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [out.name], "width": [len(end)], "docs": [len(out.docs)], "tokens": [sum(out.lengths)]})
@@ -177,12 +186,13 @@ def write_tokens(docs: DataFrame, to: str, tokenizer: str, order: list[Column] |
     return spark.read.schema(manifest.schema).parquet(f"{to}/parts.parquet")
 
 
-def open_part(folder: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, offsets and document ids of a part: memory maps on a file system, buffers elsewhere."""
-    store, root = fs.FileSystem.from_uri(folder)
-    kinds = ((".bin", "<u2" if width == 2 else "<u4"), (".off", "<i8"), (".doc", "<i8"))
+def open_part(folder: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, offsets, document ids and places without an id of a part: memory maps on a file system, buffers elsewhere."""
+    store, root = store_of(folder)
+    kinds = ((".bin", "<u2" if width == 2 else "<u4"), (".off", "<i8"), (".doc", "<i8"), (".nul", "<i8"))
     if isinstance(store, fs.LocalFileSystem):
-        return tuple(np.memmap(f"{root}/{name}{s}", dtype=t, mode="r") for s, t in kinds)
+        paths = [(f"{root}/{name}{s}", t) for s, t in kinds]
+        return tuple(np.memmap(p, dtype=t, mode="r") if os.path.getsize(p) else np.zeros(0, t) for p, t in paths)
     return tuple(np.frombuffer(store.open_input_stream(f"{root}/{name}{s}").read(), t) for s, t in kinds)
 
 
@@ -192,11 +202,13 @@ def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, offsets, docs = open_part(r["folder"], r["name"], r["width"])
+                ids, offsets, docs, nulls = open_part(r["folder"], r["name"], r["width"])
+                known = np.ones(len(docs), bool)
+                known[nulls] = False
                 for at in range(0, len(docs), 10_000):
                     to = min(at + 10_000, len(docs))
                     crc = [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in range(at, to)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs[at:to], pa.int64()), "start": pa.array(offsets[at:to] + r["base"], pa.int64()), "n_tokens": pa.array(np.diff(offsets[at : to + 1]), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs[at:to], pa.int64(), mask=~known[at:to]), "start": pa.array(offsets[at:to] + r["base"], pa.int64()), "n_tokens": pa.array(np.diff(offsets[at : to + 1]), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     n = manifest.count()
     spread = manifest.repartition(max(1, n), "part")

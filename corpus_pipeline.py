@@ -1,8 +1,8 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
 
-Each stage works on all rows that its predecessor kept. Null and empty texts fail the quality rules and go there; repeated
-rows fall to the n-gram join; an empty table gives an empty result at every stage. The last stage returns one row for each
-document in its token files.
+Each stage works on all rows that its predecessor kept. Null and empty texts fail the quality rules and go there; repeated rows
+fall to the n-gram join; rows without an id and several texts of one id are documents of their own at every stage; an empty
+table gives an empty result at every stage. The last stage returns one row for each document in its token files.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import kept, shared_path, table
+from veilspark.llm.common import kept, shared_path, table, text_bytes
 from veilspark.llm.queries import tokenizer_path
 
+#: Text bytes of a file of the mixed order.
+PART_BYTES = 16 << 20
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -24,12 +26,20 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join (five words, 0.8): of each component the document with the least id stays, once."""
+    """N-gram Jaccard join (five words, 0.8): of each component the row with the least id, then the least digest, stays.
+
+    Rows are told apart by id and text together, and those without an id come last. Of rows equal in both one stays, that
+    with the least other columns.
+    """
     from veilspark.llm.ngram_join import similar_components
 
-    found = similar_components(docs.select("doc_id", "text"), width=5, percent=80)
-    first = kept(found.where("doc_id <=> component_id").select("doc_id").distinct(), "first")
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*DOCUMENTS)
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    place = F.coalesce(F.concat(F.lit("00"), number), F.lit("01" + "0" * 16))
+    keyed = docs.select(F.unhex(F.concat(place, F.coalesce(F.md5("text"), F.lit("0" * 32)))).alias("row_key"), *DOCUMENTS)
+    found = similar_components(keyed.select(F.col("row_key").alias("doc_id"), "text"), width=5, percent=80)
+    first = kept(found.where("doc_id = component_id").select(F.col("doc_id").alias("row_key")).distinct(), "first")
+    stay = keyed.join(first, "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct("lang", "source", "n_chars", "doc_id", "text")).alias("v"))
+    return stay.select(*[F.col(f"v.{c}").alias(c) for c in DOCUMENTS])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +54,19 @@ def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     from veilspark.llm.mixing import mix
 
     placed = mix(docs.select(*DOCUMENTS))
-    parts = max(1, spark.sparkContext.defaultParallelism * 2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return placed.repartitionByRange(parts, "mix_position").sortWithinPartitions("mix_position").select(*DOCUMENTS)
+    # As many files as the size of the data asks for, whatever the session says.
+    return placed.repartitionByRange(text_bytes(docs) // PART_BYTES + 1, "mix_position").sortWithinPartitions("mix_position").select(*DOCUMENTS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token-ID output in the order in which the documents lie in the files read: the mixed order."""
     from veilspark.llm.token_files import read_tokens, write_tokens
 
-    # Part files are named in the order of the ranges that wrote them.
-    stored = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    place = [F.concat_ws(":", "file", F.lpad(F.col("row").cast("string"), 12, "0")), F.col("doc_id")]
-    manifest = write_tokens(stored, shared_path(spark, "tokens"), tokenizer_path(), place)
+    # Part files are numbered in the order of the ranges that wrote them; where a part fills several, those are numbered too.
+    name = F.col("_metadata.file_name")
+    part, piece = (F.coalesce(F.regexp_extract(name, rx, 1).try_cast("long"), F.lit(0)) for rx in (r"part-(\d+)", r"[.-]c(\d+)\."))
+    stored = docs.select("doc_id", "text", (F.shiftleft(part, 40) + F.shiftleft(piece, 32) + F.col("_metadata.row_index")).alias("place"))
+    manifest = write_tokens(stored, shared_path(spark, "tokens"), tokenizer_path(), [F.col("place")])
     return read_tokens(spark, manifest)
 
 

@@ -49,7 +49,7 @@ def near_copies(seed):
 
 def test_equals_brute_force(spark, table, odd):
     for seed, width, percent in ((1, 4, 85), (2, 5, 80), (3, 3, 60)):
-        rows = near_copies(seed) + [(1000 + i, t) for i, t in odd if i is not None]
+        rows = near_copies(seed) + [(1000 + i, t) for i, t in odd if i is not None] + [(2, "x y z a b c d e f")]
         got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(table(rows), width, percent).collect())
         assert got == brute(rows, width, percent)
 
@@ -65,6 +65,11 @@ def test_empty_and_null_ids(spark, table):
     assert ngram_join.similar_components(table([])).count() == 0
     got = ngram_join.similar_components(table([(None, "a b c"), (None, "a b c"), (3, "z")])).collect()
     assert sorted((r["doc_id"] is None, r["component_id"]) for r in got if r["doc_id"] is not None) == [(False, 3)] and len(got) == 3
+    # Rows without an id link by their texts alone, and an empty set links with nothing.
+    rows = [(0, ""), (None, ""), (None, None), (None, "a b c d e"), (None, "q r s t u v"), (7, "q r s t u v"), (8, "a b"), (None, "  ")]
+    got = ngram_join.similar_components(table(rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == [(0, 0), (7, 7), (8, 8)]
+    assert sorted(str(r["component_id"]) for r in got if r["doc_id"] is None) == ["7", "None", "None", "None", "None"]
 
 
 def test_components(spark):

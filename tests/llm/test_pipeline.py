@@ -50,3 +50,23 @@ def test_empty_input(spark, sf_dir):
     for name, stage in C.STAGES:
         out = stage(spark, kept(docs, "t"), sf_dir)
         assert out.count() == 0, name
+
+
+def test_rows_without_id_and_ids_of_several_texts(spark, sf_dir):
+    words = [f"w{i}" for i in range(400)]
+    text = lambda a, n=60: " ".join(words[a : a + n])
+    rows = [(None, text(0)), (None, text(100)), (7, text(200)), (7, text(300)), (7, text(300)), (9, text(0)), (None, text(200)), (None, ""), (3, None), (4, "")]
+    docs = kept(spark.createDataFrame([(i, t, None, None, None, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_key int"), "t")
+    stages = dict(C.STAGES)
+    two = stages["ngram_jaccard_join"](spark, docs, sf_dir)
+    assert two.columns == C.DOCUMENTS
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(3, None), (4, ""), (7, text(200)), (7, text(300)), (9, text(0)), (None, ""), (None, text(100))]
+    assert sorted(((r["doc_id"], r["text"]) for r in two.collect()), key=key) == want
+    three = kept(stages["benchmark_decontamination"](spark, kept(two, "t"), sf_dir), "t")
+    four = kept(stages["source_mix"](spark, three, sf_dir), "t")
+    assert sorted(((r["doc_id"], r["text"]) for r in four.collect()), key=key) == want
+    five = stages["token_files"](spark, four, sf_dir).collect()
+    assert sorted(str(r["doc_id"]) for r in five) == ["3", "4", "7", "7", "9", "None", "None"]
+    one = stages["quality_rules"](spark, docs, sf_dir).collect()
+    assert {(r["doc_id"], r["text"]) for r in one} <= set(rows) and all(r["text"] for r in one)

@@ -56,8 +56,8 @@ def unpack_sorted(b: bytes, n: int) -> np.ndarray:
     return np.cumsum(unpack(b, n, "<u8"), dtype="<u8")
 
 
-def run_of(runs: int, column: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(F.col(column), F.lit("run")), F.lit(runs)).cast("long")
+def run_of(runs: int, *columns: str) -> Column:
+    return F.pmod(F.xxhash64(*(columns or ("doc_id",)), F.lit("run")), F.lit(runs)).cast("long")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -12,9 +12,13 @@ Skipping by set relations, on an inverted index of prefixes:
    its own component and all positions whose size or place in the prefix rules a link out; what is left is compared,
    so no link between components is lost.
 
+N-grams are 64-bit hashes; 48 bits of them are counted and make the index lists, all 64 decide on links and sizes. Sets are
+numbered within their run, so no two of them share a number.
+
 Behaviour: null and empty texts, and texts of white space, have the empty set and link with nothing; fewer words than n make
-one n-gram; repeated rows are equal sets; rows with one id are one document, with the links of each; null ids
-are one document too; an empty table gives an empty result; extra columns are ignored.
+one n-gram; repeated rows are equal sets; rows with one id are one document, with the links of each; each row without an id
+is a document of its own, whose component is the least id that its text links with, or null; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import kept, shared_path, small_batches, text_bytes
 from .components import components
-from .exchange import BLOCK, BUCKET_KEYS, RUN_BYTES, counted, key_blocks, look_up, mixed, run_of, spread, tally
+from .exchange import BLOCK, BUCKET_KEYS, KEY_BITS, RUN_BYTES, counted, key_blocks, look_up, run_of, spread, tally
 from .suffix_dedup import _BYTES, _powers
 
 #: Entries of an index list that one task takes; longer lists are dealt out as pairs of pieces.
@@ -57,7 +61,7 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
-    """The ascending distinct 48-bit keys of the n-grams of `width` words."""
+    """The ascending distinct 64-bit hashes of the n-grams of `width` words."""
     if not text:
         return np.zeros(0, np.uint64)
     w = word_hashes(text)
@@ -68,7 +72,15 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     for i in range(n):
         x = w[i : len(w) - n + 1 + i]
         h = (h ^ (h >> np.uint64(30))) * _MIX[2] + x * _MIX[3]
-    return np.unique(mixed(h * _MIX[4] + np.uint64(n)))
+    h = h * _MIX[4] + np.uint64(n)
+    h = (h ^ (h >> np.uint64(31))) * _MIX[0]
+    h = (h ^ (h >> np.uint64(29))) * _MIX[1]
+    return np.unique(h ^ (h >> np.uint64(32)))
+
+
+def list_keys(grams: np.ndarray) -> np.ndarray:
+    """The bits of n-grams that are counted and indexed; they ascend with the n-grams."""
+    return grams >> np.uint64(64 - KEY_BITS)
 
 
 def _blocks(width: int, buckets: int):
@@ -76,7 +88,7 @@ def _blocks(width: int, buckets: int):
         keys, runs, n = [], [], 0
         for b in batches:
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = shingles(t, width)
+                key = list_keys(shingles(t, width))
                 if len(key):
                     keys.append(key)
                     runs.append(np.full(len(key), r, np.uint32))
@@ -90,7 +102,7 @@ def _blocks(width: int, buckets: int):
     return run
 
 
-INDEXED = "kind int, doc_id long, sid long, n long, key long, pos long, own long, keys binary"
+INDEXED = "kind int, doc_id {id}, sid long, n long, key long, pos long, own long, keys binary"
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -98,8 +110,8 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
-def _index(width: int, percent: int):
-    """Of a run: kind 0 index entries, kind 1 sets that have entries, kind 2 documents, kind 3 links of ids with several sets."""
+def _index(width: int, percent: int, id_type: pa.DataType):
+    """Of a run: kind 0 index entries, kind 1 sets that have entries, kind 2 documents."""
 
     def run(key: tuple, docs: pa.Table, repeated: pa.Table) -> pa.Table:
         me = key[0].as_py()
@@ -109,33 +121,31 @@ def _index(width: int, percent: int):
         def add(k, d, s, n, x=0, p=0, o=0, b=None):
             kind.append(k), doc.append(d), sid.append(s), size.append(n), keys.append(x), pos.append(p), own.append(o), held.append(b)
 
-        met: set[int] = set()
-        by_doc: dict[int | None, int] = {}
+        numbers: dict[object, int] = {}
         for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
             x = shingles(t, width)
             n = len(x)
-            digest = hashlib.blake2b(x.tobytes() + (b"" if n else b"%d" % (d or 0)), digest_size=8, key=b"%d" % me).digest()
-            s = int.from_bytes(digest, "little") >> 1
+            # Equal sets of the run are one; an empty set belongs to its row's id alone.
+            same = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if n else ("empty", d)
+            fresh = same not in numbers
+            s = numbers.setdefault(same, me << 32 | len(numbers))
             add(2, d, s, n)
-            if d in by_doc and by_doc[d] != s:
-                add(3, d, by_doc[d], n, s)
-            by_doc.setdefault(d, s)
-            if not n or s in met:
+            if not n or not fresh:
                 continue
-            met.add(s)
-            df = look_up(x, known, totals, 1)
+            keys48 = list_keys(x)
+            df = look_up(keys48, known, totals, 1)
             single = int((df < 2).sum())
             length = prefix_length(n, percent)
             if single >= length:
                 continue
             order = np.lexsort((x, df))[single:length]
             for p, i in enumerate(order.tolist(), single):
-                add(0, None, s, n, int(x[i]), p, single)
+                add(0, None, s, n, int(keys48[i]), p, single)
             add(1, None, s, n, 0, 0, single, x.astype("<u8").tobytes())
         return pa.table(
             {
                 "kind": pa.array(kind, pa.int32()),
-                "doc_id": pa.array(doc, pa.int64()),
+                "doc_id": pa.array(doc, id_type),
                 "sid": pa.array(sid, pa.int64()),
                 "n": pa.array(size, pa.int64()),
                 "key": pa.array(keys, pa.int64()),
@@ -203,7 +213,7 @@ def _between(percent: int):
 
 
 def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text).
+    """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text); ids are whole numbers or binary.
 
     Two documents link when 100 * common n-grams >= percent * n-grams of both.
     """
@@ -212,17 +222,21 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     size = text_bytes(docs)
     runs = spread(size, RUN_BYTES)
     buckets = spread(size, 6 * BUCKET_KEYS)
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("run", run_of(runs))
+    id_type = "binary" if docs.schema["doc_id"].dataType.typeName() == "binary" else "long"
+    shape = INDEXED.format(id=id_type)
+    placed = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").withColumn("run", run_of(runs, "doc_id", "text"))
     repeated = tally(placed.select("run", "text").mapInArrow(_blocks(width, buckets), BLOCK))
-    made = placed.groupBy("run").cogroup(repeated.groupBy("run")).applyInArrow(_index(width, percent), INDEXED)
+    made = placed.groupBy("run").cogroup(repeated.groupBy("run")).applyInArrow(_index(width, percent, pa.binary() if id_type == "binary" else pa.int64()), shape)
     path = shared_path(spark, "ngrams")
     made.write.partitionBy("kind").parquet(path)
     # kind, the folder, is read back as the last column.
-    index = spark.read.schema(INDEXED.replace("kind int, ", "") + ", kind int").parquet(path)
+    index = spark.read.schema(shape.replace("kind int, ", "") + ", kind int").parquet(path)
     entries = index.where("kind = 0").select("sid", "n", "key", "pos", "own")
     sets = index.where("kind = 1").select("sid", "keys")
     members = index.where("kind = 2").select("doc_id", "sid", "n")
-    same_id = index.where("kind = 3").select(F.col("sid").alias("a"), F.col("key").alias("b"))
+    # Rows of one id are spread over the runs by their text; each of their sets is linked with the least.
+    several = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a != z").select("doc_id", "a")
+    same_id = members.join(kept(several, "ids"), "doc_id").where("sid != a").select("a", F.col("sid").alias("b")).distinct()
 
     pivots = entries.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("sid"), F.col("n"), F.col("pos"))).alias("v"), F.count("*").alias("c")).where("c > 1")
     first = (
@@ -249,5 +263,6 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     found = components(links.union(kept(more, "links")))
 
     placed = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
-    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the sums do not lie in the tasks of the join: Spark deals out the rows of a large component anew.
+    least = kept(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return placed.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -11,12 +11,12 @@ A common-prefix-aware distributed merge sort of sparse suffixes:
 3. Merge. A bucket merges its front-coded runs with a loser tree over common-prefix lengths; bytes in a known common prefix
    are never compared again. Suffixes with one anchor string are neighbours; each is compared with the earlier ones of them
    to find the longest match around the anchor.
-4. Keys that very many suffixes hold (`HOT`) are not brought together: their windows go out one by one, by hash of
-   the 100 bytes, each distinct window once for each run.
+4. Keys that very many suffixes hold (`HOT`) are not brought together: their windows go out one by one, by a 128-bit
+   cryptographic digest of the 100 bytes, each distinct window once for each run. Equal digests are equal windows.
 5. The covered intervals go back to the runs, which cut the texts.
 
 Behaviour: null texts are empty; texts under 100 bytes lose nothing, and no match crosses a row; rows with one doc_id are ordered
-by text, and a null doc_id comes before all others; an empty table gives an empty result; extra columns are ignored.
+by text, and a null doc_id, as which -2^63 counts, comes before all others; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -272,6 +272,12 @@ def joined(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return np.array(out_i, "<i8"), np.array(out_s, "<i8"), np.array(out_e, "<i8")
 
 
+def window_digests(text: bytes) -> np.ndarray:
+    """A 128-bit digest of each 100-byte window, as two numbers."""
+    n = len(text) - LENGTH + 1
+    return np.frombuffer(b"".join(hashlib.blake2b(text[i : i + LENGTH], digest_size=16).digest() for i in range(n)), "<u8").reshape(n, 2)
+
+
 def _sort_run(buckets: int, hot: int):
     def run(key: tuple, docs: pa.Table, repeated: pa.Table) -> pa.Table:
         if not docs.num_rows:
@@ -317,23 +323,23 @@ def _sort_run(buckets: int, hot: int):
             r, n_left, n_right = rows[i], int(rows[i, -1]), int(rows[i, -2])
             text = np.concatenate([r[LENGTH : LENGTH + n_left][::-1], r[:n_right]])
             if len(text) >= LENGTH:
-                h = hashes(text, LENGTH)
+                h = window_digests(text.tobytes())
                 wide_hash.append(h)
                 wide_doc.append(np.full(len(h), at_doc[i], np.int64))
                 wide_pos.append(at_pos[i] - n_left + np.arange(len(h)))
         if wide_hash:
             h, d, p = (np.concatenate(x) for x in (wide_hash, wide_doc, wide_pos))
-            o = np.lexsort((p, d, h))
+            o = np.lexsort((p, d, h[:, 1], h[:, 0]))
             h, d, p = h[o], d[o], p[o]
-            again = np.r_[False, h[1:] == h[:-1]]
+            again = np.r_[False, (h[1:] == h[:-1]).all(1)]
             first = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))
             later = again & ((d != d[first]) | (p != p[first]))
             covered.add_all(d[later], p[later], p[later] + LENGTH)
             h, d, p = h[~again], d[~again], p[~again]
-            b = bucket_of(h >> np.uint64(16), buckets)
+            b = bucket_of(h[:, 0] >> np.uint64(16), buckets)
             for v in np.unique(b).tolist():
                 m = b == v
-                out.append((buckets + v, 1, me, int(m.sum()), pack_sorted(h[m]), pack(d[m]), pack(p[m]), b""))
+                out.append((buckets + v, 1, me, int(m.sum()), pack_sorted(h[m, 0]), pack(d[m]), pack(p[m]), h[m, 1].tobytes()))
         cold = ~heat
         rows, keys, at_doc, at_pos = rows[cold], keys[cold], at_doc[cold], at_pos[cold]
         b = bucket_of(keys, buckets)
@@ -398,12 +404,13 @@ def _merge_bucket(key: tuple, rows: pa.Table) -> pa.Table:
     covered: dict[int, Covered] = defaultdict(Covered)
     if got[0]["kind"] == 1:
         h = np.concatenate([unpack_sorted(r["a"], r["n"]) for r in got])
+        low = np.concatenate([np.frombuffer(r["d"], "<u8") for r in got])
         d = np.concatenate([unpack(r["b"], r["n"], "<i8") for r in got])
         p = np.concatenate([unpack(r["c"], r["n"], "<i8") for r in got])
         run = np.concatenate([np.full(r["n"], r["run"], np.int64) for r in got])
-        o = np.lexsort((p, d, h))
-        h, d, p, run = h[o], d[o], p[o], run[o]
-        later = np.r_[False, h[1:] == h[:-1]]
+        o = np.lexsort((p, d, low, h))
+        h, low, d, p, run = h[o], low[o], d[o], p[o], run[o]
+        later = np.r_[False, (h[1:] == h[:-1]) & (low[1:] == low[:-1])]
         for v in np.unique(run[later]).tolist():
             m = later & (run == v)
             covered[v].add_all(d[m], p[m], p[m] + LENGTH)

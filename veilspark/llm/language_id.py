@@ -30,21 +30,26 @@ MOST_ROWS = 6000
 CHUNK = 1 << 20
 
 
-def grams(text: str) -> np.ndarray:
-    """Bucket of each 1-, 2- and 3-gram of the lower-cased text, white space and digits made one space."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def grams(text: str, starts: int) -> np.ndarray:
+    """Bucket of each 1-, 2- and 3-gram that begins at one of the first `starts` characters; digits and marks count as spaces."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     c = np.where((c <= 64), np.uint32(32), c)
-    one = c * np.uint32(2654435761)
-    two = (c[:-1] * np.uint32(40503) + c[1:]) * np.uint32(2246822519)
-    three = ((c[:-2] * np.uint32(40503) + c[1:-1]) * np.uint32(30011) + c[2:]) * np.uint32(3266489917)
+    one = c[:starts] * np.uint32(2654435761)
+    two = (c[:-1] * np.uint32(40503) + c[1:])[:starts] * np.uint32(2246822519)
+    three = ((c[:-2] * np.uint32(40503) + c[1:-1]) * np.uint32(30011) + c[2:])[:starts] * np.uint32(3266489917)
     return np.concatenate([one, two, three]) >> np.uint32(17)
 
 
 def counts(text: str) -> np.ndarray:
-    """Counts of a whole text, built piece by piece; the pieces overlap by two characters, so no n-gram is lost."""
-    if len(text) <= CHUNK:
-        return np.bincount(grams(text), minlength=DIMS)
-    return sum(np.bincount(grams(text[max(0, i - 2) : i + CHUNK]), minlength=DIMS) for i in range(0, len(text), CHUNK))
+    """Counts of the n-grams of a whole text, lower-cased and with a space at each end.
+
+    They are built piece by piece; each n-gram belongs to the piece that it begins in, so the pieces' size does not matter.
+    """
+    padded = f" {text.lower()} "
+    out = np.zeros(DIMS, np.int64)
+    for i in range(0, len(padded), CHUNK):
+        out += np.bincount(grams(padded[i : i + CHUNK + 2], CHUNK), minlength=DIMS)
+    return out
 
 
 @dataclass
@@ -72,11 +77,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def train(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, epochs: int = 3) -> LanguageModel:
-    """FTRL-proximal on the rows (text, lang), then a temperature on every fifth of them, which did not train."""
-    langs = sorted({lang for _, lang in rows})
+def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5, epochs: int = 3) -> LanguageModel:
+    """FTRL-proximal on the rows (buckets, values, lang), then a temperature on every fifth of them, which did not train."""
+    langs = sorted({lang for _, _, lang in rows})
     y = {k: i for i, k in enumerate(langs)}
-    data = [(*features(t, idf), y[k]) for t, k in rows]
+    data = [(at, x, y[k]) for at, x, k in rows]
     order = np.random.default_rng(7).permutation(len(data))
     held, used = order[::5], np.setdiff1d(order, order[::5])
     if not len(used):
@@ -140,9 +145,17 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> LanguageModel | None:
     per_lang = max(1, min(per_lang, MOST_ROWS // len(n)))
     scale = 1 << 20
     share = docs.sparkSession.createDataFrame([(k, int(min(1.0, per_lang / v) * scale)) for k, v in n.items()], "lang string, _most long")
-    rows = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(scale)) < F.col("_most")).select("doc_id", "text", "lang").collect()
-    rows = sorted((r["doc_id"] or 0, r["text"], r["lang"]) for r in rows)
-    return train([(t, k) for _, t, k in rows], idf) if rows else None
+    chosen = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("lang")), F.lit(scale)) < F.col("_most")).select("text", "lang")
+
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at, x = features(text, idf)
+                yield pa.RecordBatch.from_pydict({"lang": [lang], "at": pa.array([at.astype("<i4").tobytes()], pa.binary()), "x": pa.array([x.astype("<f4").tobytes()], pa.binary())})
+
+    # At most DIMS numbers come from a row, however long its text is.
+    rows = sorted((r["lang"], bytes(r["at"]), bytes(r["x"])) for r in chosen.mapInArrow(sparse, "lang string, at binary, x binary").collect())
+    return train([(np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4").astype(float), k) for k, at, x in rows], idf) if rows else None
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, shared_path, table
@@ -14,6 +14,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(n: int, rest: int) -> Column:
+    """A row without an id is never held out."""
+    return F.coalesce(crc_mod("doc_id", n) == rest, F.lit(False)).alias("held_out")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup
 
@@ -37,7 +42,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_of
 
     found = language_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
-    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +75,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import quality_scores
 
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(5, 0), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from veilspark.llm import language_id, lattice_lm, quality_classifier, quality_rules, queries
-from veilspark.llm.text_stats import with_base
+from veilspark.llm.text_stats import RATIOS, with_base, with_ratios
 
 from .conftest import crc, words
 
@@ -41,6 +41,15 @@ def test_rules_learn_and_judge(spark, table, odd):
     assert all(out[i]["kept"] for i in range(80)) and not any(out[i]["kept"] for i in range(80, 140))
     assert out[1001]["base_failed"] and not out[1001]["kept"]
     assert quality_rules.judge(table(rows), rules).columns[:8] == table(rows).columns
+    # The list as numpy rules on the same statistics; columns of the input keep their names and values.
+    x = with_ratios(table(rows)).select("doc_id", *RATIOS).toPandas()
+    held = [r.holds({k: x[k].to_numpy() for k in RATIOS}) for r in rules]
+    first = [next((k for k, h in enumerate(held, 1) if h[i]), None) for i in range(len(x))]
+    assert Counter(zip(x["doc_id"], first, strict=True)) == Counter((r["doc_id"], r["rule"]) for r in quality_rules.judge(table(rows), rules).collect())
+    clash = table(rows).select("doc_id", "text", F.lit(5).alias("_c"), F.lit(6).alias("upper_rate"), F.lit(7).alias("n_distinct"), F.lit(8).alias("row"), F.lit("n").alias("n_words"))
+    for some in (rules, []):
+        got = quality_rules.judge(clash, some).collect()
+        assert {(r["_c"], r["upper_rate"], r["n_distinct"], r["row"]) for r in got} == {(5, 6, 7, 8)} and {type(r["n_words"]) for r in got} == {int}
     assert quality_rules.quality_rules(table([]), labels).count() == 0
     assert quality_rules.learned_rules(table(rows), labels.where("quality = 1")) == []
 
@@ -63,6 +72,12 @@ def test_classifier_handles_odd_rows(spark, table, odd):
     got = quality_classifier.quality_scores(table(rows), labels).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and not math.isnan(r["score"]) for r in got)
     assert quality_classifier.quality_scores(table([]), labels).count() == 0
+    # The Catalyst expressions against the same discriminant in numpy.
+    model = quality_classifier.fit(table(rows), labels)
+    x = quality_classifier.transformed(with_ratios(table(rows))).select("doc_id", *RATIOS).toPandas()
+    want = 1 / (1 + np.exp(-np.clip(model.slope * model.raw(x[RATIOS].to_numpy()) + model.offset, -30, 30)))
+    a = sorted((-1 if math.isnan(i) else i, round(p, 9)) for i, p in zip(x["doc_id"], want, strict=True))
+    assert a == sorted((-1 if r["doc_id"] is None else r["doc_id"], round(r["score"], 9)) for r in got)
 
 
 def test_language_held_out(spark, sf_dir):
@@ -85,8 +100,10 @@ def test_language_odd_rows(spark, table, odd):
 def test_grams_in_pieces(monkeypatch):
     text = "abcde fghij " * 50
     whole = language_id.counts(text)
-    monkeypatch.setattr(language_id, "CHUNK", 64)
-    assert (language_id.counts(text) > 0).sum() >= (whole > 0).sum()
+    assert whole.sum() == 3 * len(text) + 3
+    for size in (1, 2, 63, 64, 599, 600, 601, 602, 603):
+        monkeypatch.setattr(language_id, "CHUNK", size)
+        assert (language_id.counts(text) == whole).all(), size
 
 
 def test_lattice_sums_all_segmentations():
@@ -116,6 +133,28 @@ def test_lm_base(spark, table, odd):
     want = sorted((i, crc(i, 10) == 0, len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 4)) for i, w in tokens)
     assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+    # The score: pieces counted in the training words, and the sum over all segmentations of each word, by brute force.
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    count, ends = Counter(), sum(crc(i, 10) != 0 for i, _ in tokens)
+    for i, ws in tokens:
+        if crc(i, 10):
+            for w in ws[:-1]:
+                count.update(sp.encode(w))
+    size = sp.get_piece_size()
+    total = sum(count.values()) + ends + 0.1 * (size + 1)
+    p = {sp.id_to_piece(k): (count[k] + 0.1) / total for k in range(3, size)}
+
+    def brute(text):
+        if not text:
+            return 1.0
+        out = sum(p[text[:k]] * brute(text[k:]) for k in range(1, len(text) + 1) if text[:k] in p)
+        return out + (0 if text[0] in p else math.prod(p[f"<0x{b:02X}>"] for b in text[0].encode()) * brute(text[1:]))
+
+    for i, t in tokens[10:20]:
+        want = sum(math.log10(brute("▁" + w)) for w in t[:-1]) + math.log10((ends + 0.1) / total)
+        assert math.isclose(next(r["score"] for r in got if r["doc_id"] == i), want, rel_tol=1e-5)
     assert lattice_lm.lattice_scores(table([]), PIECES).count() == 0
 
 

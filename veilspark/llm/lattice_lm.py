@@ -1,10 +1,9 @@
 """LM scoring: the likelihood of a text under a lattice of subwords, all segmentations summed.
 
 The subwords are those of an existing public vocabulary, never trained here; their log-probabilities are the relative
-frequencies with which that vocabulary cuts the words of the training rows. A word's probability is the sum over all ways to
-cut it into subwords, by a forward recursion in log space; a text is its words and an end. The lattice has one edge more:
-a word of the training rows is also a piece as a whole, weighted by its count. Subword paths and whole-word edges share
-the probability as new and seen words do (Witten-Bell: V of N + V for subwords), so the sum stays a probability.
+frequencies with which that vocabulary cuts all words of the training rows: one distribution over its pieces and the end. A word's
+probability is the sum over all ways to cut it into pieces, by a forward recursion in log space; a text's is the product over
+its words and the end, which is the sum over all ways to cut the whole text.
 
 Words are the unit of exchange. Tasks send each distinct word once, with its training count and the runs that hold
 it, to the bucket of its hash; a bucket sums counts and runs the recursion once for each distinct word of the corpus, and
@@ -271,19 +270,7 @@ def _settle_words(held):
     return run
 
 
-def _score(ends: int, end_log: float, n_train: int, seen: float):
-    def mixed(counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
-        """Whole-word edge and subword paths together, in log space."""
-        if not n_train:
-            return logs
-        with np.errstate(divide="ignore"):
-            whole = np.log10(counts / n_train * seen)
-            parts = logs + np.log10(1 - seen)
-        most = np.maximum(whole, parts)
-        return most + np.log10(10 ** (whole - most) + 10 ** (parts - most))
-
-    end = float(mixed(np.array([ends]), np.array([end_log]))[0])
-
+def _score(ends: int, end_log: float):
     def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         got = known.to_pylist()
         if got:
@@ -294,7 +281,7 @@ def _score(ends: int, end_log: float, n_train: int, seen: float):
             keys, counts, logs = keys[order], counts[order], logs[order].astype(np.float64)
         else:
             keys, counts, logs = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-        smooth, logs = np.log10(counts + SMOOTH), mixed(counts, logs)
+        smooth = np.log10(counts + SMOOTH)
         n_tokens, n_known, base, score = [], [], [], []
         for t in docs.column("text").to_pylist():
             h = word_hashes(t or "")
@@ -302,7 +289,7 @@ def _score(ends: int, end_log: float, n_train: int, seen: float):
             n_tokens.append(len(h) + 1)
             n_known.append(int((counts[at] > 0).sum()) + (ends > 0) if len(h) else int(ends > 0))
             base.append(float(smooth[at].sum() if len(h) else 0.0) + math.log10(ends + SMOOTH))
-            score.append(float(logs[at].sum() if len(h) else 0.0) + end)
+            score.append(float(logs[at].sum() if len(h) else 0.0) + end_log)
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -323,7 +310,7 @@ def lattice_scores(docs: DataFrame, model: str) -> DataFrame:
     small_batches(spark)
     size = text_bytes(docs)
     runs, buckets = spread(size, RUN_BYTES), spread(size, BUCKET_BYTES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"held_out": F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)), "run": run_of(runs)})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"held_out": F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False)), "run": run_of(runs, "doc_id", "text")})
     ends = rows.where(~F.col("held_out")).count()
     # Written once: the words are read for the pieces, and again for the recursion.
     blocks = kept(rows.select("run", (~F.col("held_out")).cast("int").alias("train"), "text").mapInArrow(_word_blocks(buckets), WORDS), "words")
@@ -333,7 +320,6 @@ def lattice_scores(docs: DataFrame, model: str) -> DataFrame:
     sums = known.where("run = -1").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     n_train = (sums["n"] or 0) + ends
     v = (sums["v"] or 0) + (ends > 0)
-    seen = n_train / (n_train + v) if n_train else 0.0
-    scored = rows.groupBy("run").cogroup(known.where("run >= 0").groupBy("run")).applyInArrow(_score(ends, pieces.end, n_train, seen), "doc_id long, held_out boolean, n_tokens long, n_known long, sum_logs double, score double")
+    scored = rows.groupBy("run").cogroup(known.where("run >= 0").groupBy("run")).applyInArrow(_score(ends, pieces.end), "doc_id long, held_out boolean, n_tokens long, n_known long, sum_logs double, score double")
     below = math.log10(n_train + SMOOTH * (v + 1))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), (F.col("sum_logs") - F.col("n_tokens") * below).alias("base_score"), "score")

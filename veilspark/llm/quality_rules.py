@@ -2,8 +2,8 @@
 
 Behaviour: null and empty texts have no words and fail the base rule; ties between equal thresholds go to the first
 feature in `RATIOS`; repeated ids stay repeated rows; an empty table gives an empty result; extra columns pass through
-and no column of the input is replaced except the counts named here. Without labels of both classes the list is empty
-and only the base rule decides.
+whatever their names, and none is replaced but those named like a result (the base counts, base_failed, rule, kept).
+Without labels of both classes the list is empty and only the base rule decides.
 """
 
 from __future__ import annotations
@@ -131,13 +131,15 @@ def base_failed() -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """`docs` with the base counts, base_failed, rule (first rule of the list that rejects, else null) and kept."""
-    clash = [c for c in (*BASE, "n_distinct", *RATIOS, "base_failed", "rule", "kept") if c in docs.columns]
-    stats = with_ratios(docs.drop(*clash)) if rules else with_base(docs.drop(*clash))
+    results = [*BASE, "base_failed", "rule", "kept"]
+    # The row travels as one value, so that none of its columns meets the statistics.
+    packed = docs.select(F.struct("*").alias("row"), "text")
+    stats = with_ratios(packed) if rules else with_base(packed)
     fired = F.lit(None).cast("int")
     for k in range(len(rules), 0, -1):
         fired = F.when(rules[k - 1].column(), F.lit(k)).otherwise(fired)
-    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", fired)
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*RATIOS, "n_distinct")
+    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", fired).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in results], *results)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

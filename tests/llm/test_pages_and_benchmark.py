@@ -132,6 +132,17 @@ def test_finds_planted_items(spark, table, odd):
     assert clean == {i for i, _ in rows} - found.keys() and D.clean(table(rows), bench).columns == table(rows).columns
 
 
+def test_items_in_slices(spark, table, monkeypatch):
+    docs, items, _ = corpus()
+    bench = spark.createDataFrame(items + [(100 + i, t) for i, t in items[:5]], "item_id long, text string")
+    row = lambda r: (r["doc_id"], r["item_id"], r["n_items"])
+    whole = sorted(row(r) for r in D.matches(table(docs), bench).collect())
+    monkeypatch.setattr(D, "ITEM_BYTES", 2500)
+    assert len(D.item_slices(bench)) > 3
+    assert sorted(row(r) for r in D.matches(table(docs), bench).collect()) == whole
+    assert {r["doc_id"] for r in D.clean(table(docs), bench).collect()} == {i for i, _ in docs} - {r[0] for r in whole}
+
+
 def test_empty_tables(spark, table):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three")], "item_id long, text string")

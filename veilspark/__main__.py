@@ -1,4 +1,7 @@
-"""python -m veilspark IN OUT [--anonymize] [--map DIR] [--restore DIR]: text files in, one row for each out."""
+"""python -m veilspark IN OUT [--codes | --anonymize | --restore DIR] [--general] [--map DIR]: text files in, one row for each out.
+
+Without a mode, values become realistic stand-ins. `--map` names the folder of the mapping table, which `--restore` reads.
+"""
 
 from __future__ import annotations
 
@@ -12,28 +15,44 @@ from .plans.deidentify import Engine
 from .sources import files
 
 
-def main(args: list[str] | None = None) -> None:
+def parsed(args: list[str] | None) -> argparse.Namespace:
     p = argparse.ArgumentParser("veilspark", description=__doc__)
     p.add_argument("source")
     p.add_argument("target")
+    p.add_argument("--codes", action="store_true", help="codes such as 甲 and 〔電話1〕")
     p.add_argument("--anonymize", action="store_true", help="texts alone, no mapping")
-    p.add_argument("--map", help="folder for the mapping table of coded texts")
+    p.add_argument("--general", action="store_true", help="move or generalise event dates too")
+    p.add_argument("--map", help="folder for the mapping table")
     p.add_argument("--restore", help="folder of a mapping table: put the values back")
+    p.add_argument("--salt", default="", help="another salt gives other stand-ins")
     a = p.parse_args(args)
-    if a.anonymize and (a.map or a.restore):
-        p.error("anonymized texts have no mapping")
+    if a.anonymize and (a.map or a.codes):
+        p.error("anonymized texts have no mapping and no codes of their own")
+    if a.restore and (a.map or a.codes or a.anonymize or a.general):
+        p.error("restoring takes a mapping and nothing else")
+    return a
+
+
+def main(args: list[str] | None = None) -> None:
+    a = parsed(args)
     spark = SparkSession.builder.getOrCreate()
-    docs = files.read_texts(spark, a.source)
+    # All files of one call are one case.
+    docs = files.read_texts(spark, a.source).withColumn("case_id", F.lit("all"))
+    engine = Engine(mode="general" if a.general else "legal", dates="month" if a.general or a.anonymize else "keep")
     if a.restore:
-        table = spark.read.parquet(a.restore).withColumn("case_id", F.lit(1))
-        files.write_texts(restored_by_mapping(docs.withColumn("case_id", F.lit(1)), table, ["case_id"], "doc_id").select("doc_id", F.col("restored").alias("text")), a.target)
+        table = files.read_mapping(spark, a.restore)
+        files.write_texts(restored_by_mapping(docs, table, ["case_id"], "doc_id").select("doc_id", F.col("restored").alias("text")), a.target)
     elif a.anonymize:
-        files.write_texts(Engine().anonymized(docs), a.target)
-    else:
-        texts, mapping = Engine().coded(docs)
+        files.write_texts(engine.anonymized(docs, "case_id"), a.target)
+    elif a.codes:
+        texts, mapping = engine.coded(docs, "case_id")
         files.write_texts(texts.select("doc_id", F.col("rewritten").alias("text")), a.target)
         if a.map:
-            mapping.write.mode("overwrite").parquet(a.map)
+            files.write_mapping(mapping, a.map, code=True)
+    else:
+        files.write_texts(engine.pseudonymized(docs, "case_id", a.salt).select("doc_id", F.col("rewritten").alias("text")), a.target)
+        if a.map:
+            files.write_mapping(engine.pseudonym_mapping(docs, "case_id", a.salt), a.map, code=False)
 
 
 if __name__ == "__main__":

@@ -64,3 +64,47 @@ def char_at(text: Column, i: Column) -> Column:
 
 def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def quoted(words) -> str:
+    """An alternation of literal words, longest first."""
+    special = set("\\.[]{}()*+-?^$|&#")
+    return "|".join("".join("\\" + c if c in special else c for c in w) for w in sorted(words, key=lambda w: (-len(w), w)))
+
+
+def row(text: Column, start: Column, end: Column, kind: str | Column) -> Column:
+    """A candidate: struct<start, end, kind, value>."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), kind.alias("kind"), cut(text, start, end).alias("value"))
+
+
+def before(text: Column, at: Column, n: int) -> Column:
+    """At most `n` characters before a place."""
+    return cut(text, F.greatest(at - n, F.lit(0)), at)
+
+
+def after(text: Column, at: Column, n: int) -> Column:
+    return F.substring(text, (at + 1).cast("int"), F.lit(n))
+
+
+def counting(n: Column, first: int = 1) -> Column:
+    """The numbers from `first` to n; none if n is less."""
+    return F.when(n >= first, F.sequence(F.lit(first), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def flat_map(items: Column, body) -> Column:
+    return F.flatten(F.transform(items, body))
+
+
+def sums_before(items: Column) -> Column:
+    """array<int>: for each number the sum of those before it. Summed in groups, then over the groups, so long arrays stay cheap."""
+    none = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<int>").alias("all"))
+
+    def run(values: Column) -> Column:
+        return F.aggregate(values, none, lambda a, x: F.struct((a["at"] + x).cast("int").alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))
+
+    def placed(parts: Column) -> Column:
+        return F.flatten(F.zip_with(parts, run(F.transform(parts, lambda p: p["at"]))["all"], lambda p, base: F.transform(p["all"], lambda x: x + base)))
+
+    groups = F.transform(counting(F.ceil(F.size(items) / GROUP)), lambda k: F.slice(items, (k - 1) * GROUP + 1, F.lit(GROUP)))
+    return F.when(F.size(items) == 0, F.array().cast("array<int>")).otherwise(let(F.transform(groups, run), placed))

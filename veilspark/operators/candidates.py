@@ -3,18 +3,15 @@ is shuffled and no Python runs. Output rows: id, start, end, kind, value."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import char_at, distinct_sorted, let, match_spans
-
-SPAN = "array<struct<start:int,end:int,value:string>>"
+from ..functions.spans import before, char_at, distinct_sorted, flat_map, let, match_spans, row
+from . import tolerant
 
 
-def _as(spans: Column, kind: str) -> Column:
+def typed(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
 
 
@@ -81,10 +78,6 @@ def secrets(text: Column) -> Column:
     return distinct_sorted(F.flatten(F.transform(match_spans(text, P.ASCII_RUN), parts)))
 
 
-def latin_names(text: Column) -> Column:
-    return distinct_sorted(F.flatten(F.array(*[match_spans(text, p) for p in P.LATIN.values()])))
-
-
 def case_numbers(text: Column) -> Column:
     """字第…號 with one to four Han characters before it."""
 
@@ -100,8 +93,8 @@ def full_width_ids(text: Column) -> Column:
 
 
 def outside(spans: Column, taken: Column) -> Column:
-    """Interval anti join within a row: spans that lie in none of `taken`."""
-    return F.filter(spans, lambda x: ~F.exists(taken, lambda t: (t["start"] <= x["start"]) & (x["end"] <= t["end"])))
+    """Interval anti join within a row: spans that lie in none of `taken`. Rows with nothing taken pass at once."""
+    return F.when(F.size(taken) == 0, spans).otherwise(F.filter(spans, lambda x: ~F.exists(taken, lambda t: (t["start"] <= x["start"]) & (x["end"] <= t["end"]))))
 
 
 def exploded(docs: DataFrame, key: str, spans: Column) -> DataFrame:
@@ -109,54 +102,70 @@ def exploded(docs: DataFrame, key: str, spans: Column) -> DataFrame:
     return docs.select(key, F.explode(spans).alias("s")).select(key, "s.start", "s.end", "s.kind", "s.value")
 
 
-def structured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """E-mails, URLs, dates, tokens, secrets, ids and case numbers of each row, as distinct rows.
+_D = f"[{P.DIGIT}]"
+#: A run of digits that is no part of a number with thousands groups or decimals.
+RUN = rf"(?<!{_D})(?<!{_D}\.)(?!(?<={_D},){_D}{{3}}(?!{_D})){_D}++(?!\.{_D})(?!,{_D}{{3}}(?!{_D}))"
 
-    Tokens and secrets inside an e-mail or URL are dropped. Spans of one row never leave it: there is no shuffle.
-    """
-    t = F.col(text)
-    found = docs.select(key, t, F.concat(_as(emails(t), "email"), _as(urls(t), "url")).alias("taken"))
-    tok = F.filter(tokens(t), lambda x: ~F.exists(F.col("taken"), lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
-    rest = [_as(dates(t), "date"), tok, outside(_as(secrets(t), "alnum"), F.col("taken")), _as(full_width_ids(t), "alnum"), _as(case_numbers(t), "zi")]
-    return exploded(found, key, distinct_sorted(reduce(lambda a, b: F.concat(a, b), rest, F.col("taken"))))
 
+def numbers(text: Column) -> Column:
+    """array<struct<start, end>>: a match is a chain of runs that a hyphen, blank, comma or bracket joins, and every sub-chain
+    of up to six runs, and every one up to the chain's end, with three digits or more is a candidate. So is each of them with the
+    sign +, ( or # before it, with an extension or # behind it, and the whole chain with spelled letters before it."""
+
+    def within(chain: Column) -> Column:
+        runs = F.transform(match_spans(chain["value"], f"{_D}+"), lambda r: F.struct((r["start"] + chain["start"]).alias("s"), (r["end"] + chain["start"]).alias("e")))
+
+        def sub_chains(a: Column) -> Column:
+            many = F.size(a)
+            # Runs have one digit at least, so three of them are enough.
+            enough = lambda i, j: (j - i >= 2) | (F.aggregate(F.slice(a, i + 1, j - i + 1), F.lit(0), lambda n, r: (n + r["e"] - r["s"]).cast("int")) >= 3)
+
+            def begun(r: Column, i: Column) -> Column:
+                ends = F.array_distinct(F.concat(F.sequence(i, F.least(i + 5, many - 1)), F.array(many - 1)))
+                signed = F.when(char_at(text, r["s"] - 1).isin("+", "(", "（", "#"), F.array(r["s"], r["s"] - 1)).otherwise(F.array(r["s"]))
+                closed = flat_map(F.filter(ends, lambda j: enough(i, j)), lambda j: _closed(text, F.get(a, j)["e"]))
+                return flat_map(signed, lambda s: F.transform(closed, lambda e: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"))))
 
-def number_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digit runs, without thousands groups and decimals: start, end, and `gap`, the text up to the next run."""
-    t = F.col(text)
-    digit = f"[{P.DIGIT}]"
+            lead = F.length(F.regexp_extract(before(text, chain["start"], 4), "(?:[A-Z] ){1,2}$", 0))
+            digits = F.aggregate(a, F.lit(0), lambda n, r: (n + r["e"] - r["s"]).cast("int"))
+            spelled = F.when((lead > 0) & (digits >= 6), F.array(F.struct((chain["start"] - lead).cast("int").alias("start"), chain["end"].alias("end")))).otherwise(F.array().cast(_PLACES))
+            return F.concat(F.flatten(F.transform(a, begun)), spelled)
 
-    def plain(x: Column) -> Column:
-        prev, after = char_at(t, x["start"] - 1), char_at(t, x["end"])
-        digit_before = char_at(t, x["start"] - 2).rlike(digit)
-        thousands = ((prev == ",") & digit_before & (x["end"] - x["start"] == 3)) | ((after == ",") & F.substring(t, x["end"] + 2, F.lit(4)).rlike(rf"^{digit}{{3}}(?!{digit})"))
-        decimal = ((prev == ".") & digit_before) | ((after == ".") & char_at(t, x["end"] + 1).rlike(digit))
-        return ~(thousands | decimal)
+        return let(runs, sub_chains)
 
-    runs = F.filter(match_spans(t, f"{digit}+"), plain)
+    return distinct_sorted(flat_map(match_spans(text, f"{RUN}(?:(?:{P.NUMBER_JOINS}){RUN})*"), within))
 
-    def with_gap(a: Column) -> Column:
-        return F.transform(a, lambda x, i: F.struct(i.alias("i"), x["start"].alias("start"), x["end"].alias("end"), F.when(i + 1 < F.size(a), F.substring(t, x["end"] + 1, F.get(a, i + 1)["start"] - x["end"])).alias("gap")))
 
-    return docs.select(key, F.explode(let(runs, with_gap)).alias("r")).select(key, "r.i", "r.start", "r.end", "r.gap")
+_PLACES = "array<struct<start:int,end:int>>"
 
 
-JOINS = r"^(?:[-－ 、]|[)）] ?|[)）]-|-?\r?\n)$"
+def _closed(text: Column, end: Column) -> Column:
+    """An end, that of an extension behind it, and that of a # behind it."""
+    size = F.length(F.regexp_extract(F.substring(text, (end + 1).cast("int"), F.lit(12)), f"^{P.EXTENSION}", 0))
+    more = F.when(size > 0, F.array(end + size)).otherwise(F.array().cast("array<int>"))
+    return F.concat(F.array(end), more, F.when(char_at(text, end) == "#", F.array(end + 1)).otherwise(F.array().cast("array<int>")))
 
 
 def number_chains(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Gaps and islands: runs that a hyphen, space or bracket joins form a chain; every sub-chain of up to six runs, and
-    every one up to the chain's end, with three digits or more is a candidate (start, end)."""
-    runs = number_runs(docs, key, text)
-    w = Window.partitionBy(key).orderBy("i")
-    new = F.when(F.coalesce(F.lag("gap").over(w).rlike(JOINS), F.lit(False)), 0).otherwise(1)
-    chained = runs.withColumn("island", F.sum(new).over(w)).withColumn("size", F.col("end") - F.col("start"))
-    last = Window.partitionBy(key, "island")
-    chained = chained.withColumn("j", F.max("i").over(last)).withColumn("digits", F.sum("size").over(Window.partitionBy(key, "island").orderBy("i")))
-    ahead = Window.partitionBy(key, "island").orderBy("i").rowsBetween(0, 5)
-    tail = F.struct(F.col("i"), F.col("end"), F.col("digits"))
-    whole = Window.partitionBy(key, "island").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = F.array_distinct(F.concat(F.collect_list(tail).over(ahead), F.array(F.last(tail).over(whole))))
-    lists = chained.select(key, "start", ends.alias("b"), (F.col("digits") - F.col("size")).alias("before"))
-    picked = lists.select(key, "start", F.explode("b").alias("b"), "before")
-    return picked.where(F.col("b.digits") - F.col("before") >= 3).select(key, "start", F.col("b.end").alias("end")).distinct()
+    """key, start, end of every number candidate. Rows stay where they are: there is no shuffle."""
+    return docs.select(key, F.explode(numbers(F.col(text))).alias("s")).select(key, "s.start", "s.end")
+
+
+def structured_spans(text: Column) -> Column:
+    """E-mails, URLs, dates, numbers, tokens, secrets, ids and case numbers: array<struct<start, end, kind, value>>.
+
+    Numbers, tokens and secrets inside an e-mail or URL are dropped. Numbers longer than a tile have no scorer and are left out.
+    """
+    taken = distinct_sorted(F.concat(typed(emails(text), "email"), typed(urls(text), "url")))
+
+    def rest(t: Column) -> Column:
+        num = F.transform(F.filter(numbers(text), lambda x: x["end"] - x["start"] <= P.TILE), lambda x: row(text, x["start"], x["end"], "num"))
+        parts = [typed(dates(text), "date"), outside(num, t), outside(tokens(text), t), outside(typed(secrets(text), "alnum"), t), typed(full_width_ids(text), "alnum"), typed(case_numbers(text), "zi")]
+        return F.concat(t, *parts)
+
+    return let(taken, rest)
+
+
+def structured(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Structured candidates of each row and of its OCR-tolerant form, as distinct rows. Spans of one row never leave it."""
+    return exploded(docs, key, distinct_sorted(tolerant.scanned(F.col(text), structured_spans)))

@@ -1,27 +1,58 @@
-"""Codes, generalisation and realistic pseudonyms for selected spans, consistent in a document or over a case."""
+"""Codes, generalisation and restoration, consistent in a document or over a case."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.patterns import PERSON_CODES, SAFE_SURNAMES
-from ..functions.spans import match_spans
-from ..functions.values import canon, coarse_date, shaped, value_label
-from .decode import spliced
+from ..functions import patterns as P
+from ..functions.spans import flat_map, let, match_spans, quoted
+from ..functions.values import canon, coarse_date, half_digits, parse_date, value_label
+from .candidates import dates
+from .decode import longest_first, spliced
+from .gazetteer import Gazetteer
+from .labelling import used_codes
+from .names import surname_length
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Words of organisation names that are no brand, beside suffixes and cities.
+TRADE_WORDS = "股份 有限 企業 實業 興業 科技 電子 電腦 資訊 生技 食品 餐飲 開發 地產 不動產 物業 保全 貿易 物流 機械 精密 光電 工業 化工 紡織 建設 營造 顧問 工程 管理 國際 投資 美語 英語 牙醫 中醫 眼科 小兒科 台灣 臺灣".split()
+_STRINGS = "array<string>"
 
 
 def person_code(rank: Column) -> Column:
     """甲, 乙, … and, when all are used, 甲2, 乙2, …; `rank` starts at 1."""
-    n = len(PERSON_CODES)
+    n = len(P.PERSON_CODES)
     lap = F.floor((rank - 1) / n) + 1
-    return F.concat(F.substring(F.lit(PERSON_CODES), ((rank - 1) % n + 1).cast("int"), F.lit(1)), F.when(lap > 1, lap.cast("string")).otherwise(""))
+    return F.concat(F.substring(F.lit(P.PERSON_CODES), ((rank - 1) % n + 1).cast("int"), F.lit(1)), F.when(lap > 1, lap.cast("string")).otherwise(""))
 
 
 def letter_code(rank: Column) -> Column:
     """A, B, … Z, A2, …"""
     lap = F.floor((rank - 1) / 26) + 1
-    return F.concat(F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ((rank - 1) % 26 + 1).cast("int"), F.lit(1)), F.when(lap > 1, lap.cast("string")).otherwise(""))
+    return F.concat(F.substring(F.lit(LETTERS), ((rank - 1) % 26 + 1).cast("int"), F.lit(1)), F.when(lap > 1, lap.cast("string")).otherwise(""))
+
+
+def _free(letters: str, used: Column) -> Column:
+    return F.filter(F.array(*map(F.lit, letters)), lambda c: ~F.array_contains(used, c))
+
+
+def free_code(rank: Column, used: Column, letters: str, spare: str) -> Column:
+    """The rank-th code whose letter is not in `used`: each free letter, then each with 2, …; with none free, `spare` and the rank."""
+
+    def pick(free: Column) -> Column:
+        n = F.greatest(F.size(free), F.lit(1))
+        lap = F.floor((rank - 1) / n) + 1
+        code = F.concat(F.get(free, ((rank - 1) % n).cast("int")), F.when(lap > 1, lap.cast("string")).otherwise(""))
+        return F.when(F.size(free) == 0, F.concat(F.lit(spare), rank.cast("string"))).otherwise(code)
+
+    return let(_free(letters, used), pick)
+
+
+def free_number(rank: Column, label: Column, used: Column) -> Column:
+    """The rank-th number that no code of this label in `used` has."""
+    mine = F.filter(F.transform(used, lambda c: F.when(F.regexp_replace(c, r"[\s　]*[0-9]+$", "") == label, F.regexp_extract(c, "[0-9]+$", 0).try_cast("int"))), lambda n: n.isNotNull())
+    return let(mine, lambda m: F.get(F.filter(F.sequence(F.lit(1).cast("int"), (rank + F.size(m)).cast("int")), lambda k: ~F.array_contains(m, k)), (rank - 1).cast("int")))
 
 
 def first_seen(spans: DataFrame, scope: list[str], order: list[str], value: Column, within: list[str] | None = None) -> DataFrame:
@@ -30,24 +61,108 @@ def first_seen(spans: DataFrame, scope: list[str], order: list[str], value: Colu
     return first.withColumn("rank", F.dense_rank().over(Window.partitionBy(*scope, *(within or [])).orderBy("at", "canon"))).drop("at")
 
 
-def coded(spans: DataFrame, scope: list[str], order: list[str], date_level: str = "month") -> DataFrame:
-    """`spans` (type, value, …) with `new`: 甲 for persons, A公司 for organisations, 〔label N〕 for other values, coarse dates.
+def reserved(docs: DataFrame, scope: list[str], text: str = "text") -> DataFrame:
+    """scope, used: the codes that the texts of a scope hold already, which new codes must avoid."""
+    letters = F.filter(F.array(*map(F.lit, P.PERSON_CODES)), lambda c: F.contains(F.col(text), c))
+    each = docs.select(*scope, F.array_distinct(F.concat(letters, used_codes(F.col(text)))).alias("u"))
+    return each.groupBy(*scope).agg(F.array_distinct(F.flatten(F.collect_set("u"))).alias("used"))
+
+
+def owners(spans: DataFrame, scope: list[str], gazetteer: Gazetteer | None = None) -> DataFrame:
+    """Person spans (`canon`, `kind`) with `owner`: whose code a span gets.
 
-    One value has one code in a scope (columns such as case_id). Equi-joins on scope and canonical value only.
+    A full name is its own. A surname, given name or nickname belongs to the one full name of its scope that it fits; where it
+    fits several, the owner is 〇, and where none, it is its own. Full names are listed under each part that may stand
+    for them, so this is an equi-join.
     """
-    group = F.when(F.col("type") == "PERSON", "p").when(F.col("type") == "ORG", "o").when(F.col("type").startswith("DATE"), "d").otherwise(value_label(F.col("value")))
-    named = spans.withColumns({"canon": canon(F.col("value")), "label": group})
-    codes = first_seen(named, scope, order, F.col("canon"), ["label"])
-    joined = named.join(codes, [*scope, "label", "canon"])
-    token = F.concat(F.lit("〔"), F.col("label"), F.col("rank").cast("string"), F.lit("〕"))
-    date = coarse_date(F.col("value"), date_level)
+    g = gazetteer or Gazetteer()
+    n = surname_length(F.col("canon"), g)
+    named = spans.withColumns({"_sur": F.expr("substring(canon, 1, 0)") if not g.surnames else F.substring("canon", F.lit(1), n), "_given": F.substring("canon", n + 1, F.length("canon"))})
+    part = F.when((F.col("kind") == "partial") | ((n > 0) & (F.length("canon") == n)), F.concat(F.lit("s:"), "canon")).when(F.col("kind").isin("given", "given2"), F.concat(F.lit("g:"), "canon"))
+    head = F.regexp_extract("canon", "^[老小阿](?=.)", 0)
+    body = F.substring("canon", F.length(head) + 1, F.length("canon"))
+    nick = F.when(head.isin("老", "小") & (surname_length(body, g) == F.length(body)), F.concat(F.lit("s:"), body)).otherwise(F.concat(F.lit("n:"), body))
+    named = named.withColumn("_part", F.when(F.col("kind") == "nick", nick).otherwise(part)).drop("_s")
+
+    given = F.col("_given")
+    tails = F.transform(F.sequence(F.lit(1), F.greatest(F.length(given), F.lit(1))), lambda i: F.substring(given, i, F.length(given)))
+    inside = flat_map(F.sequence(F.lit(1), F.greatest(F.length(given), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.length(given) - i + 1, F.lit(1))), lambda k: F.substring(given, i, k)))
+    keys = F.concat(F.array(F.concat(F.lit("s:"), "_sur")), F.transform(tails, lambda x: F.concat(F.lit("g:"), x)), F.transform(inside, lambda x: F.concat(F.lit("n:"), x)))
+    full = named.where("_part is null").select(*scope, "canon", F.explode(F.array_distinct(keys)).alias("_part")).where("length(_part) > 2").distinct()
+    # Also a name that stands whole as a part elsewhere is that person.
+    fits = full.groupBy(*scope, "_part").agg(F.min("canon").alias("_one"), F.count("*").alias("_n"))
+    owner = F.when(F.col("_part").isNull() | F.col("_n").isNull(), F.coalesce("_part", F.concat(F.lit("p:"), "canon"))).when(F.col("_n") == 1, F.concat(F.lit("p:"), "_one")).otherwise("〇")
+    return named.join(fits, [*scope, "_part"], "left").withColumn("owner", owner).drop("_sur", "_given", "_part", "_one", "_n")
+
+
+def brand_parts(name: Column, gazetteer: Gazetteer | None = None) -> Column:
+    """Pieces of an organisation name that are no form, trade or city: array<string>."""
+    g = gazetteer or Gazetteer()
+    words = quoted({*g.suffixes, *TRADE_WORDS, *g.place(g.cities)})
+    return F.filter(F.split(F.regexp_replace(name, f"(?:{words})", "\x03"), "\x03+"), lambda x: x != "")
+
+
+def organisation_code(name: Column, letter: Column, gazetteer: Gazetteer | None = None) -> Column:
+    """The name with its brand as a letter (澄嶼顧問股份有限公司: A顧問股份有限公司). Where the brand is not one piece of two characters or more, the letter and
+    the form; without Han, Company A."""
+    g = gazetteer or Gazetteer()
+    form = F.regexp_extract(name, f"(?:{quoted(g.suffixes)})$", 0)
+    form = F.when((form == "") | form.endswith("公司"), "公司").otherwise(form)
+
+    def put(parts: Column) -> Column:
+        one = (F.size(parts) == 1) & (F.length(F.get(parts, F.lit(0))) >= 2) & (F.get(parts, F.lit(0)) != name)
+        return F.when(~name.rlike(f"[{P.HAN}]"), F.concat(F.lit("Company "), letter)).when(one, F.replace(name, F.get(parts, F.lit(0)), letter)).otherwise(F.concat(letter, form))
+
+    return let(brand_parts(name, g), put)
+
+
+def coded(spans: DataFrame, scope: list[str], order: list[str], date_level: str = "month", used: DataFrame | None = None, address_level: str = "city", birth_level: str = "year", gazetteer: Gazetteer | None = None) -> DataFrame:
+    """`spans` (type, value, and kind if known) with `new`: 甲 for persons, A公司 for organisations, 〔label N〕 for other values, dates as far
+    as their level ("keep", "month", "year"), addresses behind the city (or district) that stays.
+
+    One value has one code in a scope (columns such as case_id). Codes in `used` (of `reserved`) are passed over. Equi-joins on scope
+    and canonical value only.
+    """
+    g = gazetteer or Gazetteer()
+    t, v = F.col("type"), F.col("value")
+    lot = F.regexp_extract(v, rf"([{P.DIGIT}]+(?:-[{P.DIGIT}]+)?) ?([地建])號$", 2)
+    label = (
+        F.when(t == "PERSON", "p")
+        .when(t == "ORG", "o")
+        .when(t.startswith("DATE"), "日期")
+        .when((t == "ADDRESS") & (lot != ""), F.concat(lot, F.lit("號")))
+        .when(t == "ADDRESS", "地址")
+        .otherwise(value_label(v))
+    )
+    city = f"^(?:{quoted(g.place(g.cities))})"
+    district = rf"{city}?(?:{quoted(g.place(g.districts))})" if g.districts else rf"{city}(?:[{P.HAN}]{{1,3}}[區鄉鎮市])?"
+    kept = F.when((t == "ADDRESS") & (lot != ""), F.regexp_replace(v, rf"[{P.DIGIT}]+(?:-[{P.DIGIT}]+)? ?[地建]號$", "")).when(t == "ADDRESS", F.regexp_extract(v, district if address_level == "district" else city, 0)).otherwise("")
+    known = spans if "kind" in spans.columns else spans.withColumn("kind", F.lit("full"))
+    named = known.withColumns({"label": label, "_kept": kept})
+    named = named.withColumn("canon", canon(F.substring("value", F.length("_kept") + 1, F.length("value"))))
+    people = owners(named.where("label = 'p'"), scope, g)
+    # A part has the place of its full name's first mention or its own; a part of several has no code.
+    named = people.unionByName(named.where("label <> 'p'").withColumn("owner", F.col("canon")))
+    codes = first_seen(named.where("owner <> '〇' or label <> 'p'"), scope, order, F.col("owner"), ["label"]).withColumnRenamed("canon", "owner")
+    joined = named.join(codes, [*scope, "label", "owner"], "left")
+    joined = joined.join(used.select(*scope, "used"), scope, "left") if used is not None else joined.withColumn("used", F.array().cast(_STRINGS))
+    joined = joined.withColumn("used", F.coalesce("used", F.array().cast(_STRINGS)))
+    letter = free_code(F.col("rank"), F.col("used"), LETTERS, "機構")
+    token = F.concat(F.lit("〔"), F.col("label"), free_number(F.col("rank"), F.col("label"), F.col("used")).cast("string"), F.lit("〕"))
+
+    def date(level: str) -> Column:
+        return v if level == "keep" else F.coalesce(coarse_date(v, level), token)
+
     new = (
-        F.when(F.col("label") == "p", person_code(F.col("rank")))
-        .when(F.col("label") == "o", F.concat(letter_code(F.col("rank")), F.lit("公司")))
-        .when(F.col("label") == "d", F.coalesce(date, F.concat(F.lit("〔日期"), F.col("rank").cast("string"), F.lit("〕"))))
-        .otherwise(token)
+        F.when((F.col("label") == "p") & F.col("rank").isNull(), "〇")
+        .when(F.col("label") == "p", free_code(F.col("rank"), F.col("used"), P.PERSON_CODES, "人物"))
+        .when(F.col("label") == "o", organisation_code(F.col("canon"), letter, g))
+        .when(t == "DATE", date(birth_level))
+        .when(t.startswith("DATE"), date(date_level))
+        .otherwise(F.concat("_kept", token))
     )
-    return joined.withColumn("new", new).drop("canon", "label", "rank")
+    out = joined.withColumn("new", new).drop("canon", "label", "rank", "_kept", "owner", "used")
+    return out if "kind" in spans.columns else out.drop("kind")
 
 
 def rewritten(docs: DataFrame, replacements: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -58,49 +173,104 @@ def rewritten(docs: DataFrame, replacements: DataFrame, key: str = "doc_id", tex
     return joined.select(*docs.columns, F.col("_o.text").alias("rewritten"), F.col("_o.spans").alias("log"))
 
 
-def anonymized(docs: DataFrame, spans: DataFrame, scope: list[str], order: list[str], key: str = "doc_id", date_level: str = "month") -> DataFrame:
+def anonymized(docs: DataFrame, spans: DataFrame, scope: list[str], order: list[str], key: str = "doc_id", date_level: str = "month", used: DataFrame | None = None) -> DataFrame:
     """Rewritten text only: no mapping column leaves this function."""
-    return rewritten(docs, coded(spans, scope, order, date_level), key).select(key, F.col("rewritten").alias("text"))
+    return rewritten(docs, coded(spans, scope, order, date_level, used), key).select(key, F.col("rewritten").alias("text"))
 
 
 def mapping(spans: DataFrame, scope: list[str]) -> DataFrame:
-    """The mapping table of coded spans: scope, fake, original, type, and whether a code stands for several originals."""
+    """The mapping table of replaced spans: scope, fake, original, type, and whether a fake stands for several originals."""
     once = spans.select(*scope, F.col("new").alias("fake"), F.col("value").alias("original"), "type").distinct()
-    return once.withColumn("ambiguous", F.count("*").over(Window.partitionBy(*scope, "fake")) > 1)
+    return once.withColumn("ambiguous", (F.count("*").over(Window.partitionBy(*scope, "fake")) > 1) | (F.col("fake") == "〇"))
+
+
+_BRACKETS = (("〔", "〕"), ("[", "]"), ("［", "］"), ("【", "】"))
+_CODE = rf"^[{P.PERSON_CODES}][0-9]*$"
+
+
+def written_forms(table: DataFrame, scope: list[str]) -> DataFrame:
+    """scope, written, original, rank: each way in which a reply may write a fake; of two originals for one, that of the lower rank.
+
+    Bracketed codes in other brackets, numbers in half-width digits or without separators, false surnames before a title or behind
+    "我姓", and the fake itself, which comes first.
+    """
+    plain = table.where(~F.col("ambiguous")).select(*scope, "fake", "original", "type")
+    fake, original = F.col("fake"), F.col("original")
+    item = lambda w, o, n: F.struct(w.alias("written"), o.alias("original"), F.lit(n).alias("rank"))
+    inner = F.substring(fake, F.lit(2), F.length(fake) - 2)
+    forms = [F.array(item(fake, original, 0))]
+    forms.append(F.when(fake.startswith("〔"), F.array(*[item(F.concat(F.lit(a), inner, F.lit(b)), original, 1) for a, b in _BRACKETS[1:]])))
+    half = half_digits(fake)
+    bare = F.regexp_replace(half, r"[\s\-()]", "")
+    forms.append(F.when(F.col("type").isin("NUMBER", "CODE") & (F.length(F.regexp_replace(bare, "[^0-9]", "")) >= 6), F.array(item(half, original, 2), item(bare, original, 2))))
+    titled = [item(F.concat(fake, F.lit(x)), F.concat(original, F.lit(x)), 3) for x in dict.fromkeys(P.TITLES) if x != "家"]
+    before = [item(F.concat(F.lit(x), fake), F.concat(F.lit(x), original), 3) for x in P.SURNAME_AFTER]
+    forms.append(F.when(F.col("type") == "SURNAME", F.array(*titled, *before)))
+    none = F.array().cast("array<struct<written:string,original:string,rank:int>>")
+    each = plain.select(*scope, "type", F.explode(F.concat(*[F.coalesce(f, none) for f in forms])).alias("w")).select(*scope, "type", "w.*")
+    # A false surname alone could be part of any word.
+    each = each.where(~((F.col("type") == "SURNAME") & (F.col("rank") == 0)))
+    return each.groupBy(*scope, F.regexp_replace("written", r"[\s　]", "").alias("written")).agg(F.min(F.struct("rank", "original")).alias("v")).select(*scope, "written", F.col("v.original").alias("original"))
+
+
+def form_pattern(written: Column) -> Column:
+    """The pattern of a written form: blanks between its characters do not matter; digits and letters at its ends go no further, and
+    a lone person code stands in no common word."""
+    body = F.array_join(F.transform(F.filter(F.split(written, ""), lambda c: c != ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "[\\s　]*")
+    first, last = F.substring(written, 1, 1), F.substring(written, -1, 1)
+    left = F.when(first.rlike("[0-9]"), "(?<![0-9０-９])").when(first.rlike("[A-Za-z]"), "(?<![A-Za-z0-9])").otherwise("")
+    right = F.when(last.rlike("[0-9]"), "(?![0-9０-９])").when(last.rlike("[A-Za-z]"), "(?![A-Za-z0-9])").otherwise("")
+    code = F.concat(F.lit(f"(?<![{P.CODE_BEFORE}])"), body, F.lit(f"(?![\\s　]*[0-9{P.CODE_NEXT}])"))
+    return F.when(written.rlike(_CODE), code).otherwise(F.concat(left, body, right))
+
+
+def restoring_hits(text: Column, pattern: Column, known: Column, days: Column) -> Column:
+    """array<struct<start, end, new>>: what to put back, and where. `days` are the dates among the fakes by what they mean."""
+    found = F.transform(match_spans(text, pattern), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(known, F.regexp_replace(h["value"], r"[\s　]", "")).alias("new")))
+    other = F.transform(dates(text), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(days, F.to_json(parse_date(h["value"]))).alias("new")))
+    return longest_first(F.filter(F.concat(F.coalesce(found, F.array().cast(_HITS)), F.coalesce(other, F.array().cast(_HITS))), lambda h: h["new"].isNotNull()))
+
+
+_HITS = "array<struct<start:int,end:int,new:string>>"
+
+
+def with_hits(replies: DataFrame, table: DataFrame, scope: list[str], text: str = "text") -> DataFrame:
+    """`replies` with `hits`. A scope's written forms become one alternation, the longest first; it runs once over each text, so what is
+    put back is never taken for a code. A scope's mapping is as large as the case has values."""
+    forms = written_forms(table, scope).groupBy(*scope).agg(F.collect_set(F.struct("written", "original")).alias("_e"))
+    alternatives = F.array_sort(F.transform("_e", lambda e: F.struct(F.length(e["written"]).alias("n"), form_pattern(e["written"]).alias("p"))), lambda a, b: b["n"] - a["n"])
+    forms = forms.select(*scope, F.map_from_entries("_e").alias("_m"), F.array_join(F.transform(alternatives, lambda a: a["p"]), "|").alias("_p"))
+    dated = table.where(~F.col("ambiguous") & F.col("type").startswith("DATE")).select(*scope, F.to_json(parse_date(F.col("fake"))).alias("k"), "original").where("k is not null")
+    days = dated.groupBy(*scope, "k").agg(F.min("original").alias("o"), F.countDistinct("original").alias("n")).where("n = 1").groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("k", "o"))).alias("_d"))
+    joined = replies.join(forms, scope, "left").join(days, scope, "left")
+    none = F.create_map().cast("map<string,string>")
+    hits = restoring_hits(F.col(text), F.coalesce("_p", F.lit("(?!)")), F.coalesce("_m", none), F.coalesce("_d", none))
+    return joined.withColumn("hits", hits).drop("_m", "_p", "_d")
 
 
 def restored_by_mapping(replies: DataFrame, table: DataFrame, scope: list[str], key: str = "reply_id", text: str = "text") -> DataFrame:
-    """New texts with the codes of their scope put back in one pass, the longest code first; ambiguous codes stay.
+    """New texts with the values of their scope put back in one pass, the longest form first; ambiguous fakes stay."""
+    return with_hits(replies, table, scope, text).select(*replies.columns, spliced(F.col(text), F.col("hits"))["text"].alias("restored"))
+
+
+def guarded(outputs: DataFrame, table: DataFrame, scope: list[str], key: str = "doc_id", rounds: int = 20) -> DataFrame:
+    """The mapping with every fake marked ambiguous that would be put back wrongly in the texts it comes from (`outputs`: key, scope,
+    rewritten, log): at a place that was not replaced, or with another original.
 
-    A scope's codes become one alternation, built with the data; it runs once over each text, so what is put back is never
-    taken for a code. A scope's mapping is as large as the case has values.
+    One fake fewer can uncover another, so this goes on until nothing is wrong, a few rounds at most. What a round compares
+    is the place of each hit with the log, within the row.
     """
-    usable = table.where(~F.col("ambiguous")).groupBy(*scope).agg(F.map_from_entries(F.collect_set(F.struct("fake", "original"))).alias("_m"))
-    longest = F.array_sort(F.map_keys("_m"), lambda a, b: F.length(b) - F.length(a))
-    usable = usable.withColumn("_p", F.array_join(F.transform(longest, lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "|"))
-    joined = replies.join(usable, scope, "left")
-    hits = F.transform(match_spans(F.col(text), F.col("_p")), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(F.col("_m"), h["value"]).alias("new")))
-    return joined.select(*replies.columns, F.when(F.col("_m").isNull(), F.col(text)).otherwise(spliced(F.col(text), hits)["text"]).alias("restored"))
-
-
-def case_shift(scope: Column, salt: str) -> Column:
-    """Days by which all dates of a case move: a multiple of seven, 28 to 182 either way."""
-    h = F.pmod(F.xxhash64(scope, F.lit(salt)), F.lit(46))
-    return (F.when(h < 23, h + 4).otherwise(-(h - 23 + 4)) * 7).cast("int")
-
-
-def surname_map(names: DataFrame, scope: list[str], salt: str) -> DataFrame:
-    """One safe surname for each real one of a scope: real ones are ranked by a keyed hash, and the rank picks from the pool at a place
-    that the scope shifts; one to one while a scope has no more surnames than the pool."""
-    pool = len(SAFE_SURNAMES)
-    real = names.select(*scope, F.col("surname")).distinct()
-    rank = F.row_number().over(Window.partitionBy(*scope).orderBy(F.xxhash64("surname", F.lit(salt)), "surname"))
-    shift = F.pmod(F.xxhash64(*scope, F.lit(salt)), F.lit(pool))
-    place = ((F.col("_r") + shift) % pool + 1).cast("int")
-    return real.withColumn("_r", rank).withColumn("fake", F.substring(F.lit(SAFE_SURNAMES), place, F.lit(1))).drop("_r")
-
-
-def pseudonyms(spans: DataFrame, scope: list[str], salt: str, keep_head: Column) -> DataFrame:
-    """`new` for numbers and codes: the same value of a scope always gets the same value of the same shape."""
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in scope], canon(F.col("value")), F.lit(salt))
-    return spans.withColumn("new", shaped(F.col("value"), key, keep_head))
+    for _ in range(rounds):
+        seen = with_hits(outputs.select(key, *[s for s in scope if s != key], F.col("rewritten").alias("text"), "log"), table, scope)
+        inside = lambda h, x: (x["start"] <= h["start"]) & (h["end"] <= x["end"])
+        right = lambda h, x: (x["start"] == h["start"]) & (x["end"] == h["end"]) & (canon(x["original"]) == canon(h["new"]))
+        wrong = F.filter("hits", lambda h: ~F.exists("log", lambda x: right(h, x) | (inside(h, x) & F.contains(canon(x["original"]), canon(h["new"])))))
+        bad = seen.select(*scope, F.explode(F.transform(wrong, lambda h: F.substring("text", h["start"] + 1, h["end"] - h["start"]))).alias("w")).select(*scope, F.regexp_replace("w", r"[\s　]", "").alias("_w")).distinct()
+        # The mapping is small beside the texts; it is settled before the next round reads it.
+        marked = table.withColumn("_w", F.regexp_replace("fake", r"[\s　]", "")).join(bad.withColumn("_bad", F.lit(True)), [*scope, "_w"], "left")
+        after = marked.withColumn("ambiguous", F.col("ambiguous") | F.coalesce("_bad", F.lit(False))).drop("_w", "_bad")
+        changed = marked.where(~F.col("ambiguous") & F.col("_bad")).limit(1).count()
+        if not changed:
+            return table
+        table = after.checkpoint() if outputs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after
+    return table

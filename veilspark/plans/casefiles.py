@@ -1,5 +1,5 @@
 """Case files: Chinese documents that Spark derives from `orders` and `customer`, one for each order, one case for each
-customer, with names, dates in five notations, phones, e-mails and business numbers at known places.
+customer, with names, dates in five notations, phones, e-mails, business numbers, addresses and organisations at known places.
 
 The expressions are SQL that Spark and DuckDB read alike, so both sides derive the same texts.
 """
@@ -14,6 +14,8 @@ NAME = f"concat({SURNAME}, {GIVEN})"
 PHONE = "concat('09', lpad(cast(o_custkey * 7919 % 100000000 as varchar(20)), 8, '0'))"
 EMAIL = "concat('c', cast(o_custkey as varchar(20)), '@mail', cast(o_custkey % 97 as varchar(20)), '.tw')"
 UBN = "lpad(cast(o_custkey * 104729 % 100000000 as varchar(20)), 8, '0')"
+ADDRESS = "concat(case cast(o_custkey % 3 as int) when 0 then '臺北市中山區' when 1 then '臺中市西區' else '高雄市三民區' end, case cast(o_orderkey % 3 as int) when 0 then '瑞光路' when 1 then '中正路' else '民生東路' end, cast(o_custkey % 400 + 1 as varchar(20)), '號', cast(o_orderkey % 20 + 1 as varchar(20)), '樓')"
+ORGANISATION = "concat(substr('澄嶼宏遠大立新和永佳', cast(o_custkey % 9 + 1 as int), 1), substr('岳昕辰恩瀚嵐', cast(o_custkey % 5 + 1 as int), 1), '科技股份有限公司')"
 Y, M, D = "cast(year(o_orderdate) as int)", "cast(month(o_orderdate) as int)", "cast(day(o_orderdate) as int)"
 
 
@@ -52,6 +54,11 @@ PARTS = [
     ("MAIL", EMAIL),
     (None, "'，統編'"),
     ("ID", UBN),
+    (None, "'，住'"),
+    ("ADDR", ADDRESS),
+    (None, "'，由'"),
+    ("ORG", ORGANISATION),
+    (None, "'承作'"),
     (None, "concat('，金額', cast(cast(o_orderkey % 900 + 100 as int) as varchar(20)), '元。')"),
 ]
 TEXT = "concat(" + ", ".join(p for _, p in PARTS) + ")"

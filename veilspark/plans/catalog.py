@@ -14,8 +14,10 @@ from ..functions import patterns as P
 from ..functions import values as V
 from ..functions.spans import cut, let
 from ..operators import candidates as C
-from ..operators import consistency, decode, marked, rewrite, scanners, tiles
+from ..operators import addresses, augment, consistency, decode, marked, names, organisations, realistic, rewrite, tiles, tolerant
 from . import casefiles, evaluate
+from .deidentify import Engine
+from .shared import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,6 +34,14 @@ def query(sql: str | None = None):
     return add
 
 
+_ENGINES: dict[str, Engine] = {}
+
+
+def engine(spark: SparkSession) -> Engine:
+    """One for each Spark application: its expressions are built once."""
+    return _ENGINES.setdefault(spark.sparkContext.applicationId, Engine())
+
+
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
@@ -50,7 +60,7 @@ EMAILS = sql_spans("documents", "doc_id", "text", EMAIL_SQL)
 
 
 def email_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.exploded(docs_of(spark, sf_dir), "doc_id", C._as(C.emails(F.col("text")), "email")).drop("kind")
+    return C.exploded(docs_of(spark, sf_dir), "doc_id", C.typed(C.emails(F.col("text")), "email")).drop("kind")
 
 
 @query(EMAILS)
@@ -58,10 +68,18 @@ def scan_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return email_rows(spark, sf_dir)
 
 
-@query("select page_id, cast(0 as int) as start, cast(length(url) as int) as \"end\", url as value from pages")
+#: URLs without look-around, which DuckDB's patterns lack: a scheme or www., and what follows.
+SCHEMED = r"(?:https?://|line://|www\.)[^\s，。、；！？「」『』（）()<>一-鿿㐀-䶿]+"
+
+
+@query(
+    f"""select page_id, start, cast(start + length(v) as int) as "end", v as value from
+    (select page_id, start, regexp_replace(value, '[.,;:!?)\\]」』''"`>]+$', '') as v from ({sql_spans("pages", "page_id", "html", SCHEMED)}))""".replace("\\\\", "\\")
+)
 def scan_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.concat("url", F.lit("!）說明")).alias("text"))
-    return C.exploded(pages, "page_id", C._as(C.urls(F.col("text")), "url")).drop("kind")
+    """URLs with a scheme in whole pages; addresses without one follow other rules and are tested apart."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("html").alias("text"))
+    return C.exploded(pages, "page_id", C.typed(C.urls(F.col("text")), "url")).drop("kind").where(F.col("value").rlike(r"^(?:https?://|line://|www\.)"))
 
 
 @query()
@@ -89,9 +107,15 @@ NUMBERS = f"""with runs as ({sql_spans("documents", "doc_id", "text", "[0-9０-
       or (start > 0 and b1 = '.' and regexp_matches(b2, '[0-9０-９]')) or (a1 = '.' and regexp_matches(substr(a4, 1, 1), '[0-9０-９]')))),
     gaps as (select *, case when regexp_full_match(substr(text, lag("end") over w + 1, start - lag("end") over w), '[-－ 、]|[)）] ?|[)）]-|-?\\r?\\n') then 0 else 1 end as new from kept window w as (partition by doc_id order by start)),
     chains as (select *, sum(new) over (partition by doc_id order by start) as island from gaps),
-    ends as (select *, max(i) over (partition by doc_id, island) as j from chains)
-    select distinct a.doc_id, a.start, b."end" from ends a join ends b on a.doc_id = b.doc_id and a.island = b.island and b.i >= a.i and (b.i <= a.i + 5 or b.i = a.j)
-    where (select sum(c."end" - c.start) from ends c where c.doc_id = a.doc_id and c.i between a.i and b.i) >= 3"""
+    ends as (select *, max(i) over (partition by doc_id, island) as j from chains),
+    pairs as (select distinct a.doc_id, a.start, b."end" from ends a join ends b on a.doc_id = b.doc_id and a.island = b.island and b.i >= a.i and (b.i <= a.i + 5 or b.i = a.j)
+      where (select sum(c."end" - c.start) from ends c where c.doc_id = a.doc_id and c.i between a.i and b.i) >= 3),
+    told as (select p.*, d.text, length(regexp_extract(substr(d.text, p."end" + 1, 12), '^\\s?(?:#|轉|分機|ext\\.?)\\s?[0-9０-９]{{1,5}}')) as more from pairs p join documents d using (doc_id)),
+    ranges as (select doc_id, unnest(case when start > 0 and substr(text, start, 1) in ('+', '(', '（', '#') then [start, start - 1] else [start] end) as start, "end", more, text from told),
+    forms as (select doc_id, start, unnest(list_distinct([cast("end" as int), cast("end" + more as int), cast("end" + case when substr(text, "end" + 1, 1) = '#' then 1 else 0 end as int)])) as "end" from ranges),
+    whole as (select e.doc_id, min(e.start) as s, max(e."end") as t, sum(e."end" - e.start) as n, any_value(e.text) as text from ends e group by e.doc_id, e.island),
+    spelled as (select doc_id, s, t, length(regexp_extract(substr(text, greatest(s - 4, 0) + 1, s - greatest(s - 4, 0)), '(?:[A-Z] ){{1,2}}$')) as lead from whole where n >= 6)
+    select distinct doc_id, cast(start as int) as start, "end" from forms union select doc_id, cast(s - lead as int), cast(t as int) from spelled where lead > 0"""
 
 
 @query(NUMBERS)
@@ -158,18 +182,20 @@ def tile_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def tile_keeping_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.concat(F.repeat(F.lit("說明文字"), 50), F.lit(" "), "url", F.repeat(F.lit("a"), 80), F.lit(" "), F.repeat(F.lit("後文"), 200)).alias("text"))
-    return tiles.tiles_keeping(pages, C.urls(F.col("text")))
+    """Tiles of whole documents that keep their long ASCII runs whole."""
+    from ..functions.spans import match_spans
+
+    return tiles.tiles_keeping(docs_of(spark, sf_dir), match_spans(F.col("text"), "[!-~]+(?: [!-~]+){9,14}"))
 
 
 def scored(spans: DataFrame) -> DataFrame:
     """Probabilities from places, in place of a model: any scorer that gives p_mask and p_keep fits here."""
-    h = (F.col("start") * 7919 + F.col("end") * 104729 + F.col("doc_id") * 31) % 997
+    h = (F.col("start").cast("long") * 7919 + F.col("end").cast("long") * 104729 + F.col("doc_id").cast("long") * 31) % 997
     return spans.withColumns({"p_mask": (h / 997.0), "p_keep": ((996 - h) / 1994.0)})
 
 
 @query(
-    f"""with recursive n as ({NUMBERS}), s as (select *, ((start * 7919 + "end" * 104729 + doc_id * 31) % 997) as h from n),
+    f"""with recursive n as ({NUMBERS}), s as (select *, ((start::bigint * 7919 + "end"::bigint * 104729 + doc_id::bigint * 31) % 997) as h from n),
     p as (select *, h / 997.0::double as pm, (996 - h) / 1994.0::double as pk from s),
     o as (select *, row_number() over (partition by doc_id order by -(pm + pk), start, "end") as k from p where pm + pk >= 0.6),
     r(doc_id, k, chosen) as (
@@ -230,7 +256,7 @@ def mask_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""with w as (select doc_id, unnest(string_split(lower(text), ' ')) as word from documents), e as (select distinct value from ({EMAILS}))
-    select word, count(distinct doc_id) as docs from w where word <> '' and word not in (select value from e) group by word having count(distinct doc_id) >= 20"""
+    select * from (select word, count(distinct doc_id) as docs from w where word <> '' group by word having count(distinct doc_id) >= 20) f where not exists (select 1 from e where contains(e.value, f.word) or contains(f.word, e.value))"""
 )
 def known_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = docs_of(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word")).where("word <> ''")
@@ -256,7 +282,7 @@ def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", "value", "p.y", "p.m", "p.d", V.coarse_date(F.col("value"), "year").alias("by_year"), V.coarse_date(F.col("value"), "month").alias("by_month"))
 
 
-@query(casefiles.gold_sql(["P", "DATE", "TEL", "MAIL", "ID"]).replace("select doc_id, case_id, ", "select doc_id, "))
+@query(casefiles.gold_sql([*TAGGED, "ADDR", "ORG"]).replace("select doc_id, case_id, ", "select doc_id, "))
 def parse_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.parsed(casefiles.marked(spark, sf_dir)).select("doc_id", "start", "end", "tag", "value")
 
@@ -282,16 +308,9 @@ def code_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(CODED)
 def stream_case_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same codes from a stream of documents in order, the state of each case carried along."""
-    import uuid
-
     from ..streaming.case_codes import coded_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     mentions = case_spans(spark, sf_dir).where("type = 'PERSON'").select("case_id", "doc_id", "start", F.col("value").alias("name"))
     mentions.write.parquet(f"{base}/in")
     stream = spark.readStream.schema("case_id long, doc_id long, start int, name string").parquet(f"{base}/in")
@@ -303,10 +322,16 @@ def stream_case_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MONTH_SQL = "case when o_orderkey % 5 = 3 then concat(['January','February','March','April','May','June','July','August','September','October','November','December'][mm], ' ', yy) when o_orderkey % 5 = 0 then concat('民國', yy - 1911, '年', mm, '月') when o_orderkey % 5 = 2 then concat(yy - 1911, '年', mm, '月') else concat(yy, '年', mm, '月') end"
 
 
-@query(
-    f"""with c as ({CODED}) select o_orderkey as doc_id, concat('茲有', c.code, '先生於', {_MONTH_SQL}, '簽約，電話〔電話1〕，信箱 〔Email1〕，統編〔號碼1〕，金額', cast(o_orderkey % 900 + 100 as int), '元。') as text
+def replaced_text(parts: dict[str, str]) -> str:
+    """The text of the case files with some of its tagged parts as other SQL."""
+    return "concat(" + ", ".join(parts.get(t, p) if t else p for t, p in casefiles.PARTS) + ")"
+
+
+ANONYMIZED = f"""with c as ({CODED}) select o_orderkey as doc_id, {replaced_text({"P": "c.code", "DATE": _MONTH_SQL, "TEL": "'〔電話1〕'", "MAIL": "'〔Email1〕'", "ID": "'〔號碼1〕'"})} as text
     from (select *, {YMD} from orders) o join c on c.doc_id = o.o_orderkey"""
-)
+
+
+@query(ANONYMIZED)
 def anonymize_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = casefiles.documents(spark, sf_dir)
     return rewrite.anonymized(docs, case_spans(spark, sf_dir), ["case_id"], ["doc_id", "start"])
@@ -325,13 +350,51 @@ def restore_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pseudonymize_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = case_spans(spark, sf_dir).where("type in ('NUMBER', 'EMAIL')")
-    return rewrite.pseudonyms(spans, ["case_id"], "salt", V.keep_head(F.col("value"))).select("doc_id", "case_id", "type", "value", "new")
+    return realistic.pseudonyms(spans, ["case_id"], "salt", V.keep_head(F.col("value"))).select("doc_id", "case_id", "type", "value", "new")
 
 
-@query()
+PEOPLE = casefiles.gold_sql(["P"])
+
+
+@query(f"with g as ({PEOPLE}) select distinct case_id, substr(value, 1, 1) as surname, true as other, true as one_to_one from g")
 def pseudonymize_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = case_spans(spark, sf_dir).where("type = 'PERSON'").select("case_id", F.substring("value", 1, 1).alias("surname"))
-    return rewrite.surname_map(names, ["case_id"], "salt")
+    """Each surname of a nation has another; no two of it share one, though a nation has hundreds of people."""
+    names_of = case_spans(spark, sf_dir).where("type = 'PERSON'").select("case_id", F.substring("value", 1, 1).alias("surname"))
+    m = realistic.surname_map(names_of, ["case_id"], "salt")
+    shared = F.count("*").over(Window.partitionBy("case_id", "fake")) == 1
+    return m.select("case_id", "surname", (F.col("fake") != F.col("surname")).alias("other"), shared.alias("one_to_one"))
+
+
+def checked_stand_ins(made: DataFrame, scope: str) -> DataFrame:
+    """Distinct values of a scope, and whether each has one stand-in that is no other value's and not itself."""
+    each = made.groupBy(scope, "value").agg(F.countDistinct("new").alias("n"), F.min("new").alias("new"))
+    alone = F.count("*").over(Window.partitionBy(scope, "new")) == 1
+    return each.select(scope, "value", ((F.col("n") == 1) & alone & (F.col("new") != F.col("value"))).alias("ok"), "new")
+
+
+@query(f"with g as ({PEOPLE}) select distinct case_id % 25 as region, value, true as ok, true as same_shape from g")
+def pseudonymize_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a region of many cases: one stand-in for each, of the same length, no two alike."""
+    spans = case_spans(spark, sf_dir).where("type = 'PERSON'").select("doc_id", (F.col("case_id") % 25).alias("region"), "start", "end", "value", F.lit("full").alias("kind"))
+    out = checked_stand_ins(realistic.persons(spans, ["region"], "salt"), "region")
+    return out.select("region", "value", "ok", (F.length("new") == F.length("value")).alias("same_shape"))
+
+
+@query(f"""with g as ({casefiles.gold_sql(["ORG"])}) select distinct case_id % 25 as region, value, true as ok, true as same_form from g""")
+def pseudonymize_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisations of a region: another brand for each, the form kept, no two alike."""
+    spans = casefiles.gold(spark, sf_dir, ["ORG"]).select((F.col("case_id") % 25).alias("region"), "value")
+    out = checked_stand_ins(realistic.organisations(spans, ["region"], "salt"), "region")
+    return out.select("region", "value", "ok", ((F.length("new") == F.length("value")) & (F.substring("new", 3, 10) == F.substring("value", 3, 10))).alias("same_form"))
+
+
+@query(f"""with g as ({casefiles.gold_sql(["ADDR"])}) select doc_id, value, regexp_extract(value, '^[^區]+區') as head, regexp_extract(value, '[0-9]+樓$') as floor, true as other from g""")
+def pseudonymize_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses keep city, district and floor; road and house are others."""
+    spans = casefiles.gold(spark, sf_dir, ["ADDR"])
+    out = realistic.addresses(spans, ["case_id"], "salt")
+    road = lambda c: F.regexp_extract(c, "區(.*?)(?:路|街)", 1)
+    return out.select("doc_id", "value", F.regexp_extract("new", "^[^區]+區", 0).alias("head"), F.regexp_extract("new", "[0-9]+樓$", 0).alias("floor"), (road("new") != road("value")).alias("other"))
 
 
 @query(
@@ -371,48 +434,67 @@ def precision_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with g as ({casefiles.gold_sql(["TEL", "MAIL", "ID"])}) select tag as label, count(*) as n, cast(0 as bigint) as whole, cast(0 as bigint) as any_part from g group by tag"""
+    f"""with g as ({casefiles.gold_sql(["TEL", "MAIL", "ID"])}), t as ({ANONYMIZED}),
+    o as (select g.*, regexp_replace(regexp_replace(t.text, '〔[^〕]*〕', '', 'g'), '[^0-9A-Za-z]', '', 'g') as rest, t.text, regexp_replace(g.value, '[^0-9A-Za-z]', '', 'g') as bare from g join t using (doc_id) where doc_id % 4 <> 0 or tag <> 'TEL'
+      union all select g.*, regexp_replace(regexp_replace(d.text, '〔[^〕]*〕', '', 'g'), '[^0-9A-Za-z]', '', 'g'), d.text, regexp_replace(g.value, '[^0-9A-Za-z]', '', 'g') from g join ({casefiles.DOCS_SQL}) d using (doc_id) where g.doc_id % 4 = 0 and tag = 'TEL')
+    select tag as label, count(*) as n, cast(sum(cast(contains(text, value) as int)) as bigint) as whole,
+      cast(sum(cast(contains(text, value) or len(list_filter(range(1, length(bare) - 2), lambda i: contains(rest, substr(bare, cast(i as int), 4)))) > 0 as int)) as bigint) as any_part from o group by tag"""
 )
 def residual_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of the values is left in the anonymized texts: nothing."""
-    docs, spans = casefiles.documents(spark, sf_dir), case_spans(spark, sf_dir)
-    # Dates go whole here, so that no digits of theirs look like a part of a number.
-    out = rewrite.rewritten(docs, rewrite.coded(spans, ["case_id"], ["doc_id", "start"]).withColumn("new", F.when(F.col("type") == "DATE_EVENT", "〔日期〕").otherwise(F.col("new"))))
+    """What of the values is left in the texts that are put out, where a quarter of the phones was missed."""
+    docs = casefiles.documents(spark, sf_dir)
+    out = anonymize_cases(spark, sf_dir).withColumnRenamed("text", "o").join(docs, "doc_id")
     gold = casefiles.gold(spark, sf_dir, ["TEL", "MAIL", "ID"]).withColumn("label", F.col("tag"))
-    return evaluate.residual_leaks(gold, out.select("doc_id", F.col("rewritten").alias("text")))
+    missed = (F.col("doc_id") % 4 == 0) & (F.col("tag") == "TEL")
+    done = evaluate.leak_flags(gold.where(~missed), out.select("doc_id", F.col("o").alias("text"))).unionByName(evaluate.leak_flags(gold.where(missed), out.select("doc_id", "text")))
+    return evaluate.leak_counts(done)
 
 
-@query()
+PLANTED = f"""with g as ({{gold}}) select doc_id, start, "end", value, true as found from g"""
+
+
+def found_in(spark: SparkSession, sf_dir: str, tag: str, spans: Column) -> DataFrame:
+    """The planted values of a tag, and whether the generator has each of them exactly."""
+    gold = casefiles.gold(spark, sf_dir, [tag]).select("doc_id", "start", "end", "value")
+    got = C.exploded(casefiles.documents(spark, sf_dir), "doc_id", spans).select("doc_id", "start", "end", F.lit(True).alias("found")).distinct()
+    return gold.join(got, ["doc_id", "start", "end"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+@query(PLANTED.format(gold=casefiles.gold_sql(["P"]).replace("select doc_id, case_id, ", "select doc_id, ")))
 def scan_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanners.scanned(casefiles.documents(spark, sf_dir), "person")
+    return found_in(spark, sf_dir, "P", names.persons(F.col("text")))
 
 
-@query()
+@query(PLANTED.format(gold=casefiles.gold_sql(["ADDR"]).replace("select doc_id, case_id, ", "select doc_id, ")))
 def scan_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    text = F.concat(F.lit("住台北市中山區"), F.element_at(F.array(*map(F.lit, ("瑞光路", "中正路", "民生東路"))), (F.col("c_custkey") % 3 + 1).cast("int")), (F.col("c_custkey") % 400 + 1).cast("string"), F.lit("號"), (F.col("c_custkey") % 20 + 1).cast("string"), F.lit("樓之2。"))
-    return scanners.scanned(c.select(F.col("c_custkey").alias("doc_id"), text.alias("text")), "address")
+    return found_in(spark, sf_dir, "ADDR", addresses.addresses(F.col("text")))
 
 
-@query()
+@query(PLANTED.format(gold=casefiles.gold_sql(["ORG"]).replace("select doc_id, case_id, ", "select doc_id, ")))
 def scan_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    brand = F.concat(F.substring(F.lit("澄嶼宏遠大立新和永佳"), (F.col("s_suppkey") % 9 + 1).cast("int"), F.lit(2)))
-    text = F.concat(F.lit("本案由"), brand, F.lit("科技股份有限公司承作，"), brand, F.lit("表示「安心」方案由 Acme Trading Co., Ltd. 提供。"))
-    return scanners.scanned(s.select(F.col("s_suppkey").alias("doc_id"), text.alias("text")), "organisation")
+    return found_in(spark, sf_dir, "ORG", organisations.organisations(F.col("text")))
 
 
-@query(
-    f"select o_orderkey as doc_id, {casefiles.PHONE} as clean from orders"
-)
+@query()
+def scan_document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Name and organisation candidates of whole documents."""
+    return C.exploded(docs_of(spark, sf_dir), "doc_id", F.concat(names.persons(F.col("text")), organisations.organisations(F.col("text"))))
+
+
+#: Case files without the parts in which a letter beside a digit looks like one (mail7, April 5).
+PLAIN = replaced_text({"DATE": "''", "MAIL": "''"})
+
+
+@query(f"select o_orderkey as doc_id, {PLAIN} as clean from orders")
 def normalize_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phones with blanks, full-width digits and look-alikes, as a scanner gives them, are what they were."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as doc_id", f"{casefiles.PHONE} as phone")
-    noisy = F.concat(F.substring("phone", 1, 3), F.lit(" "), F.translate(F.substring("phone", 4, 3), "0123456789", "０１２３４５６７８９"), F.lit("\n"), F.substring("phone", 7, 4))
-    return scanners.normalized(orders.select("doc_id", noisy.alias("text"))).select("doc_id", "clean")
+    """Case files as a scanner gives them, with blanks and junk in phones, full-width digits and look-alikes, are what they were."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as doc_id", f"{PLAIN} as text", f"{casefiles.PHONE} as phone")
+    noisy = F.concat(F.translate(F.substring("phone", 1, 3), "01", "O1"), F.lit(" "), F.translate(F.substring("phone", 4, 3), "0123456789", "０１２３４５６７８９"), F.lit("^\n"), F.substring("phone", 7, 4))
+    scanned = orders.select("doc_id", F.replace("text", F.col("phone"), F.regexp_replace(noisy, "^O", "0")).alias("text"))
+    return tolerant.normalized(scanned).select("doc_id", "clean")
 
 
-@query("select doc_id, case when doc_id % 2 = 0 then lang else lang end as lang, n_chars from documents where n_chars >= 800")
+@query("select doc_id, lang, n_chars from documents where n_chars >= 800")
 def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars >= 800").select("doc_id", "lang", "n_chars")
 
@@ -480,10 +562,7 @@ def used_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def other_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values masked in one document of a case, wherever else the case holds them."""
     gold = casefiles.gold(spark, sf_dir, ["P", "TEL"])
-    # Places are told apart within a case by document: the interval test runs on shifted places.
-    wide = gold.withColumns({"start": F.col("doc_id") * 1000 + F.col("start"), "end": F.col("doc_id") * 1000 + F.col("end")})
-    found = consistency.other_mentions(wide.where("doc_id % 3 = 0"), wide, "case_id")
-    return found.select("doc_id", (F.col("start") - F.col("doc_id") * 1000).cast("int").alias("start"), (F.col("end") - F.col("doc_id") * 1000).cast("int").alias("end"), "value")
+    return consistency.other_mentions(gold.where("doc_id % 3 = 0"), gold, "case_id").select("doc_id", "start", "end", "value")
 
 
 @query("select p_partkey, p_name, split_part(p_name, ' ', 1) as short from part")
@@ -501,16 +580,9 @@ def short_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select conv_id, turn, text, role from conversations")
 def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations out as JSON lines and back with a declared schema."""
-    import uuid
-
     from ..sources.files import read_json_lines
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-json-")
-    to = f"{base.rstrip('/')}/json-{uuid.uuid4().hex}"
+    to = shared_path(spark, "json")
     spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").write.json(to)
     return read_json_lines(spark, to, "conv_id long, turn long, role string, text string").where("bad is null").drop("bad")
 
@@ -518,16 +590,12 @@ def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def detect_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine with the rule scorer: candidates of all kinds, scored, selected."""
-    from .deidentify import Engine
-
-    return Engine().detect(casefiles.documents(spark, sf_dir))
+    return engine(spark).detect(casefiles.documents(spark, sf_dir))
 
 
 @query()
 def pseudonymize_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .deidentify import Engine
-
-    out = Engine(people=False).pseudonymized(casefiles.documents(spark, sf_dir), "case_id", "salt")
+    out = engine(spark).pseudonymized(casefiles.documents(spark, sf_dir), "case_id", "salt")
     return out.select("doc_id", F.col("rewritten").alias("text"))
 
 
@@ -579,14 +647,14 @@ def recall_by_phenomenon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with g as ({casefiles.gold_sql(["P"])}), r as (select g.value as name, o.o_orderstatus as role from g join orders o on o.o_orderkey = g.doc_id)
+    f"""with g as ({casefiles.gold_sql(["P"])}), r as (select concat(g.value, '#', g.case_id % 100) as name, o.o_orderstatus as role from g join orders o on o.o_orderkey = g.doc_id where o.o_orderstatus <> 'P')
     select name, min(role) as role, count(*) as n from r group by name having count(distinct role) = 1"""
 )
 def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that have one role only."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("role"))
-    names = casefiles.gold(spark, sf_dir, ["P"]).join(orders, "doc_id")
-    return names.groupBy(F.col("value").alias("name")).agg(F.min("role").alias("role"), F.count("*").alias("n"), F.countDistinct("role").alias("d")).where("d = 1").drop("d")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("role")).where("role <> 'P'")
+    people = casefiles.gold(spark, sf_dir, ["P"]).join(orders, "doc_id").withColumn("name", F.concat("value", F.lit("#"), (F.col("case_id") % 100).cast("string")))
+    return people.groupBy("name").agg(F.min("role").alias("role"), F.count("*").alias("n"), F.countDistinct("role").alias("d")).where("d = 1").drop("d")
 
 
 @query(
@@ -651,3 +719,108 @@ def fake_page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", "url", fake_url(F.col("url"), F.concat(F.lit("salt"), "url")).alias("fake"))
+
+
+# Training text, and more evaluation.
+
+
+def with_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return casefiles.documents(spark, sf_dir).select("doc_id", "text"), casefiles.gold(spark, sf_dir, [*TAGGED, "ADDR", "ORG"]).drop("case_id")
+
+
+GOLD_VALUES = casefiles.gold_sql([*TAGGED, "ADDR", "ORG"])
+
+
+@query(f"with x as ({GOLD_VALUES}) select doc_id, tag, value from x where tag <> 'P'")
+def rename_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the case files exchanged for others: at the places that the other annotations moved to stand their values still."""
+    docs, spans = with_spans(spark, sf_dir)
+    texts, moved = augment.renamed(docs, spans, "salt")
+    return augment.values_of(texts, moved).where("tag <> 'P'").select("doc_id", "tag", F.col("found").alias("value"))
+
+
+@query(f"with x as ({GOLD_VALUES}) select doc_id, tag, value from x where tag <> 'ORG'")
+def rebrand_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other brands in half of the documents; the other annotations keep their values."""
+    docs, spans = with_spans(spark, sf_dir)
+    texts, moved = augment.rebranded(docs, spans, "salt")
+    return augment.values_of(texts, moved).where("tag <> 'ORG'").select("doc_id", "tag", F.col("found").alias("value"))
+
+
+@query(f"with x as ({GOLD_VALUES}) select x.doc_id, x.tag, x.value, d.text as plain from x join ({casefiles.DOCS_SQL}) d using (doc_id)")
+def mark_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup around values in three tenths of the documents: annotations stay on the values, and without the marks the text is what it was."""
+    docs, spans = with_spans(spark, sf_dir)
+    texts, moved = augment.marked_down(docs, spans, "salt")
+    plain = texts.select("doc_id", F.replace("text", F.lit("**"), F.lit("")).alias("plain"))
+    return augment.values_of(texts, moved).join(plain, "doc_id").select("doc_id", "tag", F.col("found").alias("value"), "plain")
+
+
+@query(f"with x as ({GOLD_VALUES}) select doc_id, tag, value from x")
+def add_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junk as scanners leave it: without it, what stands at the moved places is the annotated value."""
+    docs, spans = with_spans(spark, sf_dir)
+    texts, moved = augment.noised(docs, spans, "salt")
+    return augment.values_of(texts, moved).select("doc_id", "tag", F.translate("found", "".join(augment.NOISE), "").alias("value"))
+
+
+@query(f"with g as ({PEOPLE}) select doc_id, start, \"end\", true as other from g")
+def fill_masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names masked as a court does are filled again, where they stood."""
+    people = case_spans(spark, sf_dir).where("type = 'PERSON'")
+    masked = rewrite.rewritten(casefiles.documents(spark, sf_dir), people.withColumn("new", F.concat(F.substring("value", 1, 1), F.lit("○○"))))
+    out = augment.filled(masked.select("doc_id", F.col("rewritten").alias("text")), "salt")
+    each = out.select("doc_id", "text", F.explode("spans").alias("s"))
+    return each.select("doc_id", "s.start", "s.end", (~cut(F.col("text"), F.col("s.start"), F.col("s.end")).contains("○")).alias("other"))
+
+
+WRONG = """select p.*, case when g.doc_id is null then 'x' end as x from p left join (select distinct doc_id from h) g using (doc_id)
+  where not exists (select 1 from h where h.doc_id = p.doc_id and h.start < p."end" and p.start < h."end")"""
+
+
+@query(
+    f"""with g as ({casefiles.gold_sql(TAGGED)}), p as (select doc_id, start, "end", tag as type, value from g), h as (select * from g where tag <> 'ID' and doc_id % 9 <> 0),
+    w as ({WRONG}), n as (select *, row_number() over (partition by type, value order by doc_id, start) as k from w)
+    select type, count(*) as spans, cast(sum("end" - start) as bigint) as chars, cast(sum(cast(k > 1 as int)) as bigint) as repeats, count(distinct case when x is not null then doc_id end) as negative_docs from n group by rollup(type)"""
+)
+def false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions where the gold standard has nothing: business numbers everywhere, and all values of a ninth of the documents."""
+    gold = casefiles.gold(spark, sf_dir, TAGGED)
+    return evaluate.false_positives(gold.where("tag <> 'ID' and doc_id % 9 <> 0"), gold.withColumnRenamed("tag", "type"))
+
+
+@query(
+    f"""with g as ({casefiles.gold_sql(TAGGED)}), p as ({PREDICTED_SQL}), h as (select * from g where tag <> 'ID'),
+    c as (select g.tag, coalesce(p.start <= g.start, false) as hit from g left join p on p.doc_id = g.doc_id and p.start < g."end" and g.start < p."end"),
+    r as (select tag as label, 100.0 * sum(cast(hit as int)) / count(*) as r from c group by tag),
+    q as (select type as label, 100.0 * sum(case when exists (select 1 from h where h.doc_id = p.doc_id and h.start < p."end" and p.start < h."end") then 1 else 0 end) / count(*) as q from p group by type)
+    select label, round(r::double, 1) as recall, round(q::double, 1) as precision, round(case when r + q > 0 then (2 * r * q / (r + q))::double end, 1) as f1 from r full join q using (label)"""
+)
+def category_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = casefiles.gold(spark, sf_dir, TAGGED)
+    return evaluate.category_table(evaluate.recall_by_label(gold.withColumn("label", F.col("tag")), predicted(gold)), evaluate.precision_by_type(gold.where("tag <> 'ID'"), predicted(gold)))
+
+
+@query(f"""with g as ({PEOPLE}), p as (select * from ({PREDICTED_SQL.replace("from g", f"from ({casefiles.gold_sql(TAGGED)}) g")}))
+    select count(*) as n, cast(sum(case when exists (select 1 from p where p.doc_id = g.doc_id and p.start <= g.start and g."end" <= p."end") then 1 else 0 end) as bigint) as covered from g""")
+def name_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names covered without the title behind them."""
+    gold = casefiles.gold(spark, sf_dir, TAGGED)
+    titled = gold.where("tag = 'P'").withColumns({"end": F.col("end") + 2, "value": F.concat("value", F.lit("先生"))})
+    return evaluate.name_core(titled, predicted(gold))
+
+
+@query()
+def detect_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine on documents of 100,000 characters and more: the files of all cases with one remainder are one document."""
+    docs = casefiles.documents(spark, sf_dir).groupBy((F.col("case_id") % 8).alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return engine(spark).detect(docs)
+
+
+@query(f"with g as ({casefiles.gold_sql(['TEL', 'MAIL', 'ID'])}) select tag, count(*) as n, cast(0 as bigint) as left_over from g group by tag")
+def engine_no_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole engine, from text to coded text: how many of the planted phones, e-mails and business numbers a case's texts still hold."""
+    docs = casefiles.documents(spark, sf_dir)
+    out = engine(spark).anonymized(docs, "case_id")
+    gold = casefiles.gold(spark, sf_dir, ["TEL", "MAIL", "ID"]).join(out, "doc_id")
+    return gold.groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.col("text").contains(F.col("value")).cast("long")).alias("left_over"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAPPING = "case_id string, seq long, fake string, original string, type string, ambiguous boolean, bare boolean, shift int, code boolean, key string, tpl string"
+MAPPING = "case_id string, fake string, original string, type string, ambiguous boolean, code boolean"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -30,19 +30,25 @@ def read_dictionary(spark: SparkSession, path: str, least: int = 300) -> DataFra
     return rows.where((F.col("freq") >= least) & F.length("word").between(2, 4))
 
 
+def read_table(spark: SparkSession, url: str, query: str, properties: dict[str, str] | None = None) -> DataFrame:
+    """Rows of a query on a database that a JDBC driver on the class path reaches, such as a local cache of judgments."""
+    return spark.read.jdbc(url, f"({query}) q", properties=properties or {})
+
+
 def write_texts(docs: DataFrame, path: str) -> None:
     """Texts alone, partitioned by nothing, without any column that leads back."""
     docs.select("doc_id", "text").write.mode("overwrite").parquet(path)
 
 
-def write_mapping(mapping: DataFrame, path: str) -> None:
-    mapping.write.mode("overwrite").partitionBy("case_id").json(path)
+def write_mapping(mapping: DataFrame, path: str, code: bool) -> None:
+    """A mapping table (case_id, fake, original, type, ambiguous) of one style, as JSON lines, a folder for each case."""
+    rows = mapping.withColumn("case_id", F.col("case_id").cast("string")).withColumn("code", F.lit(code))
+    rows.write.mode("overwrite").partitionBy("case_id").json(path)
 
 
-def read_mapping(spark: SparkSession, path: str, code: bool) -> DataFrame:
-    """A mapping of one style; entries of the other style are an error."""
+def read_mapping(spark: SparkSession, path: str, code: bool | None = None) -> DataFrame:
+    """A mapping table. Where `code` is given, entries of the other style are an error."""
     rows = spark.read.schema(MAPPING).json(path)
-    other = rows.where(F.coalesce("code", F.lit(False)) != F.lit(code)).limit(1).count()
-    if other:
+    if code is not None and rows.where(F.coalesce("code", F.lit(False)) != F.lit(code)).limit(1).count():
         raise ValueError("the mapping was written by the other style")
     return rows

@@ -214,3 +214,50 @@ def shifted_date(s: Column, days: Column) -> Column:
         return F.when(day.isNotNull(), out)
 
     return let(parse_date(s), body)
+
+
+def unscanned(s: Column) -> Column:
+    """`canon` also without what scanning leaves between characters."""
+    return F.regexp_replace(canon(s), r"[\^|_•⑴⑵⑶¦¬`~'·;；]", "")
+
+
+def place_name(s: Column) -> Column:
+    """Without white space, 臺 as 台: the form in which lists of places and companies are compared."""
+    return F.translate(F.regexp_replace(s, r"(?U)\s", ""), "臺", "台")
+
+
+def written_date(y: Column, m: Column, d: Column, notation: Column) -> Column:
+    """A Gregorian date in a notation: 0 民國, 1 slashes, 2 Chinese numerals of the ROC year, 3 English, else 年月日."""
+    roc = (y - 1911).cast("string")
+    text = lambda n: n.cast("string")
+    name = F.element_at(F.array(*map(F.lit, MONTHS)), m)
+    numerals = F.translate(roc, HALF_DIGITS, "〇一二三四五六七八九")
+    return (
+        F.when(notation == 0, F.concat(F.lit("民國"), roc, F.lit("年"), text(m), F.lit("月"), text(d), F.lit("日")))
+        .when(notation == 1, F.concat_ws("/", text(y), text(m), text(d)))
+        .when(notation == 2, F.concat(numerals, F.lit("年"), cn_text(m), F.lit("月"), cn_text(d), F.lit("日")))
+        .when(notation == 3, F.concat(name, F.lit(" "), text(d), F.lit(", "), text(y)))
+        .otherwise(F.concat(text(y), F.lit("年"), text(m), F.lit("月"), text(d), F.lit("日")))
+    )
+
+
+def sampled(u: Column, items: list[str], weights: list[int]) -> Column:
+    """The item in whose share of the summed weights a number from 0 to 1 falls."""
+    total, ends = sum(weights), []
+    for w in weights:
+        ends.append((ends[-1] if ends else 0) + w)
+    place = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.floor(u * total)))
+    return F.element_at(F.array(*map(F.lit, items)), F.least(place + 1, F.lit(len(items))))
+
+
+def pronounceable(s: Column, key: Column) -> Column:
+    """Letters of the same case that can be spoken, consonant after vowel, in place of each ASCII letter; other digits for digits."""
+    consonants, vowels = "bcdfghjklmnprstvz", "aeiou"
+
+    def other(c: Column, i: Column) -> Column:
+        h = F.pmod(F.xxhash64(key, i, F.lit("word")), F.lit(1 << 20)).cast("int")
+        pick = lambda letters: F.substring(F.lit(letters), h % len(letters) + 1, F.lit(1))
+        letter = F.when(i % 2 == 0, pick(consonants)).otherwise(pick(vowels))
+        return F.when(c.rlike("[a-z]"), letter).when(c.rlike("[A-Z]"), F.upper(letter)).when(c.rlike("[0-9]"), pick(HALF_DIGITS)).otherwise(c)
+
+    return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), other), "")

@@ -23,9 +23,9 @@ def changed(docs: DataFrame, replacements: DataFrame, spans: DataFrame, key: str
     out = rewritten(docs, replacements, key)
     per = replacements.groupBy(key).agg(F.collect_list(F.struct("start", "end", (F.length("new") - F.col("end") + F.col("start")).cast("int").alias("by"))).alias("_r"))
     added = lambda keep: F.aggregate(F.filter(F.coalesce("_r", F.array().cast("array<struct<start:int,end:int,by:int>>")), keep), F.lit(0), lambda a, r: (a + r["by"]).cast("int"))
-    inserted = lambda r: r["start"] == r["end"]
-    first = added(lambda r: (r["end"] <= F.col("start")) & ~(inserted(r) & (r["start"] == F.col("start"))))
-    last = added(lambda r: (r["end"] <= F.col("end")) & ~(inserted(r) & (r["start"] == F.col("end"))))
+    # What is put in at a span's own beginning comes before it, at its end behind it.
+    first = added(lambda r: r["end"] <= F.col("start"))
+    last = added(lambda r: (r["end"] <= F.col("end")) & ~((r["start"] == r["end"]) & (r["start"] == F.col("end"))))
     moved = spans.join(per, key, "left").withColumns({"_a": F.col("start") + first, "_b": F.col("end") + last})
     return out.select(key, F.col("rewritten").alias("text")), moved.withColumns({"start": F.col("_a").cast("int"), "end": F.col("_b").cast("int")}).drop("_r", "_a", "_b")
 

@@ -154,7 +154,9 @@ def addresses(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazettee
     def other(x: Column, i: Column) -> Column:
         n = F.length(x)
         drawn = F.pmod(_hash(salted, i), F.pow(F.lit(10.0), n).cast("long") - F.pow(F.lit(10.0), n - 1).cast("long")) + F.pow(F.lit(10.0), n - 1).cast("long")
-        return F.when(x.rlike(f"^[{P.DIGIT}]+$") & (n < 15), drawn.cast("string")).otherwise(x)
+        # The part of a lot that a number like 123-4 names stays.
+        part = (i > 0) & F.endswith(F.get(numbers, i - 1), F.lit("-"))
+        return F.when(x.rlike(f"^[{P.DIGIT}]+$") & (n < 15) & ~part, drawn.cast("string")).otherwise(x)
 
     return spans.withColumn("new", F.concat(head, new_road, F.array_join(F.transform(numbers, other), "")))
 

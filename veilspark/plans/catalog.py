@@ -824,3 +824,56 @@ def engine_no_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = engine(spark).anonymized(docs, "case_id")
     gold = casefiles.gold(spark, sf_dir, ["TEL", "MAIL", "ID"]).join(out, "doc_id")
     return gold.groupBy("tag").agg(F.count("*").alias("n"), F.sum(F.col("text").contains(F.col("value")).cast("long")).alias("left_over"))
+
+
+@query(f"select o_orderkey as doc_id, {casefiles.DATE} as value from orders")
+def write_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates written in five notations."""
+    d = F.col("o_orderdate")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"), V.written_date(F.year(d), F.month(d), F.dayofmonth(d), F.col("o_orderkey") % 5).alias("value"))
+
+
+SOME_SURNAMES = P.SURNAMES[:60]
+SHARES = [10_000 // (k + 4) for k in range(len(SOME_SURNAMES))]
+
+
+@query(
+    f"""with w as (select unnest({SHARES}) as w, unnest({list(SOME_SURNAMES)}) as surname, generate_subscripts({SHARES}, 1) as k), c as (select *, sum(w) over (order by k) as t from w),
+    u as (select c_custkey, cast(floor(((c_custkey * 7919) % 10007) / 10007.0::double * {sum(SHARES)}) as bigint) as place from customer)
+    select c_custkey, surname from u join c on place < t and place >= t - w"""
+)
+def sample_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surnames drawn by frequency, from a number that the key gives."""
+    u = ((F.col("c_custkey").cast("long") * 7919) % 10007) / F.lit(10007.0)
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", V.sampled(u, list(SOME_SURNAMES), SHARES).alias("surname"))
+
+
+@query("select c_custkey, length(c_name) as n, regexp_replace(regexp_replace(regexp_replace(c_name, '[a-z]', 'a', 'g'), '[A-Z]', 'A', 'g'), '[0-9]', '0', 'g') as shape from customer")
+def spoken_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers as other words of the same length and classes."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("w", V.pronounceable(F.col("c_name"), F.concat(F.lit("salt"), "c_name")))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("w", "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "0")
+    return c.select("c_custkey", F.length("w").cast("long").alias("n"), shape.alias("shape"))
+
+
+BRACKETED = f"concat('由', {casefiles.ORGANISATION}, '（下稱', substr({casefiles.ORGANISATION}, 1, 2), '公司）承作')"
+
+
+@query(f"select o_orderkey as doc_id, cast(4 + length({casefiles.ORGANISATION}) as int) as start, substr({casefiles.ORGANISATION}, 1, 2) || '公司' as value, {casefiles.ORGANISATION} as \"of\" from orders")
+def find_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short names in brackets behind organisations."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    docs = orders.selectExpr("o_orderkey as doc_id", f"{BRACKETED} as text")
+    spans = orders.selectExpr("o_orderkey as doc_id", "1 as start", f"1 + length({casefiles.ORGANISATION}) as end", f"{casefiles.ORGANISATION} as value", "'ORG' as type")
+    return consistency.aliases(docs, spans).select("doc_id", "start", "value", "of")
+
+
+@query(f"with g as ({PEOPLE}) select doc_id, start, \"end\", value from g")
+def reconcile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two names in a text, of which one was found cut short at one place: the longer one holds."""
+    people = case_spans(spark, sf_dir).where("type = 'PERSON'").select("doc_id", "start", "end", "type", F.lit("full").alias("kind"), "value")
+    docs = casefiles.documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\n"), "text").alias("text"), F.length("text").alias("n"))
+    short = people.withColumns({"end": (F.col("end") - 1).cast("int"), "value": F.expr("substring(value, 1, length(value) - 1)")})
+    later = people.join(docs.select("doc_id", "n"), "doc_id").withColumns({"start": (F.col("start") + F.col("n") + 1).cast("int"), "end": (F.col("end") + F.col("n") + 1).cast("int")}).drop("n")
+    found = consistency.reconciled(docs, short.unionByName(later)).join(docs.select("doc_id", "n"), "doc_id")
+    return found.where("start < n").select("doc_id", "start", "end", "value")

@@ -70,6 +70,62 @@ def test_names_and_forms_are_only_a_penalty():
     assert html_text.main_text(f"<html><head><meta charset=x><body><div>{a}</div></body></html>").split("\n") == x
 
 
+def test_titles_and_broken_quotes():
+    a, x = _paragraphs(1, 2, 3)
+    nav = "<nav><a href=x>one</a> <a href=y>two</a></nav>"
+    assert html_text.main_text(f"<body>{nav}<header><h1>Site</h1></header><div class='post tag-politics'><header><h1>Title</h1></header>{a}</div></body>").split("\n") == ["Title", *x]
+    assert html_text.main_text(f'<body>{nav}<div><a href="x>link</a>{a}</div></body>').split("\n") == ["link", *x]
+    assert html_text.main_text(f"<div>{a}</div><p class='cut off").split("\n") == x
+
+
+def naive(node):
+    """Characters, tags, link characters and link tags of a subtree, counted anew for each node."""
+    chars = tags = links = link_tags = 0
+    for y in node.items:
+        if isinstance(y, str):
+            chars += len("".join(y.split()))
+        else:
+            c, t, lc, lt = naive(y)
+            chars, tags, links, link_tags = chars + c, tags + t + 1, links + lc, link_tags + lt
+    return (chars, tags, chars, tags + 1) if node.tag == "a" else (chars, tags, links, link_tags)
+
+
+def test_densities_equal_a_naive_count():
+    import math
+
+    rng = random.Random(6)
+
+    def markup(depth):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.choice(["text", "a", "b", "div", "p"]) if depth else "text"
+            words = " ".join("word" * rng.randrange(1, 4) for _ in range(rng.randrange(1, 30)))
+            out.append(words if kind == "text" else f"<{kind}>{words if kind in 'abp' else markup(depth - 1)}</{kind}>")
+        return "".join(out)
+
+    for _ in range(60):
+        root = html_text.tree(f"<body><div>{markup(3)}</div><div>{markup(2)}</div></body>")
+        nodes, linked = html_text.densities(root)
+        body = next(n for n in nodes if n.tag == "body")
+        c, _, lc, _ = naive(body)
+        assert math.isclose(linked, lc / c)
+        for n in nodes:
+            c, t, lc, lt = naive(n)
+            base = math.log(c / max(c - lc, 1) * lc + linked * c + math.e**2) if c else 0
+            t, lc, lt = max(t, 1), max(lc, 1), max(lt, 1)
+            want = c / t * max(math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.5)), 1e-3) if c else 0.0
+            assert math.isclose(n.density, want, rel_tol=1e-9, abs_tol=1e-12)
+            assert math.isclose(n.total, sum(y.density for y in n.items if not isinstance(y, str)), abs_tol=1e-12)
+        best = max(nodes, key=lambda n: n.total)
+        chosen = html_text.content(html_text.tree(f"<body>{markup(0)}</body>"))
+        assert best.total >= 0 and chosen
+
+
+def test_very_long_page():
+    a = "".join(f"<p>{LONG.format(i)}</p>" for i in range(20_000))
+    assert html_text.main_text(f"<body><nav><a href=x>one</a></nav><div>{a}</div></body>").count("\n") == 19_999
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "just text"), (4, "u", "<p>a<p>b</div></p>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "a < b & c"), (None, None, "<script>x"), (4, "u", "<p>a<p>b</div></p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

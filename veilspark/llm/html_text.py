@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[a-zA-Z/!?][^>]*+\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object audio video canvas".split())
@@ -105,7 +105,8 @@ def tree(page: str) -> Node:
         if not m:
             break
         at = m.end()
-        closing, tag = m[1], (m[2] or "").lower()
+        # Where a quote is never closed, the tag ends at the next >, and its attributes do not count.
+        closing, tag, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or ""
         if not tag:
             continue
         if closing:
@@ -118,7 +119,7 @@ def tree(page: str) -> Node:
                 here.items.append(Node("p", here))
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attributes.rstrip().endswith("/"):
                 done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = done.end() if done else end if tag in ("script", "style") else at
             continue
@@ -139,9 +140,9 @@ def tree(page: str) -> Node:
                 here = last.parent
         if here.tag == "head" and tag not in VOID:
             here = here.parent  # as browsers do when the end tag is left out
-        node = Node(tag, here, m[3])
+        node = Node(tag, here, attributes)
         here.items.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             here = node
     return root
 
@@ -249,10 +250,15 @@ def content(root: Node) -> list[Node]:
             stack.extend(reversed(_units(n, path, linked)))
     for o in out:
         for n in in_order(o):
-            n.items = [x for x in n.items if isinstance(x, str) or not x.sign or x.density >= threshold * (DOUBT if x.sign == "doubt" else 1.0)]
+            n.items = [x for x in n.items if isinstance(x, str) or not x.sign or x.density >= threshold * (DOUBT if x.sign == "doubt" else 1.0) or (o is best and best is not top and titled(x))]
     return out
 
 
+def titled(node: Node) -> bool:
+    """A header with a heading; in the chosen subtree it is the text's own."""
+    return node.tag == "header" and any(x.tag in ("h1", "h2") for x in in_order(node))
+
+
 def _units(node: Node, path: set[int], linked: float) -> list[Node]:
     """Blocks in a node, and its runs of text and inline elements, as nodes of their own."""
     out: list[Node] = []

@@ -86,4 +86,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_files, op3_ngram_jaccard, op4_language_id, op5_decontaminate, op6_source_mix, op7_html_text, op8_lattice_lm, op9_quality_classifier, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+#: Sets of 4-word shingles, all links, and their closure. The other operators learn, hash or simulate beyond SQL; tests compare them
+#: with brute-force versions.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_jaccard": r"""
+    with recursive words as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+    sets as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as g from words),
+    sizes as (select doc_id, cast(len(g) as bigint) as n from sets),
+    each as (select doc_id, unnest(g) as g from sets),
+    pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both_have from each a join each b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+    links as (select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * both_have >= 85 * (x.n + y.n - both_have)),
+    edges as (select a, b from links union all select b, a from links),
+    reach as (select doc_id, doc_id as c from sizes union select reach.doc_id, edges.b from reach join edges on edges.a = reach.c)
+    select s.doc_id, s.n as n_shingles, min(r.c) as component_id from sizes s join reach r using (doc_id) group by s.doc_id, s.n""",
+}

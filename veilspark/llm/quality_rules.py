@@ -132,14 +132,15 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """`docs` with the base counts, base_failed, rule (first rule of the list that rejects, else null) and kept."""
     results = [*BASE, "base_failed", "rule", "kept"]
-    # The row travels as one value, so that none of its columns meets the statistics.
-    packed = docs.select(F.struct("*").alias("row"), "text")
+    # All but the text travels as one value, so that no column meets the statistics.
+    others = [c for c in docs.columns if c != "text" and c not in results]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
     stats = with_ratios(packed) if rules else with_base(packed)
     fired = F.lit(None).cast("int")
     for k in range(len(rules), 0, -1):
         fired = F.when(rules[k - 1].column(), F.lit(k)).otherwise(fired)
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", fired).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in results], *results)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in results], *results)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -116,11 +116,9 @@ def _index(width: int, percent: int, id_type: pa.DataType):
     def run(key: tuple, docs: pa.Table, repeated: pa.Table) -> pa.Table:
         me = key[0].as_py()
         known, totals = counted(repeated)
-        kind, doc, sid, size, keys, pos, own, held = [], [], [], [], [], [], [], []
-
-        def add(k, d, s, n, x=0, p=0, o=0, b=None):
-            kind.append(k), doc.append(d), sid.append(s), size.append(n), keys.append(x), pos.append(p), own.append(o), held.append(b)
-
+        members: list[tuple[object, int, int]] = []
+        sets: list[tuple[int, int, int, bytes]] = []
+        entries: list[tuple[np.ndarray, int]] = []
         numbers: dict[object, int] = {}
         for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
             x = shingles(t, width)
@@ -129,30 +127,35 @@ def _index(width: int, percent: int, id_type: pa.DataType):
             same = hashlib.blake2b(x.tobytes(), digest_size=16).digest() if n else ("empty", d)
             fresh = same not in numbers
             s = numbers.setdefault(same, me << 32 | len(numbers))
-            add(2, d, s, n)
+            members.append((d, s, n))
             if not n or not fresh:
                 continue
-            keys48 = list_keys(x)
-            df = look_up(keys48, known, totals, 1)
+            keys = list_keys(x)
+            df = look_up(keys, known, totals, 1)
             single = int((df < 2).sum())
             length = prefix_length(n, percent)
-            if single >= length:
-                continue
-            order = np.lexsort((x, df))[single:length]
-            for p, i in enumerate(order.tolist(), single):
-                add(0, None, s, n, int(keys48[i]), p, single)
-            add(1, None, s, n, 0, 0, single, x.astype("<u8").tobytes())
-        return pa.table(
-            {
-                "kind": pa.array(kind, pa.int32()),
-                "doc_id": pa.array(doc, id_type),
-                "sid": pa.array(sid, pa.int64()),
-                "n": pa.array(size, pa.int64()),
-                "key": pa.array(keys, pa.int64()),
-                "pos": pa.array(pos, pa.int64()),
-                "own": pa.array(own, pa.int64()),
-                "keys": pa.array(held, pa.binary()),
-            }
+            if single < length:
+                entries.append((keys[np.lexsort((x, df))[single:length]], single))
+                sets.append((s, n, single, x.astype("<u8").tobytes()))
+        lengths = [len(k) for k, _ in entries]
+        spread_out = lambda values: np.repeat(np.array(values, np.int64), lengths)
+        single = spread_out([o for _, o in entries])
+        starts = np.cumsum([0, *lengths])
+        places = np.arange(starts[-1]) - np.repeat(starts[:-1], lengths) + single
+        keys = np.concatenate([k for k, _ in entries]).astype(np.int64) if entries else np.zeros(0, np.int64)
+        # In the order of INDEXED, without kind.
+        kinds = (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def table(kind: int, n: int, columns: dict[int, object]) -> pa.Table:
+            cells = [pa.array(columns[i], t) if i in columns else pa.nulls(n, t) for i, t in enumerate(kinds)]
+            return pa.table([pa.array(np.full(n, kind), pa.int32()), *cells], names=["kind", "doc_id", "sid", "n", "key", "pos", "own", "keys"])
+
+        return pa.concat_tables(
+            [
+                table(0, len(keys), {1: spread_out([s[0] for s in sets]), 2: spread_out([s[1] for s in sets]), 3: keys, 4: places, 5: single}),
+                table(1, len(sets), {1: [s[0] for s in sets], 6: [s[3] for s in sets]}),
+                table(2, len(members), {0: [m[0] for m in members], 1: [m[1] for m in members], 2: [m[2] for m in members]}),
+            ]
         )
 
     return run
@@ -220,7 +223,8 @@ def similar_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     small_batches(spark)
     size = text_bytes(docs)
-    runs = spread(size, RUN_BYTES)
+    # Half of what other operators take: a run's sets, keys and index entries are held at once.
+    runs = spread(size, RUN_BYTES // 2)
     buckets = spread(size, 6 * BUCKET_KEYS)
     id_type = "binary" if docs.schema["doc_id"].dataType.typeName() == "binary" else "long"
     shape = INDEXED.format(id=id_type)

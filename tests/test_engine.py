@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from veilspark import __main__ as cli
 from veilspark.functions.values import shifted_date
-from veilspark.operators import labelling, rewrite
+from veilspark.operators import consistency, labelling, rewrite
 from veilspark.operators.decode import restored
 from veilspark.plans.deidentify import Engine
 from veilspark.sources import files
@@ -103,3 +103,26 @@ def test_readers(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"a": 1}\nnot json\n', encoding="utf-8")
     got = files.read_json_lines(spark, str(tmp_path / "x.jsonl"), "a int").collect()
     assert sorted(((r["a"], r["bad"]) for r in got), key=str) == [(1, None), (None, "not json")]
+
+
+def test_settled_and_grown(spark):
+    rows = [(1, 1, 0, 3, "PERSON", "full", "王小明"), (2, 1, 0, 3, "PERSON_KEEP", "full", "王小明"), (3, 1, 0, 3, "PERSON_KEEP", "full", "陳大文"), (1, 1, 9, 18, "DATE", "date", "民國78年5月12日"), (2, 1, 9, 16, "NUMBER", "num", "0780512"), (2, 2, 9, 16, "NUMBER", "num", "0780512")]
+    spans = spark.createDataFrame(rows, "doc_id int, case_id int, start int, end int, type string, kind string, value string")
+    got = sorted((r["doc_id"], r["case_id"], r["start"], r["type"]) for r in consistency.settled(spans, ["case_id"]).collect())
+    assert got == [(1, 1, 0, "PERSON"), (1, 1, 9, "DATE"), (2, 1, 0, "PERSON"), (2, 1, 9, "DATE"), (2, 2, 9, "NUMBER")]
+    docs = spark.createDataFrame([(1, "歐陽修文到，歐陽修來")], "doc_id int, text string")
+    some = spark.createDataFrame([(1, 0, 3, "PERSON", "full", "歐陽修"), (1, 6, 8, "PERSON", "full", "歐陽"), (1, 20, 23, "PERSON", "full", "歐陽修文")], "doc_id int, start int, end int, type string, kind string, value string")
+    got = {r["start"]: r["value"] for r in consistency.reconciled(docs, some).collect()}
+    assert got == {0: "歐陽修文", 6: "歐陽修", 20: "歐陽修文"}
+
+
+def test_propagation_reaches_other_documents(spark):
+    docs = spark.createDataFrame([(1, 1, "王小明到 A123456789"), (2, 1, "王 小明與王小明明，A123456789、BA1234567890"), (3, 2, "王小明")], "doc_id int, case_id int, text string")
+    spans = spark.createDataFrame([(1, 1, 0, 3, "PERSON", "full", "王小明"), (1, 1, 5, 15, "CODE", "alnum", "A123456789")], "doc_id int, case_id int, start int, end int, type string, kind string, value string")
+    got = sorted((r["doc_id"], r["start"], r["value"]) for r in consistency.propagated(docs, spans, ["case_id"]).collect())
+    assert got == [(1, 0, "王小明"), (1, 5, "A123456789"), (2, 0, "王 小明"), (2, 5, "王小明"), (2, 10, "A123456789")]
+
+
+def test_common_words(spark):
+    words = spark.createDataFrame([("黃金", 900, "n"), ("黃大文", 900, "nr"), ("黃", 900, "n"), ("公司", 900, "n"), ("黃昏", 3, "n")], "word string, freq long, pos string")
+    assert [r["word"] for r in consistency.common_words(words, ["黃"]).collect()] == ["黃金"]

@@ -54,3 +54,12 @@ def test_shapes_stay(spark, values):
         assert classes(a) == classes(b)
         heads = [[c for c in x if c.isascii() and c.isalnum() or c in "０１２３４５６７８９"][:2] for x in (a, b)]
         assert heads[0] == heads[1]
+
+
+def test_names_and_words(spark):
+    assert column(spark, ["０9 1^2|-3", "臺 北市"], V.unscanned) == ["0912-3", "臺北市"]
+    assert column(spark, ["臺 北市"], V.place_name) == ["台北市"]
+    got = column(spark, ["Huan-Tec 12", "", "陳A"], lambda c: V.pronounceable(c, c))
+    assert [len(x) for x in got] == [11, 0, 2] and got[0][4] == "-" and got[0][:1].isupper() and got[0][9:].isdigit() and got[2][0] == "陳"
+    df = spark.createDataFrame([(u,) for u in (0.0, 0.49, 0.5, 0.99, 1.0)], "u double")
+    assert [r["x"] for r in df.select(V.sampled(F.col("u"), ["a", "b"], [5, 5]).alias("x")).collect()] == ["a", "a", "b", "b", "b"]

@@ -5,6 +5,7 @@ Queries read the given tables, or case files that Spark derives from them.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,9 +38,13 @@ def query(sql: str | None = None):
 _ENGINES: dict[str, Engine] = {}
 
 
-def engine(spark: SparkSession) -> Engine:
-    """One for each Spark application: its expressions are built once."""
-    return _ENGINES.setdefault(spark.sparkContext.applicationId, Engine())
+def engine(spark: SparkSession, spread: bool = False) -> Engine:
+    """One for each Spark application: its expressions are built once. `spread` is for few and long documents."""
+    found = _ENGINES.setdefault(spark.sparkContext.applicationId, Engine())
+    found._generators()
+    wide = copy.copy(found)
+    wide.spread = spread
+    return wide
 
 
 def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -814,7 +819,7 @@ def name_core(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The engine on documents of 100,000 characters and more: the files of all cases with one remainder are one document."""
     docs = casefiles.documents(spark, sf_dir).groupBy((F.col("case_id") % 8).alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return engine(spark).detect(docs)
+    return engine(spark, spread=True).detect(docs)
 
 
 @query(f"with g as ({casefiles.gold_sql(['TEL', 'MAIL', 'ID'])}) select tag, count(*) as n, cast(0 as bigint) as left_over from g group by tag")

@@ -18,7 +18,7 @@ from ..operators import candidates as C
 from ..operators import addresses, augment, consistency, decode, marked, names, organisations, realistic, rewrite, tiles, tolerant
 from . import casefiles, evaluate
 from .deidentify import Engine
-from .shared import shared_path
+from .shared import kept, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -346,7 +346,8 @@ def anonymize_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restore_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Coded texts go out, come back as replies, and are restored through the mapping of their case."""
     docs = casefiles.documents(spark, sf_dir)
-    spans = rewrite.coded(case_spans(spark, sf_dir).where("type <> 'DATE_EVENT'"), ["case_id"], ["doc_id", "start"])
+    # Written, as texts and mapping both read the codes.
+    spans = kept(rewrite.coded(case_spans(spark, sf_dir).where("type <> 'DATE_EVENT'"), ["case_id"], ["doc_id", "start"]), "codes")
     sent = rewrite.rewritten(docs, spans).select("doc_id", "case_id", F.col("rewritten").alias("text"))
     table = rewrite.mapping(spans, ["case_id"])
     return rewrite.restored_by_mapping(sent, table, ["case_id"], "doc_id").select("doc_id", "restored")

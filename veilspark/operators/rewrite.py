@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import flat_map, let, match_spans, quoted
+from ..functions.spans import flat_map, let, quoted
 from ..functions.values import canon, coarse_date, half_digits, parse_date, value_label
 from .candidates import dates
 from .decode import longest_first, spliced
 from .gazetteer import Gazetteer
 from .labelling import used_codes
+from .matcher import HITS, matched
 from .names import surname_length
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -185,7 +186,6 @@ def mapping(spans: DataFrame, scope: list[str]) -> DataFrame:
 
 
 _BRACKETS = (("〔", "〕"), ("[", "]"), ("［", "］"), ("【", "】"))
-_CODE = rf"^[{P.PERSON_CODES}][0-9]*$"
 
 
 def written_forms(table: DataFrame, scope: list[str]) -> DataFrame:
@@ -213,44 +213,25 @@ def written_forms(table: DataFrame, scope: list[str]) -> DataFrame:
     return each.groupBy(*scope, F.regexp_replace("written", r"[\s　]", "").alias("written")).agg(F.min(F.struct("rank", "original")).alias("v")).select(*scope, "written", F.col("v.original").alias("original"))
 
 
-def form_pattern(written: Column) -> Column:
-    """The pattern of a written form: blanks between its characters do not matter; digits and letters at its ends go no further, and
-    a lone person code stands in no common word."""
-    body = F.array_join(F.transform(F.filter(F.split(written, ""), lambda c: c != ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E"))), "[\\s　]*")
-    first, last = F.substring(written, 1, 1), F.substring(written, -1, 1)
-    left = F.when(first.rlike("[0-9]"), "(?<![0-9０-９])").when(first.rlike("[A-Za-z]"), "(?<![A-Za-z0-9])").otherwise("")
-    right = F.when(last.rlike("[0-9]"), "(?![0-9０-９])").when(last.rlike("[A-Za-z]"), "(?![A-Za-z0-9])").otherwise("")
-    code = F.concat(F.lit(f"(?<![{P.CODE_BEFORE}])"), body, F.lit(f"(?![\\s　]*[0-9{P.CODE_NEXT}])"))
-    return F.when(written.rlike(_CODE), code).otherwise(F.concat(left, body, right))
+def with_hits(replies: DataFrame, table: DataFrame, scope: list[str], text: str = "text", key: str = "reply_id", hot: DataFrame | None = None) -> DataFrame:
+    """`replies` with `hits`, array<struct<start, end, new>>: what to put back, and where.
 
-
-def restoring_hits(text: Column, pattern: Column, known: Column, days: Column) -> Column:
-    """array<struct<start, end, new>>: what to put back, and where. `days` are the dates among the fakes by what they mean."""
-    found = F.transform(match_spans(text, pattern), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(known, F.regexp_replace(h["value"], r"[\s　]", "")).alias("new")))
-    other = F.transform(dates(text), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at(days, F.to_json(parse_date(h["value"]))).alias("new")))
-    return longest_first(F.filter(F.concat(F.coalesce(found, F.array().cast(_HITS)), F.coalesce(other, F.array().cast(_HITS))), lambda h: h["new"].isNotNull()))
-
-
-_HITS = "array<struct<start:int,end:int,new:string>>"
-
-
-def with_hits(replies: DataFrame, table: DataFrame, scope: list[str], text: str = "text") -> DataFrame:
-    """`replies` with `hits`. A scope's written forms become one alternation, the longest first; it runs once over each text, so what is
-    put back is never taken for a code. A scope's mapping is as large as the case has values."""
-    forms = written_forms(table, scope).groupBy(*scope).agg(F.collect_set(F.struct("written", "original")).alias("_e"))
-    alternatives = F.array_sort(F.transform("_e", lambda e: F.struct(F.length(e["written"]).alias("n"), form_pattern(e["written"]).alias("p"))), lambda a, b: b["n"] - a["n"])
-    forms = forms.select(*scope, F.map_from_entries("_e").alias("_m"), F.array_join(F.transform(alternatives, lambda a: a["p"]), "|").alias("_p"))
+    A scope's written forms become one automaton, which runs once over each text, so what is put back is never taken for a code. Dates
+    in another notation are found by what they mean, in scopes that have false dates.
+    """
+    forms = written_forms(table, scope).select(*scope, "written", F.col("original").alias("new"))
+    found = matched(replies, forms, scope, key, text, hot=hot, codes=True)
     dated = table.where(~F.col("ambiguous") & F.col("type").startswith("DATE")).select(*scope, F.to_json(parse_date(F.col("fake"))).alias("k"), "original").where("k is not null")
     days = dated.groupBy(*scope, "k").agg(F.min("original").alias("o"), F.countDistinct("original").alias("n")).where("n = 1").groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("k", "o"))).alias("_d"))
-    joined = replies.join(forms, scope, "left").join(days, scope, "left")
-    none = F.create_map().cast("map<string,string>")
-    hits = restoring_hits(F.col(text), F.coalesce("_p", F.lit("(?!)")), F.coalesce("_m", none), F.coalesce("_d", none))
-    return joined.withColumn("hits", hits).drop("_m", "_p", "_d")
+    joined = found.join(days, scope, "left")
+    other = F.transform(dates(F.col(text)), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.element_at("_d", F.to_json(parse_date(h["value"]))).alias("new")))
+    both = longest_first(F.filter(F.concat("hits", F.coalesce(other, F.array().cast(HITS))), lambda h: h["new"].isNotNull()))
+    return joined.withColumn("hits", F.when(F.col("_d").isNull(), F.col("hits")).otherwise(both)).drop("_d")
 
 
-def restored_by_mapping(replies: DataFrame, table: DataFrame, scope: list[str], key: str = "reply_id", text: str = "text") -> DataFrame:
+def restored_by_mapping(replies: DataFrame, table: DataFrame, scope: list[str], key: str = "reply_id", text: str = "text", hot: DataFrame | None = None) -> DataFrame:
     """New texts with the values of their scope put back in one pass, the longest form first; ambiguous fakes stay."""
-    return with_hits(replies, table, scope, text).select(*replies.columns, spliced(F.col(text), F.col("hits"))["text"].alias("restored"))
+    return with_hits(replies, table, scope, text, key, hot).select(*replies.columns, spliced(F.col(text), F.col("hits"))["text"].alias("restored"))
 
 
 def guarded(outputs: DataFrame, table: DataFrame, scope: list[str], key: str = "doc_id", rounds: int = 20) -> DataFrame:
@@ -261,7 +242,7 @@ def guarded(outputs: DataFrame, table: DataFrame, scope: list[str], key: str = "
     is the place of each hit with the log, within the row.
     """
     for _ in range(rounds):
-        seen = with_hits(outputs.select(key, *[s for s in scope if s != key], F.col("rewritten").alias("text"), "log"), table, scope)
+        seen = with_hits(outputs.select(key, *[s for s in scope if s != key], F.col("rewritten").alias("text"), "log"), table, scope, key=key)
         inside = lambda h, x: (x["start"] <= h["start"]) & (h["end"] <= x["end"])
         right = lambda h, x: (x["start"] == h["start"]) & (x["end"] == h["end"]) & (canon(x["original"]) == canon(h["new"]))
         wrong = F.filter("hits", lambda h: ~F.exists("log", lambda x: right(h, x) | (inside(h, x) & F.contains(canon(x["original"]), canon(h["new"])))))

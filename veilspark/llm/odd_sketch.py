@@ -5,7 +5,7 @@
 2. Bands. In each bucket of a band all sets are compared with its pivot, the set of the least number.
 3. Odd sketches. Two sketches differ in the bits that an odd number of different samples toggled. From that count a pair goes on or is
    dropped; the limit (`odd_limit`) is worked out exactly, so that a pair at the threshold is dropped with a probability under MISS.
-4. What is left is confirmed on the full sets, and links make components.
+4. What is left is confirmed on the full sets, which are made again from the texts of just these documents, and links make components.
 5. Buckets that still lie in several components are compared by sketch across components, block by block: only pairs that the sketches
    let through are emitted, and confirmed likewise.
 
@@ -41,7 +41,7 @@ BUCKET_PIECE = 20_000
 #: Digests that a task holds to tell equal sets early.
 SEEN = 500_000
 _U = np.uint64
-SIGNED = "doc_id {id}, rid long, n long, digest binary, bands binary, sketch binary, keys binary"
+SIGNED = "doc_id {id}, rid long, h long, n long, digest binary, bands binary, sketch binary"
 
 
 def banding(percent: int, miss: float = BAND_MISS, most: int = MOST_BANDS) -> tuple[int, int]:
@@ -120,8 +120,12 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return count
 
 
+def _digest(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.astype("<u8").tobytes(), digest_size=16).digest()
+
+
 def _signed(width: int, bands: int, rows: int, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("rid", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.binary()), ("sketch", pa.binary()), ("keys", pa.binary())])
+    schema = pa.schema([("doc_id", id_type), ("rid", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -129,33 +133,57 @@ def _signed(width: int, bands: int, rows: int, id_type: pa.DataType):
         rid, by, seen = TaskContext.get().partitionId() << 33, multipliers(bands * rows), set()
         for b in batches:
             out: list[tuple] = []
-            size = 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 grams = shingles(text, width)
                 rid += 1
                 if not len(grams):
-                    out.append((doc, rid, 0, None, None, None, None))
+                    out.append((doc, rid, h, 0, None, None, None))
                     continue
-                keys = grams.astype("<u8").tobytes()
-                digest = hashlib.blake2b(keys, digest_size=16).digest()
+                digest = _digest(grams)
                 if digest in seen:
-                    out.append((doc, rid, len(grams), digest, None, None, None))
+                    out.append((doc, rid, h, len(grams), digest, None, None))
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(digest)
                 found = samples_of(grams, by)
-                out.append((doc, rid, len(grams), digest, band_keys(found, bands, rows).astype("<i8").tobytes(), odd_sketch(found).tobytes(), keys))
-                size += len(keys)
-                if size > 8 << 20:
-                    yield _table(out, schema)
-                    out, size = [], 0
+                out.append((doc, rid, h, len(grams), digest, band_keys(found, bands, rows).astype("<i8").tobytes(), odd_sketch(found).tobytes()))
             if out:
                 yield _table(out, schema)
 
     return run
 
 
+def sets_of(docs: DataFrame, pairs: DataFrame, signs: DataFrame, width: int) -> DataFrame:
+    """sid and keys, the full sets of both sides of `pairs`, from the texts that the pairs name.
+
+    Texts are found by a hash of id and text, and told from others of the same hash by the digest of their set.
+    """
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(signs.select("sid", "h", "digest"), "sid")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            sids, keys, size = [], [], 0
+            for sid, digest, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if sid in seen:
+                    continue
+                grams = shingles(text, width)
+                if _digest(grams) == digest:
+                    seen.add(sid)
+                    sids.append(sid)
+                    keys.append(grams.astype("<u8").tobytes())
+                    size += len(keys[-1])
+                if size > 8 << 20:
+                    yield pa.RecordBatch.from_pydict({"sid": pa.array(sids, pa.int64()), "keys": pa.array(keys, pa.binary())})
+                    sids, keys, size = [], [], 0
+            if sids:
+                yield pa.RecordBatch.from_pydict({"sid": pa.array(sids, pa.int64()), "keys": pa.array(keys, pa.binary())})
+
+    found = docs.join(needed, "h").select("sid", "digest", "text").mapInArrow(made, "sid long, keys binary")
+    return kept(found.dropDuplicates(["sid"]), "sets")
+
+
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -188,28 +216,75 @@ def sketched(pairs: DataFrame, signs: DataFrame, limit: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
 
 
+#: Buckets up to so many sets are compared by their distance in the sorted rows, all at once; longer ones block by block.
+SHORT = 16
+
+
 def _across(percent: int, limit: int):
-    """Pairs of one piece pair of a bucket whose sets lie in different components and whose sizes and sketches let them link."""
+    """Pairs of a bucket's piece pair whose sets lie in different components and whose sizes and sketches let them link.
+
+    Rows come sorted by bucket and piece pair: key, one, two, sid, component, n, piece, sketch.
+    """
+
+    def pairs(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key, one, two, sid, comp, n, piece = (rows.column(i).to_numpy() for i in range(7))
+        words = _words(rows.column(7).combine_chunks())
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        sizes = np.diff(np.r_[first, len(key)])
+        group = np.repeat(np.arange(len(first)), sizes)
+
+        def linked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            near = differing(words[x], words[y]) <= limit
+            return sid[x[near]], sid[y[near]]
+
+        def open_to(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Different components, sizes that can link, and of two pieces one row each."""
+            return (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & ((one[x] == two[x]) | (piece[x] != piece[y]))
+
+        short = sizes[group] <= SHORT
+        for d in range(1, min(SHORT, int(sizes.max()))):
+            x = np.flatnonzero(short[:-d] & (group[d:] == group[:-d]))
+            x = x[open_to(x, x + d)]
+            if len(x):
+                yield linked(x, x + d)
+        for g in np.flatnonzero(sizes > SHORT):
+            mine = np.arange(first[g], first[g] + sizes[g])
+            names, counts = np.unique(comp[mine], return_counts=True)
+            common = comp[mine] == names[counts.argmax()]
+            rare = mine[~common]
+            for i in range(0, len(rare), 32):
+                at = rare[i : i + 32, None]
+                x, y = np.nonzero(open_to(at, mine[None, :]) & (common | (sid[mine] > sid[at])))
+                if len(x):
+                    yield linked(at[x, 0], mine[y])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        sid, comp, n, piece = (rows.column(c).to_numpy() for c in ("sid", "component", "n", "piece"))
-        words = _words(rows.column("sketch").combine_chunks())
-        names, counts = np.unique(comp, return_counts=True)
-        common = comp == names[counts.argmax()]
-        rare = np.flatnonzero(~common)
-        two = int(piece.min()) != int(piece.max())
-        for i in range(0, len(rare), 32):
-            at = rare[i : i + 32, None]
-            ok = (comp[at] != comp) & (common | (sid > sid[at])) & (100 * np.minimum(n[at], n) >= percent * np.maximum(n[at], n))
-            if two:
-                ok &= piece[at] != piece
-            x, y = np.nonzero(ok)
-            near = differing(words[at[x, 0]], words[y]) <= limit
-            a, b = sid[at[x[near], 0]], sid[y[near]]
-            for j in range(0, len(a), 100_000):
-                one, other = a[j : j + 100_000], b[j : j + 100_000]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(one, other), pa.int64()), "b": pa.array(np.maximum(one, other), pa.int64())})
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b in pairs(pa.Table.from_batches(parts)):
+                for j in range(0, len(a), 100_000):
+                    one, other = a[j : j + 100_000], b[j : j + 100_000]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(one, other), pa.int64()), "b": pa.array(np.maximum(one, other), pa.int64())})
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends = np.stack([b.column(i).to_numpy() for i in range(3)])
+            # Rows before the last bucket of a batch belong to buckets that are complete.
+            change = np.flatnonzero((ends[:, 1:] != ends[:, :-1]).any(axis=0))
+            whole = int(change[-1]) + 1 if len(change) else 0
+            if last is not None and tuple(ends[:, 0]) != last:
+                yield from flush(held)
+                held = []
+            if whole:
+                yield from flush([*held, b.slice(0, whole)])
+                held = []
+            held.append(b.slice(whole))
+            last = tuple(ends[:, -1])
+        if held:
+            yield from flush(held)
 
     return run
 
@@ -224,16 +299,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bands, rows = banding(percent)
     limit = odd_limit(bands * rows, percent)
     id_type = "binary" if docs.schema["doc_id"].dataType.typeName() == "binary" else "long"
-    made = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text").mapInArrow(_signed(width, bands, rows, pa.binary() if id_type == "binary" else pa.int64()), SIGNED.format(id=id_type))
-    signed = kept(made, "signatures")
+    id_kind = pa.binary() if id_type == "binary" else pa.int64()
+    texts = docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("h"))
+    signed = kept(texts.mapInArrow(_signed(width, bands, rows, id_kind), SIGNED.format(id=id_type)), "signatures")
+    texts = texts.select("h", "text").where("text is not null")
 
     # Equal sets are one; of each the first row that carries its signature stands for it.
     several = signed.where("digest is not null").groupBy("digest").agg(F.min(F.when(F.col("bands").isNotNull(), F.col("rid"))).alias("sid"), F.count("*").alias("c")).where("c > 1").select("digest", "sid")
     several = kept(several, "sets")
     members = kept(signed.select("doc_id", "rid", "n", "digest").join(several, "digest", "left").select("doc_id", F.coalesce("sid", "rid").alias("sid"), "rid", "n"), "members")
     first_rows = members.where("sid = rid and n > 0").select("sid")
-    signs = kept(signed.where("bands is not null").select(F.col("rid").alias("sid"), "n", "bands", "sketch").join(first_rows, "sid", "left_semi"), "signs")
-    sets = signed.select(F.col("rid").alias("sid"), "keys").where("keys is not null")
+    signs = kept(signed.where("bands is not null").select(F.col("rid").alias("sid"), "h", "n", "digest", "bands", "sketch").join(first_rows, "sid", "left_semi"), "signs")
     same = members.where("doc_id is not null").groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a != z").select("doc_id", "a")
     same_id = members.join(kept(same, "ids"), "doc_id").where("sid != a").select("a", F.col("sid").alias("b")).distinct()
 
@@ -241,7 +317,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = entries.groupBy("key").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
     entries = kept(entries.join(shared, "key"), "bands")
     first = kept(entries.where("sid != pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    links = kept(verified(kept(sketched(first, signs, limit), "near"), sets, percent).union(same_id), "links")
+    near = kept(sketched(first, signs, limit), "near")
+    links = kept(verified(near, sets_of(texts, near, signs, width), percent).union(same_id), "links")
     found = components(links)
 
     named = entries.join(found, F.col("sid") == F.col("node"), "left").select("sid", "key", F.coalesce("component", "sid").alias("component"))
@@ -253,14 +330,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .withColumns({"one": F.least("piece", "other"), "two": F.greatest("piece", "other")})
         .join(signs.select("sid", "n", "sketch"), "sid")
     )
-    across = _across(percent, limit)
-
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from across(batches)
-
-    rest = dealt.groupBy("key", "one", "two").applyInArrow(pairs_of, "a long, b long").distinct()
+    dealt = dealt.select("key", "one", "two", "sid", "component", "n", "piece", "sketch").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "sid")
+    rest = dealt.mapInArrow(_across(percent, limit), "a long, b long").distinct()
     rest = kept(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(kept(verified(rest, sets, percent), "links")))
+    found = components(links.union(kept(verified(rest, sets_of(texts, rest, signs, width), percent), "links")))
 
     placed = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
     # Written, so that the sums do not lie in the tasks of the join: Spark deals out the rows of a large component anew.

@@ -72,3 +72,12 @@ def test_sketches_count_differing_samples():
     words = lambda x: np.frombuffer(odd_sketch.odd_sketch(x).tobytes(), "<u8")[None, :]
     assert differing(words(a), words(a)) == 0
     assert 6 <= differing(words(a), words(b))[0] <= 10
+
+
+def test_bitmaps_of_sets_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 500, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.r_[a[: n - n // 9], rng.integers(0, 1 << 63, n // 7, dtype=np.uint64)]
+        words = lambda x: np.frombuffer(odd_sketch.parity(np.unique(x)).tobytes(), "<u8")[None, :]
+        assert differing(words(a), words(b))[0] <= len(np.setxor1d(a, b))

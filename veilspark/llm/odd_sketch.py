@@ -5,9 +5,12 @@
 2. Bands. In each bucket of a band all sets are compared with its pivot, the set of the least number.
 3. Odd sketches. Two sketches differ in the bits that an odd number of different samples toggled. From that count a pair goes on or is
    dropped; the limit (`odd_limit`) is worked out exactly, so that a pair at the threshold is dropped with a probability under MISS.
+   A second bitmap is toggled by the whole set. It never differs in more bits than the sets in members, so what it drops
+   cannot link; on sets of up to some thousand shingles it is the sharper one.
 4. What is left is confirmed on the full sets, which are made again from the texts of just these documents, and links make components.
-5. Buckets that still lie in several components are compared by sketch across components, block by block: only pairs that the sketches
-   let through are emitted, and confirmed likewise.
+5. Buckets that still lie in several components are compared by sketch across components, block by block. First each set meets the
+   nearest set of the bucket's largest component and of the others, which joins most of what belongs together; then all
+   pairs that are still apart and that the sketches let through are confirmed.
 
 A pair at the threshold shares no band with a probability under BAND_MISS, and a pair above it with a lower one.
 
@@ -108,8 +111,12 @@ def band_keys(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
     """A bitmap in which each sample, with its number, toggles one bit."""
-    at = _mixed(samples + np.arange(1, len(samples) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) % _U(bits)
-    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1)
+    return parity(samples + np.arange(1, len(samples) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15), bits)
+
+
+def parity(members: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """A bitmap in which each member toggles one bit."""
+    return np.packbits(np.bincount((_mixed(members) % _U(bits)).astype(np.int64), minlength=bits) & 1)
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,7 +154,7 @@ def _signed(width: int, bands: int, rows: int, id_type: pa.DataType):
                     seen.clear()
                 seen.add(digest)
                 found = samples_of(grams, by)
-                out.append((doc, rid, h, len(grams), digest, band_keys(found, bands, rows).astype("<i8").tobytes(), odd_sketch(found).tobytes()))
+                out.append((doc, rid, h, len(grams), digest, band_keys(found, bands, rows).astype("<i8").tobytes(), odd_sketch(found).tobytes() + parity(grams).tobytes()))
             if out:
                 yield _table(out, schema)
 
@@ -202,26 +209,36 @@ def _words(sketches: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sketches.to_pylist()), "<u8").reshape(len(sketches), -1)
 
 
-def sketched(pairs: DataFrame, signs: DataFrame, limit: int) -> DataFrame:
-    """The pairs (a, b) whose sketches differ in `limit` bits or fewer."""
+def alike(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of bitmaps (that of samples, then that of the set) and sizes: may they link, and in how many bits their sets differ."""
+    half = a.shape[-1] // 2
+    apart = differing(a[..., half:], b[..., half:])
+    near = apart * (100 + percent) <= (na + nb) * (100 - percent)
+    return near & (differing(a[..., :half], b[..., :half]) <= limit), apart
+
+
+def sketched(pairs: DataFrame, signs: DataFrame, percent: int, limit: int) -> DataFrame:
+    """The pairs (a, b) that their sketches let through."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                near = differing(_words(x.column(2)), _words(x.column(3))) <= limit
+                na, nb = (x.column(i).to_numpy() for i in (4, 5))
+                near, _ = alike(_words(x.column(2)), _words(x.column(3)), na, nb, percent, limit)
                 yield pa.RecordBatch.from_arrays([x.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
 
     one = signs.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = signs.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "sa", "sb", "na", "nb").mapInArrow(check, "a long, b long")
 
 
 #: Buckets up to so many sets are compared by their distance in the sorted rows, all at once; longer ones block by block.
 SHORT = 16
 
 
-def _across(percent: int, limit: int):
-    """Pairs of a bucket's piece pair whose sets lie in different components and whose sizes and sketches let them link.
+def _across(percent: int, limit: int, nearest: bool):
+    """Pairs of a bucket's piece pair whose sets lie in different components and whose sizes and sketches let them link. With
+    `nearest`, of long buckets only the nearest set of the largest component and of the others for each set outside it.
 
     Rows come sorted by bucket and piece pair: key, one, two, sid, component, n, piece, sketch.
     """
@@ -234,7 +251,7 @@ def _across(percent: int, limit: int):
         group = np.repeat(np.arange(len(first)), sizes)
 
         def linked(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            near = differing(words[x], words[y]) <= limit
+            near, _ = alike(words[x], words[y], n[x], n[y], percent, limit)
             return sid[x[near]], sid[y[near]]
 
         def open_to(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -254,6 +271,15 @@ def _across(percent: int, limit: int):
             rare = mine[~common]
             for i in range(0, len(rare), 32):
                 at = rare[i : i + 32, None]
+                if nearest:
+                    may, apart = alike(words[at], words[mine][None, :], n[at], n[mine][None, :], percent, limit)
+                    apart = np.where(may & open_to(at, mine[None, :]), apart, BITS + 1)
+                    for side in (common, ~common):
+                        if side.any():
+                            best = apart[:, side].argmin(axis=1)
+                            x = np.flatnonzero(apart[:, side][np.arange(len(best)), best] <= BITS)
+                            yield sid[at[x, 0]], sid[mine[side][best[x]]]
+                    continue
                 x, y = np.nonzero(open_to(at, mine[None, :]) & (common | (sid[mine] > sid[at])))
                 if len(x):
                     yield linked(at[x, 0], mine[y])
@@ -317,23 +343,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = entries.groupBy("key").agg(F.min("sid").alias("pivot"), F.count("*").alias("c")).where("c > 1").select("key", "pivot")
     entries = kept(entries.join(shared, "key"), "bands")
     first = kept(entries.where("sid != pivot").select(F.col("pivot").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
-    near = kept(sketched(first, signs, limit), "near")
+    near = kept(sketched(first, signs, percent, limit), "near")
     links = kept(verified(near, sets_of(texts, near, signs, width), percent).union(same_id), "links")
     found = components(links)
 
-    named = entries.join(found, F.col("sid") == F.col("node"), "left").select("sid", "key", F.coalesce("component", "sid").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x != y").select("key", (F.floor(F.col("c") / BUCKET_PIECE) + 1).alias("pieces"))
-    dealt = (
-        named.join(mixed, "key")
-        .withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-        .withColumns({"one": F.least("piece", "other"), "two": F.greatest("piece", "other")})
-        .join(signs.select("sid", "n", "sketch"), "sid")
-    )
-    dealt = dealt.select("key", "one", "two", "sid", "component", "n", "piece", "sketch").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "sid")
-    rest = dealt.mapInArrow(_across(percent, limit), "a long, b long").distinct()
-    rest = kept(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    found = components(links.union(kept(verified(rest, sets_of(texts, rest, signs, width), percent), "links")))
+    tested = first
+    for nearest in (True, False):
+        named = entries.join(found, F.col("sid") == F.col("node"), "left").select("sid", "key", F.coalesce("component", "sid").alias("component"))
+        mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("c")).where("x != y").select("key", (F.floor(F.col("c") / BUCKET_PIECE) + 1).alias("pieces"))
+        dealt = (
+            named.join(mixed, "key")
+            .withColumn("piece", F.pmod(F.xxhash64("sid"), F.col("pieces")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+            .withColumns({"one": F.least("piece", "other"), "two": F.greatest("piece", "other")})
+            .join(signs.select("sid", "n", "sketch"), "sid")
+        )
+        dealt = dealt.select("key", "one", "two", "sid", "component", "n", "piece", "sketch").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "sid")
+        rest = dealt.mapInArrow(_across(percent, limit, nearest), "a long, b long").distinct()
+        rest = kept(rest.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(rest)
+        links = links.union(kept(verified(rest, sets_of(texts, rest, signs, width), percent), "links"))
+        found = components(links)
 
     placed = members.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("doc_id", "n", F.coalesce("component", "sid").alias("component"))
     # Written, so that the sums do not lie in the tasks of the join: Spark deals out the rows of a large component anew.

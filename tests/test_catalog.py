@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from veilspark.plans import catalog
+from veilspark.plans import case_queries, catalog  # noqa: F401 - the first adds its queries to the second
 
 
 def rows(df):

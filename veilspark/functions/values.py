@@ -170,50 +170,59 @@ def cn_text(n: Column) -> Column:
     return F.concat(F.when(tens > 1, digit(tens)).otherwise(""), F.when(tens > 0, "十").otherwise(""), F.when(ones > 0, digit(ones)).otherwise(""))
 
 
-def shifted_date(s: Column, days: Column) -> Column:
-    """The date `days` later in the notation of `s`: era, padding, separators, numerals and month names stay. Null if `s` is no
-    calendar date. Dates without a year move within 2000."""
+def in_notation(s: Column, y: Column, m: Column, d: Column) -> Column:
+    """A date (the year as `s` counts it) in the notation of `s`: era, padding, separators, numerals and month names stay. Null if `s` has
+    no notation with a day."""
     t = half_digits(s)
 
+    def padded(n: Column, like: Column) -> Column:
+        return F.when(like.startswith("0"), F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+
+    def numeric(pattern: str, parts: list[Column]) -> Column:
+        """Numbers in groups 1, 3, 5 of the pattern, separators in 2 and 4."""
+        group = lambda i: F.regexp_extract(t, pattern, i)
+        new = F.concat(*[x for i, n in enumerate(parts) for x in ([padded(n, group(2 * i + 1))] + ([group(2 * i + 2)] if i + 1 < len(parts) else []))])
+        return F.when(group(0) != "", F.regexp_replace(t, F.lit(pattern), new))
+
+    cn = f"([{CN_DIGIT}]{{2,4}})年([{CN_DIGIT}]{{1,3}})月([{CN_DIGIT}]{{1,3}})([日號])"
+    chinese = F.when(
+        F.regexp_extract(s, cn, 0) != "",
+        F.regexp_replace(s, F.lit(cn), F.concat(F.translate(y.cast("string"), "0123456789", "〇一二三四五六七八九"), F.lit("年"), cn_text(m), F.lit("月"), cn_text(d), F.regexp_extract(s, cn, 4))),
+    )
+    names = "|".join(MONTHS)
+    name = F.element_at(F.array(*map(F.lit, MONTHS)), m)
+    first, second = rf"({names}) ([0-9]{{1,2}})(,? )([0-9]{{4}})", rf"([0-9]{{1,2}}) ({names})( )([0-9]{{4}})"
+    english = F.coalesce(
+        F.when(F.regexp_extract(t, first, 0) != "", F.regexp_replace(t, F.lit(first), F.concat(name, F.lit(" "), d.cast("string"), F.regexp_extract(t, first, 3), y.cast("string")))),
+        F.when(F.regexp_extract(t, second, 0) != "", F.regexp_replace(t, F.lit(second), F.concat(d.cast("string"), F.lit(" "), name, F.lit(" "), y.cast("string")))),
+    )
+    sep = r"([-/.／])"
+    return F.coalesce(
+        numeric(r"([0-9]{2,4})(\s?年\s?)([0-9]{1,2})(\s?月\s?)([0-9]{1,2})", [y, m, d]),
+        numeric(rf"([0-9]{{4}}){sep}([0-9]{{1,2}}){sep}([0-9]{{1,2}})", [y, m, d]),
+        numeric(r"([0-9]{2,3})([/.／])([0-9]{1,2})([/.／])([0-9]{1,2})", [y, m, d]),
+        numeric(r"([0-9]{1,2})(\s?月\s?)([0-9]{1,2})", [m, d]),
+        chinese,
+        english,
+    )
+
+
+def shifted_date(s: Column, days: Column) -> Column:
+    """The date `days` later in the notation of `s`. Null if `s` is no calendar date. Dates without a year move within 2000."""
+
     def body(p: Column) -> Column:
         day = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", F.coalesce(gregorian(p["y"]), F.lit(2000)), p["m"], p["d"]), F.lit("yyyy-MM-dd")).cast("date")
         moved = F.date_add(day, days)
         y = F.when(p["y"] < 1000, F.year(moved) - 1911).otherwise(F.year(moved))
-        m, d = F.month(moved), F.dayofmonth(moved)
+        return F.when(day.isNotNull(), in_notation(s, y, F.month(moved), F.dayofmonth(moved)))
 
-        def padded(n: Column, like: Column) -> Column:
-            return F.when(like.startswith("0"), F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+    return let(parse_date(s), body)
 
-        def numeric(pattern: str, parts: list[Column]) -> Column:
-            """Numbers in groups 1, 3, 5 of the pattern, separators in 2 and 4."""
-            group = lambda i: F.regexp_extract(t, pattern, i)
-            new = F.concat(*[x for i, n in enumerate(parts) for x in ([padded(n, group(2 * i + 1))] + ([group(2 * i + 2)] if i + 1 < len(parts) else []))])
-            return F.when(group(0) != "", F.regexp_replace(t, F.lit(pattern), new))
 
-        cn = f"([{CN_DIGIT}]{{2,4}})年([{CN_DIGIT}]{{1,3}})月([{CN_DIGIT}]{{1,3}})([日號])"
-        chinese = F.when(
-            F.regexp_extract(s, cn, 0) != "",
-            F.regexp_replace(s, F.lit(cn), F.concat(F.translate(y.cast("string"), "0123456789", "〇一二三四五六七八九"), F.lit("年"), cn_text(m), F.lit("月"), cn_text(d), F.regexp_extract(s, cn, 4))),
-        )
-        names = "|".join(MONTHS)
-        name = F.element_at(F.array(*map(F.lit, MONTHS)), m)
-        first, second = rf"({names}) ([0-9]{{1,2}})(,? )([0-9]{{4}})", rf"([0-9]{{1,2}}) ({names})( )([0-9]{{4}})"
-        english = F.coalesce(
-            F.when(F.regexp_extract(t, first, 0) != "", F.regexp_replace(t, F.lit(first), F.concat(name, F.lit(" "), d.cast("string"), F.regexp_extract(t, first, 3), y.cast("string")))),
-            F.when(F.regexp_extract(t, second, 0) != "", F.regexp_replace(t, F.lit(second), F.concat(d.cast("string"), F.lit(" "), name, F.lit(" "), y.cast("string")))),
-        )
-        sep = r"([-/.／])"
-        out = F.coalesce(
-            numeric(r"([0-9]{2,4})(\s?年\s?)([0-9]{1,2})(\s?月\s?)([0-9]{1,2})", [y, m, d]),
-            numeric(rf"([0-9]{{4}}){sep}([0-9]{{1,2}}){sep}([0-9]{{1,2}})", [y, m, d]),
-            numeric(r"([0-9]{2,3})([/.／])([0-9]{1,2})([/.／])([0-9]{1,2})", [y, m, d]),
-            numeric(r"([0-9]{1,2})(\s?月\s?)([0-9]{1,2})", [m, d]),
-            chinese,
-            english,
-        )
-        return F.when(day.isNotNull(), out)
-
-    return let(parse_date(s), body)
+def day_number(s: Column) -> Column:
+    """Days since 1970 of a date with a year; null for others."""
+    text = lambda p: F.format_string("%04d-%02d-%02d", gregorian(p["y"]), p["m"], p["d"])
+    return let(parse_date(s), lambda p: F.when(p["y"].isNotNull(), F.unix_date(F.try_to_timestamp(text(p), F.lit("yyyy-MM-dd")).cast("date"))))
 
 
 def unscanned(s: Column) -> Column:

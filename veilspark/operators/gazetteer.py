@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from itertools import product
+from dataclasses import dataclass
 
-from ..functions import patterns as P
-
-_TRADES = "企業 實業 商 工程 設備 食品 水產 貨運 材料 五金 電器 茶 印刷 家具 建材 服飾 眼鏡 珠寶 機械 汽車 水電".split()
-_KINDS = "幼兒園 補習班 安親班 診所 醫院 藥局 藥房 書局 旅行社 民宿 飯店 旅館 餐廳 餐館 小吃店 咖啡館 咖啡廳 商店 門市 超市 當舖 銀樓 工作室 事務所 企業社 實業社 出版社 報社 合作社".split()
-_BODIES = "銀行 證券 人壽 產險 保險 協會 學會 基金會 公會 工會 農會 漁會 促進會 教會 委員會 管理委員會 管委會 大學 學院 學校 國中 國小 高中 高職 研究院 研究所 中心 局 社區 大樓 大廈 華廈 農場 工廠".split()
-
-
-def default_suffixes() -> tuple[str, ...]:
-    """Company forms, trades with 行, and kinds of shops, schools and associations."""
-    forms = [a + b for a, b in product(("股份有限", "有限", "無限", "兩合", ""), ("公司",))]
-    return tuple(dict.fromkeys([*forms, *(t + "行" for t in _TRADES), *_KINDS, *_BODIES]))
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..functions import patterns as P
 
 @dataclass(frozen=True)
 class Gazetteer:
@@ -31,7 +22,7 @@ class Gazetteer:
     cities: frozenset[str] = frozenset(P.CITIES)
     companies: frozenset[str] = frozenset()
     common_words: frozenset[str] = frozenset()
-    suffixes: tuple[str, ...] = field(default_factory=default_suffixes)
+    suffixes: tuple[str, ...] = P.ORGANISATION_FORMS
 
     def place(self, names: frozenset[str]) -> list[str]:
         return sorted({y for x in names for y in (x, x.replace("臺", "台"), x.replace("台", "臺"))})
@@ -40,3 +31,16 @@ class Gazetteer:
         """Names, also without their last character (信義 of 信義區), that are no brands."""
         whole = {*self.place(self.districts), *self.place(self.cities)}
         return whole | {x[:-1] for x in whole if len(x) >= 3}
+
+
+def mined_suffixes(names: DataFrame, least: int = 20, most: int = 8) -> DataFrame:
+    """suffix, names: endings of `least` or more different names (`names`: value) behind as many different beginnings.
+
+    Of two endings of which one ends in the other, the shorter one stays only if a tenth of its names do not have the longer one, so
+    有限公司 is left out where every such name is a 股份有限公司. Endings are counted by one aggregate over distinct names.
+    """
+    once = names.select(F.regexp_replace("value", r"(?U)\s", "").alias("v")).where(F.length("v") > 1).distinct()
+    ends = once.select("v", F.explode(F.sequence(F.lit(1), F.least(F.length("v") - 1, F.lit(most)))).alias("n")).select(F.expr("right(v, n)").alias("suffix"))
+    counted = ends.groupBy("suffix").agg(F.count("*").alias("names")).where(F.col("names") >= least)
+    longer = counted.select(F.expr("right(suffix, length(suffix) - 1)").alias("suffix"), F.col("names").alias("m")).groupBy("suffix").agg(F.max("m").alias("m"))
+    return counted.join(longer, "suffix", "left").where(F.coalesce("m", F.lit(0)) * 10 <= F.col("names") * 9).select("suffix", "names")

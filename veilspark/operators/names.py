@@ -108,7 +108,11 @@ def persons(text: Column, g: Gazetteer | None = None) -> Column:
 
 def surname_length(name: Column, g: Gazetteer) -> Column:
     """Length of the longest surname that a name begins with, or 0."""
-    return F.length(F.regexp_extract(name, f"^(?:{quoted(g.surnames | g.compound | g.kana_surnames)})", 0))
+    every = g.surnames | g.compound | g.kana_surnames
+    several = quoted(x for x in every if len(x) > 1)
+    single = "".join(sorted(x for x in every if len(x) == 1))
+    forms = [x for x in (several, f"[{single}]" if single else "") if x]
+    return F.length(F.regexp_extract(name, f"^(?:{'|'.join(forms) or '(?!)'})", 0))
 
 
 def given_mentions(docs: DataFrame, masked: DataFrame, g: Gazetteer | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

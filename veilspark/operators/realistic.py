@@ -1,20 +1,22 @@
 """Realistic pseudonyms of persons, organisations and addresses, consistent in a scope.
 
-Within a scope each real surname, character of a given name or brand has a stand-in of its own: both sides are ranked by keyed hashes
-and the ranks are joined, so nothing is tried twice and no two values share a stand-in.
+Within a scope each real surname, character of a given name or brand, and Latin word has a stand-in of its own (`assign`), however many
+there are.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.spans import let, quoted
-from ..functions.values import canon, shaped
+from ..functions.spans import flat_map, let, quoted
+from ..functions.values import canon, day_number, shaped
+from .assign import LONGEST, Pool, assigned
 from .gazetteer import Gazetteer
 from .names import surname_length
-from .rewrite import TRADE_WORDS
 
 #: Stand-ins: characters of given names and of brands, words of Latin names, and roads.
 GIVEN_POOL = "安柏辰昕宥恩語禾子芮晴朗澄沐川岳衡謙睿哲凡亦可心悅寧柔菲苓葳樂舟帆嵐硯彥霖祐翊棠槿瑀珩昀晏劭煦鈞丞奕宸凱翔宇恆毅誠信義和平順達榮昌隆盛祥瑞豐裕泰永久長青松竹梅蘭菊荷蓮桂楓桐"
@@ -23,67 +25,81 @@ LATIN_POOL = "Alden Bryce Carter Dalton Elliot Fenton Graham Harlan Irving Jarvi
 ROAD_POOL = "中山路 中華路 民權路 民生路 和平路 復興路 建國路 光復路 成功路 自強路 文化路 大同路 仁愛路 信義路 忠孝路 三民路".split()
 
 
+#: Syllables of the Latin names that go on when those of the list are used.
+SYLLABLES = tuple(c + v for c in "bdfghjklmnprstvz" for v in "aeiou")
+#: What a part becomes that has no stand-in, so that an original never comes through.
+NOTHING = "〇"
+
+
 def _hash(*parts: Column | str) -> Column:
     return F.xxhash64(*parts)
 
 
-def assigned(originals: DataFrame, scope: list[str], pool: Column, taken: Column, salt: str, spare: Column) -> DataFrame:
-    """scope, original, fake: one to one within a scope. `originals` has scope, original and, as `texts`, characters that occur in the
-    scope's texts. Members of `pool` that are originals or occur come last; when all are used, `spare` (an array of pairs of them) goes on.
-    """
-    per = originals.groupBy(*scope).agg(F.collect_set("original").alias("o"), F.array_distinct(F.flatten(F.collect_set(taken))).alias("x"))
-    order = F.array_sort(F.transform("o", lambda v: F.struct(_hash(v, F.lit(salt), *scope).alias("h"), v.alias("v"))))
-    ranked = F.array_sort(F.transform(pool, lambda v: F.struct(_hash(v, F.lit(salt + "pool"), *scope).alias("h"), v.alias("v"))))
-    shuffled = F.transform(ranked, lambda y: y["v"])
-    fresh = F.filter(shuffled, lambda v: ~F.array_contains("o", v) & ~F.array_contains("x", v))
-    seen = F.filter(shuffled, lambda v: ~F.array_contains("o", v) & F.array_contains("x", v))
-    pairs = per.select(*scope, order.alias("sorted"), F.concat(fresh, seen, spare).alias("f"))
-    each = pairs.select(*scope, F.posexplode("sorted").alias("i", "v"), "f")
-    return each.select(*scope, F.col("v.v").alias("original"), F.get("f", F.col("i")).alias("fake"))
+def _unique(chars: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(chars))
 
 
-def _letters(pool: str) -> Column:
-    return F.array(*map(F.lit, dict.fromkeys(pool)))
+@cache
+def surname_pool(length: int) -> Pool:
+    """Surnames for those of one character: safe ones, then the other surnames, then safe ones joined by three, five, ...; for longer ones
+    safe ones joined by two, four, ..., so the two never meet."""
+    safe = _unique(P.SAFE_SURNAMES)
+    rest = tuple(c for c in _unique(P.SURNAMES) if c not in safe)
+    return Pool((safe, rest), safe, tuple(range(3, LONGEST + 1, 2))) if length == 1 else Pool((), safe, tuple(range(2, LONGEST + 1, 2)))
 
 
-def _pairs(pool: str) -> Column:
-    """Pairs of different characters of a pool, in the order of the pool."""
-    chars = _letters(pool)
-    return F.flatten(F.transform(chars, lambda a: F.transform(F.filter(chars, lambda b: b != a), lambda b: F.concat(a, b))))
+@cache
+def character_pool(chars: str) -> Pool:
+    """Characters of given names or brands: a list, the common block, the first extension, and then several of the list."""
+    return Pool((_unique(chars),), _unique(chars), tuple(range(2, 6)), ((0x4E00, 0x9FA5), (0x3400, 0x4DB5)))
 
 
-def surname_map(names: DataFrame, scope: list[str], salt: str) -> DataFrame:
-    """scope, surname, fake: one surname for each real one of a scope (`names`: scope, surname, and as `context` characters of the texts, if
-    known). Safe surnames come first, those that the texts hold last, and then pairs of them, so no two people share one."""
-    taken = F.col("context") if "context" in names.columns else F.array().cast("array<string>")
-    rest = "".join(c for c in P.SURNAMES if c not in P.SAFE_SURNAMES)
-    originals = names.select(*scope, F.col("surname").alias("original"), taken.alias("context"))
-    spare = F.concat(_letters(rest), _pairs(P.SAFE_SURNAMES))
-    found = assigned(originals, scope, _letters(P.SAFE_SURNAMES), F.col("context"), salt, F.filter(spare, lambda v: ~F.array_contains("o", v)))
-    return found.withColumnRenamed("original", "surname")
+@cache
+def latin_pool() -> Pool:
+    return Pool((tuple(x.lower() for x in LATIN_POOL),), SYLLABLES, (2, 3, 4))
 
 
-def character_map(values: DataFrame, scope: list[str], salt: str, pool: str) -> DataFrame:
-    """scope, m: a map from each Han character of the values (`values`: scope, value) to another, one to one within a scope."""
-    chars = values.select(*scope, F.explode(F.filter(F.split("value", ""), lambda c: c.rlike(f"[{P.HAN}々]"))).alias("original")).distinct()
-    # Beyond the pool, characters from the common block go on by their place in it.
-    spare = F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda i: F.decode(F.unhex(F.hex(i + 0x5000)), "UTF-16BE"))
-    spare = F.filter(spare, lambda v: ~F.array_contains("o", v) & ~F.contains(F.lit(pool), v))
-    found = assigned(chars, scope, _letters(pool), F.array().cast("array<string>"), salt, spare)
-    return found.groupBy(*scope).agg(F.map_from_entries(F.collect_list(F.struct("original", "fake"))).alias("m"))
+def held(docs: DataFrame, scope: list[str], text: str = "text") -> DataFrame:
+    """scope, value: which surnames of the pools the texts of a scope hold, those of several characters too."""
+    singles = F.array_intersect(F.array_distinct(F.split(F.col(text), "")), F.split(F.lit(" ".join(_unique(P.SAFE_SURNAMES + P.SURNAMES))), " "))
+    runs = F.regexp_extract_all(F.col(text), F.lit(f"([{P.SAFE_SURNAMES}]{{2,}})"), 1)
+    part = lambda r: flat_map(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.transform(F.sequence(F.lit(2), F.least(F.length(r) - i + 1, F.lit(LONGEST))), lambda n: F.substring(r, i, n)))
+    return docs.select(*scope, F.explode(F.array_distinct(F.concat(singles, flat_map(runs, part)))).alias("value")).distinct()
 
 
-def _mapped(value: Column, m: Column) -> Column:
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.coalesce(F.element_at(m, c), c)), "")
+def surname_map(names: DataFrame, scope: list[str], salt: str, forbidden: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """scope, surname, fake: a surname for each real one of a scope (`names`: scope, surname); no two share one, and none is a real one
+    of the scope or `forbidden` (scope, value) there. `known` (scope, surname, fake) of earlier runs stays."""
+    originals = names.select(*scope, F.col("surname").alias("original")).distinct()
+    # Real surnames of either length are forbidden to both.
+    banned = originals.select(*scope, F.col("original").alias("value"))
+    banned = banned if forbidden is None else banned.unionByName(forbidden.select(*scope, "value"))
+    earlier = None if known is None else known.select(*scope, F.col("surname").alias("original"), "fake")
+    short = F.length("original") == 1
+    made = [assigned(originals.where(short if n == 1 else ~short), scope, surname_pool(n), salt, banned, earlier) for n in (1, 2)]
+    return made[0].unionByName(made[1]).select(*scope, F.col("original").alias("surname"), "fake")
 
 
-def persons(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazetteer | None = None, context: DataFrame | None = None) -> DataFrame:
-    """Person spans (value, kind) with `new`.
+def characters(values: DataFrame, scope: list[str], salt: str, pool: str, known: DataFrame | None = None) -> DataFrame:
+    """scope, original, fake: another character for each Han character of the values (`values`: scope, value), one to one in a scope."""
+    chars = values.select(*scope, F.explode(F.regexp_extract_all("value", F.lit(f"([{P.HAN}々])"), 1)).alias("original"))
+    return assigned(chars, scope, character_pool(pool), salt, None, known)
 
-    Surnames go by `surname_map`, given names, nicknames and transliterations by `character_map`, so that parts of a name follow
-    the full one, titles stay, and names that differ in one character still do. Latin words are picked by hash.
-    `context` (scope, context) holds characters that the scope's texts contain.
-    """
+
+def rewritten_values(values: DataFrame, scope: list[str], units: DataFrame, pieces: Column) -> DataFrame:
+    """scope, value, new: each value with its pieces (an array of strings) replaced where `units` (scope, original, fake) has them.
+
+    Pieces of distinct values are joined one by one, so no scope's units come together in a row. A Han character without a stand-in
+    becomes NOTHING."""
+    once = values.select(*scope, "value").distinct()
+    each = once.select(*scope, "value", F.posexplode(pieces).alias("i", "original")).join(units, [*scope, "original"], "left")
+    new = F.coalesce("fake", F.when(F.col("original").rlike(f"[{P.HAN}々]"), NOTHING).otherwise(F.col("original")))
+    put = each.groupBy(*scope, "value").agg(F.sort_array(F.collect_list(F.struct("i", new.alias("p")))).alias("a"))
+    return put.select(*scope, "value", F.array_join(F.transform("a", lambda x: x["p"]), "").alias("new"))
+
+
+def name_parts(spans: DataFrame, gazetteer: Gazetteer | None = None) -> DataFrame:
+    """Person spans (value, kind) with `_head` (老, 小, 阿), `_sur`, `_given` and `_latin`, of which their stand-ins are made."""
     g = gazetteer or Gazetteer()
     core = canon(F.col("value"))
     n = surname_length(core, g)
@@ -95,44 +111,86 @@ def persons(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazetteer
     whole = ~nick & ~F.col("kind").isin("given", "given2") & ~latin & ~dotted & (n > 0)
     sur = F.when(latin | dotted, "").when(by_name, body).when(nick, "").when(whole, F.substring(core, F.lit(1), n)).otherwise("")
     given = F.when(latin | by_name, "").when(nick, body).when(whole, F.substring(core, n + 1, F.length(core))).otherwise(core)
-    parsed = spans.withColumns({"_head": F.when(nick, head).otherwise(""), "_sur": sur, "_given": given, "_latin": latin})
+    return spans.withColumns({"_head": F.when(nick & ~latin, head).otherwise(""), "_sur": sur, "_given": given, "_latin": latin})
+
+
+def persons(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazetteer | None = None, context: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Person spans (value, kind) with `new`.
+
+    Surnames go by `surname_map`, given names, nicknames and transliterations character by character, Latin names word by word, each one
+    to one in a scope, so that parts of a name follow the full one, titles stay, and names that differ in one character still do.
+    `context` (scope, value, of `held`) are surnames that the scope's texts hold: as no false surname stands in them, no false
+    full name does. `known` (scope, part, original, fake; of `parts_of`) keeps what earlier runs assigned.
+    """
+    parsed = name_parts(spans, gazetteer)
+    earlier = (lambda part: None) if known is None else (lambda part: known.where(F.col("part") == part).select(*scope, "original", "fake"))
     named = parsed.where("_sur <> ''").select(*scope, F.col("_sur").alias("surname")).distinct()
-    if context is not None:
-        named = named.join(context.select(*scope, "context"), scope, "left").withColumn("context", F.coalesce("context", F.array().cast("array<string>")))
-    surs = surname_map(named, scope, salt).select(*scope, F.col("surname").alias("_sur"), F.col("fake").alias("_fake_sur"))
-    chars = character_map(parsed.where("_given <> ''").select(*scope, F.col("_given").alias("value")), scope, salt, GIVEN_POOL)
-    joined = parsed.join(surs, [*scope, "_sur"], "left").join(chars, scope, "left")
-    m = F.coalesce("m", F.create_map().cast("map<string,string>"))
-    plain = F.concat("_head", F.coalesce("_fake_sur", F.lit("")), _mapped(F.col("_given"), m))
+    before = earlier("SURNAME")
+    surs = surname_map(named, scope, salt, context, None if before is None else before.withColumnRenamed("original", "surname")).select(*scope, F.col("surname").alias("_sur"), F.col("fake").alias("_fake_sur"))
+    given = parsed.where("_given <> ''").select(*scope, F.col("_given").alias("value")).distinct()
+    chars = characters(given, scope, salt, GIVEN_POOL, earlier("GIVEN_CHAR"))
+    givens = rewritten_values(given, scope, chars, F.filter(F.split("value", ""), lambda c: c != "")).select(*scope, F.col("value").alias("_given"), F.col("new").alias("_fake_given"))
     words = F.regexp_extract_all("value", F.lit(f"[A-Za-z]+|[{P.HAN}]|[^A-Za-z{P.HAN}]"), 0)
-    salted = F.concat_ws("|", *[F.col(c).cast("string") for c in scope], F.lit(salt))
+    latin = parsed.where("_latin").select(*scope, "value").distinct()
+    parts = latin.select(*scope, F.explode(words).alias("w"))
+    units = assigned(parts.where("w rlike '^[A-Za-z]{2,}$'").select(*scope, F.lower("w").alias("original")), scope, latin_pool(), salt, None, earlier("LATIN"))
+    han = characters(parts.where(F.col("w").rlike(f"^[{P.HAN}]$")).select(*scope, F.col("w").alias("value")), scope, salt + "latin", P.SAFE_SURNAMES)
+    each = latin.select(*scope, "value", F.posexplode(words).alias("i", "w")).withColumn("original", F.lower("w")).join(units.unionByName(han), [*scope, "original"], "left")
+    made = F.when(F.col("w").rlike("^[A-Z]{2,}$"), F.upper("fake")).when(F.col("w").rlike("^[A-Z]"), F.initcap("fake")).otherwise(F.col("fake"))
+    loose = F.when(F.col("w").rlike(f"[{P.HAN}]"), NOTHING).otherwise(F.col("w"))
+    put = each.groupBy(*scope, "value").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce(made, loose).alias("p")))).alias("a")).select(*scope, "value", F.array_join(F.transform("a", lambda x: x["p"]), "").alias("_fake_latin"))
+    joined = parsed.join(surs, [*scope, "_sur"], "left").join(givens, [*scope, "_given"], "left").join(put, [*scope, "value"], "left")
+    sur = F.when(F.col("_sur") == "", "").otherwise(F.coalesce("_fake_sur", F.lit(NOTHING)))
+    name = F.when(F.col("_given") == "", "").otherwise(F.coalesce("_fake_given", F.lit(NOTHING)))
+    new = F.when(F.col("_latin"), F.coalesce("_fake_latin", F.lit(NOTHING))).otherwise(F.concat("_head", sur, name))
+    return joined.withColumn("new", new).select(*spans.columns, "new")
+
+
+def parts_of(named: DataFrame, scope: list[str], gazetteer: Gazetteer | None = None) -> DataFrame:
+    """scope, part, original, fake: the surnames, characters and Latin words behind person spans that have their `new`, for later runs."""
+    parsed = name_parts(named, gazetteer)
+    size = F.length("_fake_sur")
+    split = parsed.withColumn("_tail", F.substring("new", F.length("_head") + 1, F.length("new"))).withColumn("_fake_sur", F.when(F.col("_sur") == "", "").otherwise(F.substring("_tail", F.lit(1), F.length("_tail") - F.length("_given"))))
+    split = split.withColumn("_fake_given", F.substring("_tail", size + 1, F.length("_tail")))
+    surs = split.where("_sur <> '' and not _latin").select(*scope, F.lit("SURNAME").alias("part"), F.col("_sur").alias("original"), F.col("_fake_sur").alias("fake"))
+    pairs = F.arrays_zip(F.filter(F.split("_given", ""), lambda c: c != "").alias("o"), F.filter(F.split("_fake_given", ""), lambda c: c != "").alias("f"))
+    chars = split.where("_given <> '' and not _latin and length(_given) = length(_fake_given)").select(*scope, F.explode(pairs).alias("p")).select(*scope, F.lit("GIVEN_CHAR").alias("part"), F.col("p.o").alias("original"), F.col("p.f").alias("fake"))
+    latin = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z]{2,})"), 1)
+    words = split.where("_latin").select(*scope, F.explode(F.arrays_zip(latin("value").alias("o"), latin("new").alias("f"))).alias("p")).select(*scope, F.lit("LATIN").alias("part"), F.lower("p.o").alias("original"), F.lower("p.f").alias("fake"))
+    return surs.unionByName(chars.where(F.col("original").rlike(f"[{P.HAN}々]"))).unionByName(words).where("original is not null and fake is not null and original <> fake").distinct()
+
+
+def name_pieces(name: Column, gazetteer: Gazetteer | None = None) -> Column:
+    """Pieces of an organisation name: forms, trades and cities, Latin words, and single characters."""
+    g = gazetteer or Gazetteer()
+    keep = quoted({*g.suffixes, *P.TRADE_WORDS, *g.place(g.cities)})
+    return F.regexp_extract_all(name, F.lit(rf"(?:{keep})|[A-Za-z0-9]+|[\s\S]"), 0)
 
-    def word(w: Column) -> Column:
-        pick = F.element_at(F.array(*map(F.lit, LATIN_POOL)), (F.pmod(_hash(F.lower(w), salted), F.lit(len(LATIN_POOL))) + 1).cast("int"))
-        other = F.when(w.rlike(f"^[{P.HAN}]$"), F.substring(F.lit(P.SAFE_SURNAMES), (F.pmod(_hash(w, salted), F.lit(len(P.SAFE_SURNAMES))) + 1).cast("int"), F.lit(1))).otherwise(w)
-        return F.when(w.rlike("^[A-Z]{2,}$"), F.upper(pick)).when(w.rlike("^[A-Za-z]{2,}$"), pick).otherwise(other)
 
-    new = F.when(F.col("_latin"), F.array_join(F.transform(words, word), "")).otherwise(plain)
-    return joined.withColumn("new", new).drop("_head", "_sur", "_given", "_latin", "_fake_sur", "m")
+def brand_parts_of(named: DataFrame, scope: list[str], gazetteer: Gazetteer | None = None) -> DataFrame:
+    """scope, part, original, fake: the characters of brands behind organisation spans that have their `new`, for later runs."""
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    pairs = F.arrays_zip(chars(F.col("value")).alias("o"), chars(F.col("new")).alias("f"))
+    each = named.where("length(value) = length(new)").select(*scope, F.explode(pairs).alias("p")).where(F.col("p.o") != F.col("p.f"))
+    return each.select(*scope, F.lit("ORG_CHAR").alias("part"), F.col("p.o").alias("original"), F.col("p.f").alias("fake")).where(F.col("original").rlike(f"[{P.HAN}]")).distinct()
 
 
-def organisations(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazetteer | None = None) -> DataFrame:
+def organisations(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazetteer | None = None, known: DataFrame | None = None) -> DataFrame:
     """Organisation spans with `new`: forms, trades and cities stay, characters of the brand are replaced, one to one in a scope, Latin letters
-    and digits by others of their class."""
-    g = gazetteer or Gazetteer()
-    keep = quoted({*g.suffixes, *TRADE_WORDS, *g.place(g.cities)})
-    named = spans.withColumn("_parts", F.regexp_extract_all("value", F.lit(rf"(?:{keep})|[A-Za-z0-9]+|[\s\S]"), 0))
+    and digits by others of their class. `known` (of `brand_parts_of`) keeps what earlier runs assigned."""
+    pieces = name_pieces(F.col("value"), gazetteer)
+    once = spans.select(*scope, "value").distinct().withColumn("_parts", pieces)
     loose = lambda p: (F.length(p) == 1) & p.rlike(f"[{P.HAN}]")
-    brands = named.select(*scope, F.array_join(F.filter("_parts", loose), "").alias("value")).where("value <> ''")
-    chars = character_map(brands, scope, salt, BRAND_POOL)
-    m = F.coalesce("m", F.create_map().cast("map<string,string>"))
+    before = None if known is None else known.where("part = 'ORG_CHAR'").select(*scope, "original", "fake")
+    brands = once.select(*scope, F.array_join(F.filter("_parts", loose), "").alias("value")).where("value <> ''")
+    chars = characters(brands, scope, salt, BRAND_POOL, before)
     salted = F.concat_ws("|", *[F.col(c).cast("string") for c in scope], F.lit(salt))
     forms = r"(?i)^(?:co|ltd|inc|corp|corporation|company|limited|llc|group|holdings)$"
-
-    def part(p: Column) -> Column:
-        return F.when(loose(p), F.coalesce(F.element_at(m, p), p)).when(p.rlike("^[A-Za-z0-9]+$") & ~p.rlike(forms), shaped(p, F.concat(salted, p))).otherwise(p)
-
-    return named.join(chars, scope, "left").withColumn("new", F.array_join(F.transform("_parts", part), "")).drop("_parts", "m")
+    p = F.col("p")
+    each = once.select(*scope, "value", F.posexplode("_parts").alias("i", "p")).withColumn("original", F.when(loose(p), p)).join(chars, [*scope, "original"], "left")
+    part = F.when(loose(p), F.coalesce("fake", F.lit(NOTHING))).when(p.rlike("^[A-Za-z0-9]+$") & ~p.rlike(forms), shaped(p, F.concat(salted, p))).otherwise(p)
+    put = each.groupBy(*scope, "value").agg(F.sort_array(F.collect_list(F.struct("i", part.alias("n")))).alias("a")).select(*scope, "value", F.array_join(F.transform("a", lambda x: x["n"]), "").alias("new"))
+    return spans.join(put, [*scope, "value"], "left")
 
 
 def addresses(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazetteer | None = None) -> DataFrame:
@@ -161,16 +219,26 @@ def addresses(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazettee
     return spans.withColumn("new", F.concat(head, new_road, F.array_join(F.transform(numbers, other), "")))
 
 
-def text_context(docs: DataFrame, scope: list[str], text: str = "text") -> DataFrame:
-    """scope, context: which safe surnames the texts of a scope hold."""
-    held = F.filter(_letters(P.SAFE_SURNAMES), lambda c: F.contains(F.col(text), c))
-    return docs.select(*scope, held.alias("h")).groupBy(*scope).agg(F.array_distinct(F.flatten(F.collect_set("h"))).alias("context"))
+#: Days by which the event dates of a case may move.
+SHIFTS = [x for n in range(28, 183) for x in (n, -n)]
 
 
-def case_shift(scope: Column, salt: str) -> Column:
-    """Days by which all dates of a case move: a multiple of seven, 28 to 182 either way."""
-    h = F.pmod(F.xxhash64(scope, F.lit(salt)), F.lit(46))
-    return (F.when(h < 23, h + 4).otherwise(-(h - 23 + 4)) * 7).cast("int")
+def case_shifts(spans: DataFrame, scope: list[str], salt: str) -> DataFrame:
+    """scope, shift: days by which all event dates of a scope move, so that intervals stay and no moved day is a day of the scope.
+
+    Of the dates of a scope (`spans`: type, value) each event's day is laid on the SHIFTS days around it; shifts that meet a day of
+    the scope, whatever its notation, are blocked, and the first that is left is taken, whole weeks first and then in a keyed order. Where all
+    are blocked the dates move behind the last of them. A scope's days are joined by the day, never each with each.
+    """
+    dated = spans.where(F.col("type").startswith("DATE")).select(*scope, "type", day_number(F.col("value")).alias("day")).where("day is not null").distinct()
+    days = dated.select(*scope, "day").distinct()
+    laid = dated.where("type = 'DATE_EVENT'").select(*scope, F.col("day").alias("_from"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(len(SHIFTS) - 1)), lambda i: F.when(i % 2 == 0, i / 2 + 28).otherwise(-(i - 1) / 2 - 28).cast("int"))).alias("shift"))
+    met = laid.withColumn("day", F.col("_from") + F.col("shift")).join(days, [*scope, "day"], "left_semi").groupBy(*scope).agg(F.collect_set("shift").alias("_b"))
+    spread = days.groupBy(*scope).agg((F.max("day") - F.min("day") + 28).cast("int").alias("_far"))
+    per = spans.select(*scope).distinct().join(met, scope, "left").join(spread, scope, "left")
+    order = F.array_sort(F.transform(F.array(*map(F.lit, SHIFTS)), lambda n: F.struct((n % 7 != 0).alias("odd"), F.xxhash64(n, F.lit(salt), *scope).alias("h"), n.alias("n"))))
+    left = F.filter(order, lambda x: ~F.array_contains(F.coalesce("_b", F.array().cast("array<int>")), x["n"]))
+    return per.select(*scope, F.coalesce(F.get(left, F.lit(0))["n"], F.col("_far")).cast("int").alias("shift"))
 
 
 def pseudonyms(spans: DataFrame, scope: list[str], salt: str, keep_head: Column) -> DataFrame:

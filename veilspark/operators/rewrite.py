@@ -16,8 +16,6 @@ from .matcher import HITS, matched
 from .names import surname_length
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Words of organisation names that are no brand, beside suffixes and cities.
-TRADE_WORDS = "股份 有限 企業 實業 興業 科技 電子 電腦 資訊 生技 食品 餐飲 開發 地產 不動產 物業 保全 貿易 物流 機械 精密 光電 工業 化工 紡織 建設 營造 顧問 工程 管理 國際 投資 美語 英語 牙醫 中醫 眼科 小兒科 台灣 臺灣".split()
 _STRINGS = "array<string>"
 
 
@@ -99,7 +97,7 @@ def owners(spans: DataFrame, scope: list[str], gazetteer: Gazetteer | None = Non
 def brand_parts(name: Column, gazetteer: Gazetteer | None = None) -> Column:
     """Pieces of an organisation name that are no form, trade or city: array<string>."""
     g = gazetteer or Gazetteer()
-    words = quoted({*g.suffixes, *TRADE_WORDS, *g.place(g.cities)})
+    words = quoted({*g.suffixes, *P.TRADE_WORDS, *g.place(g.cities)})
     return F.filter(F.split(F.regexp_replace(name, f"(?:{words})", "\x03"), "\x03+"), lambda x: x != "")
 
 
@@ -117,13 +115,9 @@ def organisation_code(name: Column, letter: Column, gazetteer: Gazetteer | None
     return let(brand_parts(name, g), put)
 
 
-def coded(spans: DataFrame, scope: list[str], order: list[str], date_level: str = "month", used: DataFrame | None = None, address_level: str = "city", birth_level: str = "year", gazetteer: Gazetteer | None = None) -> DataFrame:
-    """`spans` (type, value, and kind if known) with `new`: 甲 for persons, A公司 for organisations, 〔label N〕 for other values, dates as far
-    as their level ("keep", "month", "year"), addresses behind the city (or district) that stays.
-
-    One value has one code in a scope (columns such as case_id). Codes in `used` (of `reserved`) are passed over. Equi-joins on scope
-    and canonical value only.
-    """
+def labelled(spans: DataFrame, scope: list[str], address_level: str = "city", gazetteer: Gazetteer | None = None, known: DataFrame | None = None) -> DataFrame:
+    """`spans` with what their code depends on: `label` (p, o, or what a token is called), `_kept` (what stays in front of a token), `canon`
+    and `owner` (whose code it is). `known` (scope, value) are full names of earlier runs, to which parts of names may belong too."""
     g = gazetteer or Gazetteer()
     t, v = F.col("type"), F.col("value")
     lot = F.regexp_extract(v, rf"([{P.DIGIT}]+(?:-[{P.DIGIT}]+)?) ?([地建])號$", 2)
@@ -138,31 +132,52 @@ def coded(spans: DataFrame, scope: list[str], order: list[str], date_level: str
     city = f"^(?:{quoted(g.place(g.cities))})"
     district = rf"{city}?(?:{quoted(g.place(g.districts))})" if g.districts else rf"{city}(?:[{P.HAN}]{{1,3}}[區鄉鎮市])?"
     kept = F.when((t == "ADDRESS") & (lot != ""), F.regexp_replace(v, rf"[{P.DIGIT}]+(?:-[{P.DIGIT}]+)? ?[地建]號$", "")).when(t == "ADDRESS", F.regexp_extract(v, district if address_level == "district" else city, 0)).otherwise("")
-    known = spans if "kind" in spans.columns else spans.withColumn("kind", F.lit("full"))
-    named = known.withColumns({"label": label, "_kept": kept})
+    named = spans if "kind" in spans.columns else spans.withColumn("kind", F.lit("full"))
+    named = named.withColumns({"label": label, "_kept": kept})
     named = named.withColumn("canon", canon(F.substring("value", F.length("_kept") + 1, F.length("value"))))
-    people = owners(named.where("label = 'p'"), scope, g)
-    # A part has the place of its full name's first mention or its own; a part of several has no code.
-    named = people.unionByName(named.where("label <> 'p'").withColumn("owner", F.col("canon")))
-    codes = first_seen(named.where("owner <> '〇' or label <> 'p'"), scope, order, F.col("owner"), ["label"]).withColumnRenamed("canon", "owner")
-    joined = named.join(codes, [*scope, "label", "owner"], "left")
-    joined = joined.join(used.select(*scope, "used"), scope, "left") if used is not None else joined.withColumn("used", F.array().cast(_STRINGS))
-    joined = joined.withColumn("used", F.coalesce("used", F.array().cast(_STRINGS)))
-    letter = free_code(F.col("rank"), F.col("used"), LETTERS, "機構")
-    token = F.concat(F.lit("〔"), F.col("label"), free_number(F.col("rank"), F.col("label"), F.col("used")).cast("string"), F.lit("〕"))
+    people = named.where("label = 'p'")
+    if known is None:
+        people = owners(people, scope, g)
+    else:
+        before = known.select(*scope, canon(F.col("value")).alias("canon"), F.lit("full").alias("kind"), F.lit(True).alias("_before"))
+        people = owners(people.withColumn("_before", F.lit(False)).unionByName(before, allowMissingColumns=True), scope, g).where("not _before").drop("_before")
+    return people.unionByName(named.where("label <> 'p'").withColumn("owner", F.col("canon")))
+
+
+def with_codes(named: DataFrame, codes: DataFrame, scope: list[str], date_level: str = "month", birth_level: str = "year", gazetteer: Gazetteer | None = None) -> DataFrame:
+    """`labelled` spans with `new`, by the code `c` of each owner (`codes`: scope, label, owner, c); an owner of several has none."""
+    g = gazetteer or Gazetteer()
+    t, v, c = F.col("type"), F.col("value"), F.col("c")
+    token = F.concat(F.lit("〔"), F.col("label"), c, F.lit("〕"))
 
     def date(level: str) -> Column:
         return v if level == "keep" else F.coalesce(coarse_date(v, level), token)
 
     new = (
-        F.when((F.col("label") == "p") & F.col("rank").isNull(), "〇")
-        .when(F.col("label") == "p", free_code(F.col("rank"), F.col("used"), P.PERSON_CODES, "人物"))
-        .when(F.col("label") == "o", organisation_code(F.col("canon"), letter, g))
+        F.when(F.col("label") == "p", F.coalesce(c, F.lit("〇")))
+        .when(F.col("label") == "o", organisation_code(F.col("canon"), c, g))
         .when(t == "DATE", date(birth_level))
         .when(t.startswith("DATE"), date(date_level))
         .otherwise(F.concat("_kept", token))
     )
-    out = joined.withColumn("new", new).drop("canon", "label", "rank", "_kept", "owner", "used")
+    return named.join(codes.select(*scope, "label", "owner", "c"), [*scope, "label", "owner"], "left").withColumn("new", new)
+
+
+def coded(spans: DataFrame, scope: list[str], order: list[str], date_level: str = "month", used: DataFrame | None = None, address_level: str = "city", birth_level: str = "year", gazetteer: Gazetteer | None = None) -> DataFrame:
+    """`spans` (type, value, and kind if known) with `new`: 甲 for persons, A公司 for organisations, 〔label N〕 for other values, dates as far
+    as their level ("keep", "month", "year"), addresses behind the city (or district) that stays.
+
+    One value has one code in a scope (columns such as case_id). Codes in `used` (of `reserved`) are passed over. Equi-joins on scope
+    and canonical value only.
+    """
+    named = labelled(spans, scope, address_level, gazetteer)
+    # A part has the place of its full name's first mention or its own; a part of several has no code.
+    ranks = first_seen(named.where("owner <> '〇' or label <> 'p'"), scope, order, F.col("owner"), ["label"]).withColumnRenamed("canon", "owner")
+    ranks = ranks.join(used.select(*scope, "used"), scope, "left") if used is not None else ranks.withColumn("used", F.array().cast(_STRINGS))
+    ranks = ranks.withColumn("used", F.coalesce("used", F.array().cast(_STRINGS)))
+    rank, taken = F.col("rank"), F.col("used")
+    c = F.when(F.col("label") == "p", free_code(rank, taken, P.PERSON_CODES, "人物")).when(F.col("label") == "o", free_code(rank, taken, LETTERS, "機構")).otherwise(free_number(rank, F.col("label"), taken).cast("string"))
+    out = with_codes(named, ranks.withColumn("c", c), scope, date_level, birth_level, gazetteer).drop("canon", "label", "_kept", "owner", "c")
     return out if "kind" in spans.columns else out.drop("kind")
 
 
@@ -189,12 +204,17 @@ _BRACKETS = (("〔", "〕"), ("[", "]"), ("［", "］"), ("【", "】"))
 
 
 def written_forms(table: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, written, original, rank: each way in which a reply may write a fake; of two originals for one, that of the lower rank.
+    """scope, written, original: each way in which a reply may write a fake; of two originals for one, that of the lower rank, then a full
+    name rather than a part of it, then the first of the case table.
 
     Bracketed codes in other brackets, numbers in half-width digits or without separators, false surnames before a title or behind
     "我姓", and the fake itself, which comes first.
     """
-    plain = table.where(~F.col("ambiguous")).select(*scope, "fake", "original", "type")
+    part = (F.col("type") == "PERSON") & (F.col("kind") != "full") if "kind" in table.columns else F.lit(False)
+    seq = F.col("seq").cast("long") if "seq" in table.columns else F.lit(0).cast("long")
+    # Single characters and words of names serve later runs only.
+    whole = table.where(~F.col("ambiguous") & ~F.col("type").isin("GIVEN_CHAR", "ORG_CHAR", "LATIN"))
+    plain = whole.select(*scope, "fake", "original", "type", F.coalesce(part, F.lit(False)).alias("_part"), seq.alias("_seq"))
     fake, original = F.col("fake"), F.col("original")
     item = lambda w, o, n: F.struct(w.alias("written"), o.alias("original"), F.lit(n).alias("rank"))
     inner = F.substring(fake, F.lit(2), F.length(fake) - 2)
@@ -207,10 +227,10 @@ def written_forms(table: DataFrame, scope: list[str]) -> DataFrame:
     before = [item(F.concat(F.lit(x), fake), F.concat(F.lit(x), original), 3) for x in P.SURNAME_AFTER]
     forms.append(F.when(F.col("type") == "SURNAME", F.array(*titled, *before)))
     none = F.array().cast("array<struct<written:string,original:string,rank:int>>")
-    each = plain.select(*scope, "type", F.explode(F.concat(*[F.coalesce(f, none) for f in forms])).alias("w")).select(*scope, "type", "w.*")
+    each = plain.select(*scope, "type", "_part", "_seq", F.explode(F.concat(*[F.coalesce(f, none) for f in forms])).alias("w")).select(*scope, "type", "_part", "_seq", "w.*")
     # A false surname alone could be part of any word.
     each = each.where(~((F.col("type") == "SURNAME") & (F.col("rank") == 0)))
-    return each.groupBy(*scope, F.regexp_replace("written", r"[\s　]", "").alias("written")).agg(F.min(F.struct("rank", "original")).alias("v")).select(*scope, "written", F.col("v.original").alias("original"))
+    return each.groupBy(*scope, F.regexp_replace("written", r"[\s　]", "").alias("written")).agg(F.min(F.struct("rank", "_part", "_seq", "original")).alias("v")).select(*scope, "written", F.col("v.original").alias("original"))
 
 
 def with_hits(replies: DataFrame, table: DataFrame, scope: list[str], text: str = "text", key: str = "reply_id", hot: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAPPING = "case_id string, fake string, original string, type string, ambiguous boolean, code boolean"
+MAPPING = "case_id string, seq long, fake string, original string, type string, kind string, ambiguous boolean, label string, owner string, c string, code boolean, version int"
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -40,15 +41,31 @@ def write_texts(docs: DataFrame, path: str) -> None:
     docs.select("doc_id", "text").write.mode("overwrite").parquet(path)
 
 
-def write_mapping(mapping: DataFrame, path: str, code: bool) -> None:
-    """A mapping table (case_id, fake, original, type, ambiguous) of one style, as JSON lines, a folder for each case."""
-    rows = mapping.withColumn("case_id", F.col("case_id").cast("string")).withColumn("code", F.lit(code))
-    rows.write.mode("overwrite").partitionBy("case_id").json(path)
+def versions(spark: SparkSession, path: str) -> int:
+    """The last version of a mapping folder; 0 if there is none."""
+    try:
+        rows = spark.read.schema(MAPPING).json(path)
+        return rows.agg(F.max("version")).first()[0] or 0
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
 
 
-def read_mapping(spark: SparkSession, path: str, code: bool | None = None) -> DataFrame:
-    """A mapping table. Where `code` is given, entries of the other style are an error."""
-    rows = spark.read.schema(MAPPING).json(path)
+def write_mapping(mapping: DataFrame, path: str, code: bool) -> int:
+    """A mapping or case table of one style as JSON lines, a folder for each version and case; return the version.
+
+    A version is written beside those before it and never changed, so each run's texts can be restored by what held then.
+    """
+    version = versions(mapping.sparkSession, path) + 1
+    rows = mapping.withColumns({"case_id": F.col("case_id").cast("string"), "code": F.lit(code), "version": F.lit(version)})
+    rows.write.mode("append").partitionBy("version", "case_id").json(path)
+    return version
+
+
+def read_mapping(spark: SparkSession, path: str, code: bool | None = None, version: int | None = None) -> DataFrame:
+    """A version of a mapping table, the last if none is named. Where `code` is given, entries of the other style are an error."""
+    rows = spark.read.schema(MAPPING).json(path).where(F.col("version") == (versions(spark, path) if version is None else version)).drop("version")
     if code is not None and rows.where(F.coalesce("code", F.lit(False)) != F.lit(code)).limit(1).count():
         raise ValueError("the mapping was written by the other style")
     return rows

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -227,3 +228,23 @@ def test_recall_by_length_of_item(spark, table):
     assert all(sum(brute[i] for i, t in items if len(t) == n) > 20 for n in lengths)
     recall = {n: np.mean([(i, i) in found for i, t in items if len(t) == n and brute[i]]) for n in lengths}
     assert min(recall.values()) >= 0.9, recall
+
+
+def test_a_long_comment_does_not_take_the_articles_place():
+    paragraphs = [("word" + str(i) + " ") * 15 for i in range(4)]
+    article = "".join(f"<p>{p}</p>" for p in paragraphs)
+    for n in (30, 60, 200):
+        text = html_text.main_text(f"<body><div class=post>{article}</div><div class='c-list'><p>{'remark ' * n}</p></div></body>")
+        assert all(p.strip() in text for p in paragraphs)
+
+
+def test_phrases_stay_in_their_paragraph():
+    page = "<body><article><p>Press <button>Save</button> and wait for <label>Name</label> to show.</p><p>A formula <math><mi>x</mi><mo>+</mo><mn>1</mn></math>, and an <object>object</object> in it.</p></article></body>"
+    assert html_text.main_text(page) == "Press and wait for to show.\nA formula x+1, and an object in it."
+
+
+def test_deep_nesting_is_linear():
+    for page in ("<form>" * 20_000 + "<p>text here</p>", "<b>" * 20_000 + "</i>" * 20_000 + "x", "<p>a<div>" * 5_000, "<header><div>" * 10_000 + "<h1>t</h1>"):
+        began = time.time()
+        html_text.main_text(page)
+        assert time.time() - began < 10

@@ -3,7 +3,8 @@
 Each page becomes a tree; every node gets its composite
 density, characters per tag adjusted by the characters and tags of links; densities of children are summed, and the
 subtree with the largest sum is the main text, together with the outermost nodes, and runs of loose text, whose density
-reaches the least density on the path from the body to it. Articles and main regions have a weight in that search, and nodes that are named or tagged as boilerplate a
+reaches the least density on the path from the body to it. A text in several paragraphs that stands before that subtree, with a sum of at least
+RIVAL of its, belongs to it too, so one long comment never takes the place of an article. Articles and main regions have a weight in that search, and nodes that are named or tagged as boilerplate a
 penalty, unless they hold a main region or most of the page's unlinked text; in the main text such nodes stay if their
 density still reaches that threshold. Pages are independent, so one pass over the rows does it all.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +30,10 @@ from .common import small_batches
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)[^>]*+>|<[a-zA-Z/!?][^>]*+\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object audio video canvas".split())
-TAGGED = frozenset("nav footer aside form button select dialog menu datalist fieldset label".split())
+RAW = frozenset("script style template textarea title iframe noembed noframes xmp svg audio video canvas".split())
+TAGGED = frozenset("nav footer aside form button select dialog menu datalist fieldset label noscript".split())
+#: Those of them that stand inside paragraphs.
+PHRASING = frozenset("button select datalist label noscript".split())
 BLOCK = frozenset(
     "address article blockquote body center dd details dialog dir div dl dt fieldset figcaption figure form h1 h2 h3 h4 h5 h6 header hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
@@ -60,6 +64,8 @@ ENDS = {
 PENALTY = 0.01
 #: Share of the threshold that decides on nodes of doubtful names in articles, and on forms around blocks.
 DOUBT = 0.5
+#: Share of the largest density sum from which an earlier subtree of more paragraphs is main text as well.
+RIVAL = 0.5
 #: Unlinked characters from which a named node may hold the text although the page has articles.
 MUCH = 200
 #: Weight of the density sum of articles and main regions: all that such a tag, role or itemprop counts for.
@@ -68,7 +74,7 @@ OWN_SCOPE = frozenset("table td th caption button object html body article secti
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "names", "tagged", "main", "chars", "tags", "link_chars", "link_tags", "density", "total", "weight", "sign")
+    __slots__ = ("tag", "parent", "items", "names", "tagged", "main", "chars", "tags", "link_chars", "link_tags", "density", "total", "weight", "sign", "paragraphs", "inner", "filled", "headed")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.items, self.names = tag, parent, [], []
@@ -97,6 +103,16 @@ def tree(page: str) -> Node:
     """The element tree; `items` of a node holds its text pieces and its child nodes in page order."""
     root = Node("#root", None)
     here, at, end = root, 0, len(page)
+    # How many elements of each tag are open, so that none is looked for in vain.
+    open_tags: Counter[str] = Counter()
+
+    def close(to: Node) -> Node:
+        up = here
+        while up is not to:
+            open_tags[up.tag] -= 1
+            up = up.parent
+        return to
+
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
@@ -110,11 +126,11 @@ def tree(page: str) -> Node:
         if not tag:
             continue
         if closing:
-            up = here
+            up = here if open_tags[tag] > 0 else None
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
-                here = up.parent
+                here = close(up.parent)
             elif tag == "p":
                 here.items.append(Node("p", here))
             continue
@@ -123,27 +139,28 @@ def tree(page: str) -> Node:
                 done = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = done.end() if done else end if tag in ("script", "style") else at
             continue
-        if tag in BLOCK or tag in TAGGED or tag == "body":
+        if open_tags["p"] > 0 and (tag in BLOCK or (tag in TAGGED and tag not in PHRASING) or tag == "body"):
             up = here
             while up is not None and up.tag != "p" and up.tag not in OWN_SCOPE:
                 up = up.parent
             if up is not None and up.tag == "p" and up.parent is not None:
-                here = up.parent
+                here = close(up.parent)
         if tag in ENDS:
             ended, limit = ENDS[tag]
-            up, last = here, None
+            up, last = here if any(open_tags[x] > 0 for x in ended) else None, None
             while up is not None and up.tag not in limit:
                 if up.tag in ended:
                     last = up
                 up = up.parent
             if last is not None and last.parent is not None:
-                here = last.parent
+                here = close(last.parent)
         if here.tag == "head" and tag not in VOID:
-            here = here.parent  # as browsers do when the end tag is left out
+            here = close(here.parent)  # as browsers do when the end tag is left out
         node = Node(tag, here, attributes)
         here.items.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             here = node
+            open_tags[tag] += 1
     return root
 
 
@@ -158,9 +175,9 @@ def in_order(root: Node) -> list[Node]:
 
 def sign(node: Node, inside: bool) -> str | None:
     """What marks a node as boilerplate: 'tag', 'name' or, with less certainty, 'doubt'; `inside` a main region or not."""
-    if node.tag == "form" and any(x.tag in BLOCK and x.plain and x is not node for x in in_order(node)):
+    if node.tag == "form" and node.filled:
         return "doubt"
-    if node.tagged or (node.tag == "header" and not (inside and any(x.tag in ("h1", "h2") for x in in_order(node)))):
+    if node.tagged or (node.tag == "header" and not (inside and node.headed)):
         return "tag"
     for value in node.names:
         if NOISE.search(DOUBTFUL.sub(" ", value) if inside else value) or (HEADER.search(value) and not inside):
@@ -211,6 +228,9 @@ def densities(root: Node) -> tuple[list[Node], float]:
     for n in nodes:
         n.chars = sum(len("".join(x.split())) for x in n.items if isinstance(x, str))
         n.tags, n.link_chars, n.link_tags = 0, 0, 0
+        n.paragraphs = int(n.tag in BLOCK and n.chars > 0)
+        # Whether it holds a block, one with unlinked text, a heading.
+        n.inner, n.filled, n.headed = False, False, n.tag in ("h1", "h2")
     for n in reversed(nodes):
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.tags + 1
@@ -220,6 +240,10 @@ def densities(root: Node) -> tuple[list[Node], float]:
             p.tags += n.tags + 1
             p.link_chars += n.link_chars
             p.link_tags += n.link_tags
+            p.paragraphs += n.paragraphs
+            p.inner |= n.inner or n.tag in BLOCK
+            p.filled |= n.filled or (n.tag in BLOCK and n.plain > 0)
+            p.headed |= n.headed
     weigh(root, nodes)
     body = next((n for n in nodes if n.tag == "body"), root)
     linked = body.link_chars / body.chars if body.chars else 0.0
@@ -241,10 +265,11 @@ def content(root: Node) -> list[Node]:
     above = _path(best)[: _path(best).index(top) + 1]
     threshold = min(n.density for n in above)
     path = {id(n) for n in above}
+    rivals = {id(n) for n in _earlier(above) if n.weight == 1 and n.total >= RIVAL * best.total and n.paragraphs > best.paragraphs}
     out, stack = [], [top]
     while stack:
         n = stack.pop()
-        if n is best or (id(n) not in path and n.density >= threshold):
+        if n is best or id(n) in rivals or (id(n) not in path and n.density >= threshold):
             out.append(n)
         else:
             stack.extend(reversed(_units(n, path, linked)))
@@ -254,9 +279,19 @@ def content(root: Node) -> list[Node]:
     return out
 
 
+def _earlier(path: list[Node]) -> Iterator[Node]:
+    """Nodes that stand before the nodes of a path, from the lowest up, beside them."""
+    for n in path[:-1]:
+        for x in n.parent.items:
+            if x is n:
+                break
+            if isinstance(x, Node):
+                yield x
+
+
 def titled(node: Node) -> bool:
     """A header with a heading; in the chosen subtree it is the text's own."""
-    return node.tag == "header" and any(x.tag in ("h1", "h2") for x in in_order(node))
+    return node.tag == "header" and node.headed
 
 
 def _units(node: Node, path: set[int], linked: float) -> list[Node]:
@@ -264,7 +299,7 @@ def _units(node: Node, path: set[int], linked: float) -> list[Node]:
     out: list[Node] = []
     run: list[object] = []
     for x in [*node.items, None]:
-        if x is not None and (isinstance(x, str) or (x.tag not in BLOCK and x.tag != "br" and id(x) not in path and not any(y.tag in BLOCK for y in in_order(x)))):
+        if x is not None and (isinstance(x, str) or (x.tag not in BLOCK and x.tag != "br" and id(x) not in path and not x.inner)):
             run.append(x)
             continue
         if any(not isinstance(y, str) or y.strip() for y in run):

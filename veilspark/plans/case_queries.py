@@ -149,10 +149,11 @@ def move_birthdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = V.parse_date(F.col("value")), V.parse_date(F.col("new"))
     day = lambda p: F.concat_ws("/", p["m"], p["d"])
     each = made.select("doc_id", "case_id", "value", "new", old["y"].alias("y"), new["y"].alias("z"), day(old).alias("a"), day(new).alias("b"))
-    ways = each.groupBy("case_id", "a").agg(F.countDistinct("b").alias("n")).join(each.select("case_id", "a", "b").distinct().groupBy("case_id", "b").agg(F.count("*").alias("k"), F.min("a").alias("a")), ["case_id", "a"], "left")
+    pairs = each.select("case_id", "a", "b").distinct()
+    ways = pairs.groupBy("case_id", "a").agg(F.count("*").alias("n"), F.min("b").alias("b1")).join(pairs.groupBy("case_id", F.col("b").alias("b1")).agg(F.count("*").alias("k")), ["case_id", "b1"]).select("case_id", "a", "n", "k")
     plain = lambda c: F.regexp_replace(F.regexp_replace(c, "January|February|March|April|May|June|July|August|September|October|November|December", "M"), "[0-9〇一二三四五六七八九十]+", "0")
     return each.join(ways, ["case_id", "a"]).select(
-        "doc_id", (F.col("y") == F.col("z")).alias("same_year"), (F.col("a") != F.col("b")).alias("other_day"), (plain(F.col("value")) == plain(F.col("new"))).alias("same_notation"), ((F.col("n") == 1) & (F.coalesce("k", F.lit(1)) == 1)).alias("one_to_one")
+        "doc_id", (F.col("y") == F.col("z")).alias("same_year"), (F.col("a") != F.col("b")).alias("other_day"), (plain(F.col("value")) == plain(F.col("new"))).alias("same_notation"), ((F.col("n") == 1) & (F.col("k") == 1)).alias("one_to_one")
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.spans import flat_map, let, quoted
 from ..functions.values import canon, day_number, shaped
+from ..plans.shared import kept
 from .assign import LONGEST, Pool, assigned
 from .gazetteer import Gazetteer
 from .names import surname_length
@@ -122,7 +123,8 @@ def persons(spans: DataFrame, scope: list[str], salt: str, gazetteer: Gazetteer
     `context` (scope, value, of `held`) are surnames that the scope's texts hold: as no false surname stands in them, no false
     full name does. `known` (scope, part, original, fake; of `parts_of`) keeps what earlier runs assigned.
     """
-    parsed = name_parts(spans, gazetteer)
+    # Written, as each kind of part reads it.
+    parsed = kept(name_parts(spans, gazetteer), "names")
     earlier = (lambda part: None) if known is None else (lambda part: known.where(F.col("part") == part).select(*scope, "original", "fake"))
     named = parsed.where("_sur <> ''").select(*scope, F.col("_sur").alias("surname")).distinct()
     before = earlier("SURNAME")

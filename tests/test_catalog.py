@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from veilspark.plans import case_queries, catalog  # noqa: F401 - the first adds its queries to the second
+from veilspark.plans import case_queries, catalog, training_queries  # noqa: F401 - the others add their queries to the catalogue's
 
 
 def rows(df):

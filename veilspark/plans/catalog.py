@@ -185,12 +185,31 @@ def tile_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiles.assigned(email_rows(spark, sf_dir), docs_of(spark, sf_dir))
 
 
-@query()
+_LONG_RUN = "[!-~]+(?: [!-~]+){9,14}"
+
+
+def _tiles_keeping_sql() -> str:
+    """Tile by tile: each ends TILE on, or OVERLAP behind the first kept run that it would cut and that the next one would not hold."""
+    def end(s: str) -> str:
+        return f"case when {s} + {P.TILE} >= len then len else coalesce(min(k.start) + {P.OVERLAP}, {s} + {P.TILE}) end"
+
+    def cuts(s: str) -> str:
+        return f"k.doc_id = d.doc_id and k.start > {s} and k.start + {P.OVERLAP} < {s} + {P.TILE} and k.stop > {s} + {P.TILE}"
+
+    runs = sql_spans("documents", "doc_id", "text", _LONG_RUN)
+    return f"""with recursive r as ({runs}), k as (select doc_id, start, "end" as stop from r where "end" - start > {P.OVERLAP} and "end" - start <= {P.TILE}),
+    n as (select doc_id, length(text) as len from documents where text is not null),
+    w as (select d.doc_id, len, cast(0 as bigint) as ws, cast({end("0")} as bigint) as we from n d left join k on {cuts("0")} group by d.doc_id, len
+        union all select d.doc_id, len, d.we - {P.OVERLAP}, {end(f"(d.we - {P.OVERLAP})")} from w d left join k on {cuts(f"(d.we - {P.OVERLAP})")} where d.we < len group by d.doc_id, len, d.we)
+    select doc_id, cast(ws as int) as ws, cast(we as int) as we, cast(case when ws = 0 then 0 else ws + {P.OVERLAP // 2} end as int) as core_s, cast(case when we = len then len else we - {P.OVERLAP // 2} end as int) as core_e from w"""
+
+
+@query(_tiles_keeping_sql())
 def tile_keeping_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of whole documents that keep their long ASCII runs whole."""
     from ..functions.spans import match_spans
 
-    return tiles.tiles_keeping(docs_of(spark, sf_dir), match_spans(F.col("text"), "[!-~]+(?: [!-~]+){9,14}"))
+    return tiles.tiles_keeping(docs_of(spark, sf_dir), match_spans(F.col("text"), _LONG_RUN))
 
 
 def scored(spans: DataFrame) -> DataFrame:

@@ -525,14 +525,14 @@ def long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB: crc32 of a text of ASCII characters, by a table that the polynomial gives.
-_CRC_TABLE = "select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)"
+CRC_TABLE = "select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)"
 
 
 def sql_crc32(text: str, table: str) -> str:
     return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: cast(ascii(x) as bigint))), lambda c, x: xor(c >> 8, {table}[xor(c & 255, x) + 1])), 4294967295)"
 
 
-@query(f"with k as ({_CRC_TABLE}), c as (select doc_id, {sql_crc32('cast(doc_id as varchar)', 'k.t')} as crc from documents, k) select doc_id, case when crc % 10 = 0 then 'dev' else 'train' end as part, cast(crc % 2 as int) as half from c")
+@query(f"with k as ({CRC_TABLE}), c as (select doc_id, {sql_crc32('cast(doc_id as varchar)', 'k.t')} as crc from documents, k) select doc_id, case when crc % 10 = 0 then 'dev' else 'train' end as part, cast(crc % 2 as int) as half from c")
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth for development, halves for tests, by crc32 of the id."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))

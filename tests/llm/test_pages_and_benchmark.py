@@ -230,6 +230,36 @@ def test_recall_by_length_of_item(spark, table):
     assert min(recall.values()) >= 0.9, recall
 
 
+def test_projection_is_fitted_on_every_document(spark, table):
+    docs = [(i, f"own{i} the cat {i % 7} sat") for i in range(3000)]
+    latent = D.fit(table(docs), spark.createDataFrame([(1, "one two three four five")], "item_id long, text string"))
+    own = np.concatenate([D.buckets(f"own{i}") for i in range(3000)])
+    assert (np.abs(latent.project[own]).max(1) > 0).all()
+
+
+def test_sums_of_passages():
+    rng = np.random.default_rng(3)
+    idf, hashed = rng.random(D.DIMS) + 0.5, [rng.integers(0, 300, 40) for _ in range(200)]
+    a = np.zeros((200, 300))
+    for i, h in enumerate(hashed):
+        np.add.at(a[i], h, idf[h])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+
+    def total(rows, fold, seed=0):
+        gram = D.Gram(idf, 8, rows, fold, seed)
+        for i in range(0, 200, 70):
+            gram.add(np.repeat(np.arange(len(hashed[i : i + 70])), 40), np.concatenate(hashed[i : i + 70]))
+        gram.multiply()
+        return gram.total[:300]
+
+    want = a.T @ (a @ D._start(8)[:300])
+    assert np.allclose(total(512, 1 << 17), want, atol=1e-4) and np.allclose(total(16, 16), want, atol=1e-4)
+    # Passages that share a row: right on the mean over draws of signs.
+    each = [np.linalg.norm(total(32, 100, k) - want) for k in range(100)]
+    mean = np.mean([total(32, 100, k) for k in range(100)], axis=0)
+    assert np.linalg.norm(mean - want) < 0.2 * np.mean(each)
+
+
 def test_a_long_comment_does_not_take_the_articles_place():
     paragraphs = [("word" + str(i) + " ") * 15 for i in range(4)]
     article = "".join(f"<p>{p}</p>" for p in paragraphs)

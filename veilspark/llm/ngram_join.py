@@ -49,8 +49,9 @@ def word_hashes(text: str) -> np.ndarray:
     data = np.frombuffer(text.encode().translate(_LOWER), np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
-    white = _WHITE[data]
-    edge = np.flatnonzero(np.diff(np.r_[True, white, True].astype(np.int8)))
+    white = np.ones(len(data) + 2, bool)
+    white[1:-1] = _WHITE[data]
+    edge = np.flatnonzero(white[1:] != white[:-1])
     start, end = edge[::2], edge[1::2]
     up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)

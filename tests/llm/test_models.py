@@ -54,6 +54,27 @@ def test_rules_learn_and_judge(spark, table, odd):
     assert quality_rules.learned_rules(table(rows), labels.where("quality = 1")) == []
 
 
+def test_rules_learn_from_every_labelled_row(spark):
+    # The bad rows are those that a sample of 20,000 by hash leaves out.
+    bad = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) >= F.lit(int((1 << 20) * 0.92))
+    docs = spark.range(22_000).withColumnRenamed("id", "doc_id").select("doc_id", F.concat(F.lit("a house and a tree "), "doc_id", F.when(bad, "#%#").otherwise("")).alias("text"), (~bad).cast("int").alias("quality"))
+    rules = quality_rules.learned_rules(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    assert rules
+    wrong = quality_rules.judge(docs, rules).where("rule is null and quality = 0 or rule is not null and quality = 1").count()
+    assert wrong == 0
+
+
+def test_bins_count_every_row(spark):
+    rng = np.random.default_rng(2)
+    values = [{"y": int(rng.random() < 0.5), **{k: float(round(rng.random() * 3, 3)) for k in RATIOS}} for _ in range(500)]
+    for k, b in zip(RATIOS, quality_rules.counted(spark.createDataFrame(values)), strict=True):
+        v, y = np.array([r[k] for r in values]), np.array([r["y"] for r in values])
+        cuts, at = quality_rules._cuts(b)
+        assert len(cuts) == 48 and b.bad.sum() + b.good.sum() == 500
+        assert [((v <= t) & (y == 0)).sum() for t in cuts] == np.cumsum(b.bad)[at].tolist()
+        assert [((v <= t) & (y == 1)).sum() for t in cuts] == np.cumsum(b.good)[at].tolist()
+
+
 def test_classifier_ranks_held_out(spark, sf_dir):
     got = {r["doc_id"]: r for r in queries.op9_quality_classifier(spark, sf_dir).collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}

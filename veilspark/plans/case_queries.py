@@ -26,7 +26,7 @@ def runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def continued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Persons of both runs with their codes, and the case tables behind each."""
     first, second = runs(spark, sf_dir)
-    people = case_spans(spark, sf_dir).where("type = 'PERSON'").withColumn("kind", F.lit("full"))
+    people = case_spans(spark, sf_dir, ["P"]).withColumn("kind", F.lit("full"))
     before, table = case_state.carried(first, people.where(f"not ({SECOND})"), case_state.empty(first, ["case_id"]), ["case_id"], ["doc_id", "start"])
     table = kept(table, "case")
     after, last = case_state.carried(second, people.where(SECOND), table, ["case_id"], ["doc_id", "start"])
@@ -62,7 +62,7 @@ def mask_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the first run of a case masked is found in the texts of the second, though nothing is detected there."""
     first, second = runs(spark, sf_dir)
     _, table, _ = continued(spark, sf_dir)
-    none = case_spans(spark, sf_dir).where("type = 'PERSON'").withColumn("kind", F.lit("full")).where("false")
+    none = case_spans(spark, sf_dir, ["P"]).withColumn("kind", F.lit("full")).where("false")
     found = consistency.propagated(second, none, ["case_id"], known=case_state.values(table, ["case_id"]))
     return found.select("doc_id", "case_id", "start", "end", "value")
 
@@ -97,7 +97,7 @@ def _checked(real: DataFrame, made: DataFrame, name: str) -> DataFrame:
 def false_names_meet_no_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of a region of many cases: no false name stands anywhere in the region's texts."""
     docs = casefiles.documents(spark, sf_dir).withColumn("region", F.col("case_id") % 25)
-    spans = case_spans(spark, sf_dir).where("type = 'PERSON'").select("doc_id", (F.col("case_id") % 25).alias("region"), "start", "end", "value", F.lit("full").alias("kind"))
+    spans = case_spans(spark, sf_dir, ["P"]).select("doc_id", (F.col("case_id") % 25).alias("region"), "start", "end", "value", F.lit("full").alias("kind"))
     made = kept(realistic.persons(spans, ["region"], "salt", None, realistic.held(docs, ["region"])).select("region", "value", "new").distinct(), "names")
     met = matcher.matched(docs.select("doc_id", "region", "text"), made.select("region", F.col("new").alias("written"), "new"), ["region"], "doc_id")
     bad = met.select("region", F.explode("hits").alias("h")).select("region", F.col("h.new").alias("new")).distinct().withColumn("_met", F.lit(True))
@@ -109,7 +109,7 @@ def kept_places_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names masked in every fourth document are masked in the others of their case, but not where a kept span lies: here every name of
     every third case."""
     docs = casefiles.documents(spark, sf_dir)
-    people = case_spans(spark, sf_dir).where("type = 'PERSON'").withColumn("kind", F.lit("full")).drop("tag")
+    people = case_spans(spark, sf_dir, ["P"]).withColumn("kind", F.lit("full")).drop("tag")
     masked = people.where("doc_id % 4 = 0 and case_id % 3 <> 0")
     # In these cases another name is masked, which stands inside the kept ones.
     guards = people.where("case_id % 3 = 0").withColumn("type", F.lit("PERSON_KEEP"))

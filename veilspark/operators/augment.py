@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import cut, match_spans, quoted
+from ..plans.shared import kept, unsent
 from . import realistic
 from .gazetteer import Gazetteer
 from .rewrite import rewritten
@@ -26,7 +27,7 @@ def changed(docs: DataFrame, replacements: DataFrame, spans: DataFrame, key: str
     # What is put in at a span's own beginning comes before it, at its end behind it.
     first = added(lambda r: r["end"] <= F.col("start"))
     last = added(lambda r: (r["end"] <= F.col("end")) & ~((r["start"] == r["end"]) & (r["start"] == F.col("end"))))
-    moved = spans.join(per, key, "left").withColumns({"_a": F.col("start") + first, "_b": F.col("end") + last})
+    moved = spans.join(unsent(per), key, "left").withColumns({"_a": F.col("start") + first, "_b": F.col("end") + last})
     return out.select(key, F.col("rewritten").alias("text")), moved.withColumns({"start": F.col("_a").cast("int"), "end": F.col("_b").cast("int")}).drop("_r", "_a", "_b")
 
 
@@ -38,13 +39,14 @@ def chosen(key: Column | str, share: float, salt: str) -> Column:
 def renamed(docs: DataFrame, spans: DataFrame, salt: str, gazetteer: Gazetteer | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """New names for the persons (tag P and K, with `value`) of each document, consistent in it: surnames, given names and full names."""
     people = spans.where(F.col("tag").isin("P", "K")).withColumn("kind", F.lit("full"))
-    return changed(docs, realistic.persons(people, [key], salt, gazetteer).select(key, "start", "end", "new"), spans, key)
+    # Written, as the texts and the places of the spans both read them.
+    return changed(docs, kept(realistic.persons(people, [key], salt, gazetteer).select(key, "start", "end", "new"), "names"), spans, key)
 
 
 def rebranded(docs: DataFrame, spans: DataFrame, salt: str, share: float = 0.5, gazetteer: Gazetteer | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """New brands for the organisations of a share of the documents."""
     some = spans.where(F.col("tag").isin("ORG", "ORGK") & chosen(key, share, salt))
-    return changed(docs, realistic.organisations(some, [key], salt, gazetteer).select(key, "start", "end", "new"), spans, key)
+    return changed(docs, kept(realistic.organisations(some, [key], salt, gazetteer).select(key, "start", "end", "new"), "brands"), spans, key)
 
 
 def marked_down(docs: DataFrame, spans: DataFrame, salt: str, share: float = 0.3, mark: str = "**", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -81,4 +83,4 @@ def filled(docs: DataFrame, salt: str, gazetteer: Gazetteer | None = None, key:
 
 def values_of(docs: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """`spans` with the text that stands at their places."""
-    return spans.join(docs.select(key, "text"), key).withColumn("found", cut(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+    return spans.join(unsent(docs.select(key, "text")), key).withColumn("found", cut(F.col("text"), F.col("start"), F.col("end"))).drop("text")

@@ -39,3 +39,18 @@ def test_short_texts_share_batches(spark, monkeypatch):
     monkeypatch.setattr(wordpiece, "LOT", 7)
     assert got == {r.doc_id: (r.ids, r.starts, r.ends) for r in wordpiece.tokens(docs, pieces).collect()}
     assert got[3] == ([0, 1], [0, 0], [0, 0]) and got[2] == ([0, 3, 4, 3, 4, 1], [0, 0, 1, 3, 4, 0], [0, 1, 2, 4, 5, 0])
+
+
+def test_shifts_do_not_grow_with_the_days_they_might_meet(spark):
+    """Days meet those near them; before, each event was laid on 310 days by itself."""
+    import datetime
+
+    from veilspark.operators import realistic
+
+    days = [(1, "DATE_EVENT", (datetime.date(2020, 1, 1) + datetime.timedelta(n)).strftime("%Y/%-m/%-d")) for n in (0, 28, 182, 183, 365)]
+    spans = spark.createDataFrame([*days, (1, "DATE", "2020/3/4"), (2, "DATE_EVENT", "2021/5/6")], "case_id long, type string, value string")
+    shifts = realistic.case_shifts(spans, ["case_id"], "salt")
+    assert "lit(309)" not in str(shifts._jdf.queryExecution().analyzed()) and "sequence(0, 309" not in str(shifts._jdf.queryExecution().analyzed().toString())
+    got = {r.case_id: r["shift"] for r in shifts.collect()}
+    at = [0, 28, 182, 183, 365, 63]
+    assert set(got) == {1, 2} and not {a + got[1] for a in at[:5]} & set(at) and 28 <= abs(got[1]) <= 182

@@ -54,3 +54,8 @@ def test_shifts_do_not_grow_with_the_days_they_might_meet(spark):
     got = {r.case_id: r["shift"] for r in shifts.collect()}
     at = [0, 28, 182, 183, 365, 63]
     assert set(got) == {1, 2} and not {a + got[1] for a in at[:5]} & set(at) and 28 <= abs(got[1]) <= 182
+
+
+def test_days_of_cases_are_the_work_of_all_tasks(spark, sf_dir):
+    plan = queries()["birthdays_one_to_one"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan

@@ -121,8 +121,11 @@ def kept_places_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select distinct o_custkey as case_id, cast(366 as bigint) as days, cast(366 as bigint) as others, cast(0 as bigint) as fixed, cast(12 as bigint) as months, cast(0 as bigint) as fixed_months from orders")
 def birthdays_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All days of a year and all months under the permutation of each case: as many others as there are, none its own."""
-    cases = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("case_id")).distinct()
-    key = F.concat_ws("|", F.col("case_id").cast("string"), F.lit("salt"))
+    cases = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("case_id"))
+    # By number, or adaptive execution would join the few cases into one task, which then makes all their days.
+    cases = cases.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "case_id").distinct()
+    # A column of the case, or each round of each day would put it together again.
+    cases, key = cases.withColumn("key", F.concat_ws("|", F.col("case_id").cast("string"), F.lit("salt"))), F.col("key")
     each = cases.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(365))))
     each = each.withColumns({"o": birthdays.following(F.col("n"), birthdays.DAYS, key), "m": F.when(F.col("n") < 12, birthdays.other_month(F.col("n") + 1, key))})
     return each.groupBy("case_id").agg(
